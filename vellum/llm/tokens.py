@@ -122,10 +122,10 @@ def sequences(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGT
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     packed = stage(texts.mapInArrow(_pack(vocabulary, length, end_id), SEQUENCE), "sequences")
-    # one row for each task that packed, whatever the number of documents
+    # one row of two numbers for each task that packed, whatever the number of documents: small enough to broadcast
     counts = packed.groupBy("task").agg(F.count("*").alias("n"))
     before = counts.select("task", (F.sum("n").over(Window.orderBy("task")) - F.col("n")).alias("before"))
-    return packed.join(before, "task").select((F.col("before") + F.col("position")).alias("index"), "tokens", "parts")
+    return packed.join(F.broadcast(before), "task").select((F.col("before") + F.col("position")).alias("index"), "tokens", "parts")
 
 
 def training_order(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, end_id: int = END) -> DataFrame:

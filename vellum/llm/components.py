@@ -49,7 +49,7 @@ def _small_star(links: DataFrame) -> DataFrame:
 
 
 def connected_components(links: DataFrame) -> DataFrame:
-    """``(a, b)`` long links to ``(node, component)``: every node of a link with the smallest node it can reach.
+    """``(a, b)`` long links to ``(node, component)``: the smallest node it can reach for every node that isn't that one itself.
 
     Each partition first contracts its own links, then star steps alternate until the links no longer change. Every
     round aggregates with partial sums and joins on one column, so a hub of any degree is split like any skewed join

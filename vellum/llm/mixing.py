@@ -97,13 +97,15 @@ def mix(docs: DataFrame, budget: float = BUDGET, max_epochs: int = MAX_EPOCHS, w
     """
     decided = plan(docs, budget, max_epochs, weights, seed).groupBy("doc_id", "size").agg(F.max("copies").alias("_copies"), F.max("part").alias("_part"))
     decided = decided.where("_copies > 0 or _part > 0").withColumnsRenamed({"doc_id": "_doc", "size": "_size"})
-    sized = docs.withColumn("_words", word_count(F.col("text").cast("string")))
-    joined = sized.join(decided, sized["doc_id"].cast("long").eqNullSafe(F.col("_doc")) & (sized["_words"] == F.col("_size")))
+    # the caller's columns travel in one struct, so none of their names can clash
+    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), word_count(F.col("text").cast("string")).alias("_words"))
+    joined = sized.join(decided, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_words") == F.col("_size")))
     whole = F.col("_copies") + F.when((F.col("_part") > 0) & (F.col("_part") == F.col("_size")), 1).otherwise(0)
     some = (F.col("_part") > 0) & (F.col("_part") < F.col("_size"))
-    rows = joined.withColumn("_n", F.explode(F.concat(F.array_repeat(F.lit(False), whole.cast("int")), F.when(some, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))))
-    first = F.expr(r"array_join(slice(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0), 1, cast(_part as int)), ' ')")
-    out = rows.withColumn("text", F.when(F.col("_n"), first).otherwise(F.col("text")))
+    repeats = F.concat(F.array_repeat(F.lit(False), whole.cast("int")), F.when(some, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
+    rows = joined.select("_row", "_part", F.explode(repeats).alias("_n"))
+    first = F.expr(r"array_join(slice(regexp_extract_all(_row.text, '[^\\x20\\x09-\\x0D]+', 0), 1, cast(_part as int)), ' ')")
+    changed = {"text": F.when(F.col("_n"), first).otherwise(F.col("_row.text"))}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_n"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.when(F.col("_n"), F.length(first).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
+    return rows.select(*[changed.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])

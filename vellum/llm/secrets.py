@@ -96,7 +96,7 @@ def battery(tokens: DataFrame) -> DataFrame:
     df = df.withColumns({"p_chi": chi, "p_runs": runs, "p_serial": serial})
     half = -sum(F.log(F.greatest(F.col(p), F.lit(1e-300))) for p in ("p_chi", "p_runs", "p_serial"))
     # the upper tail of chi-squared with six degrees of freedom
-    return df.withColumn("p", F.exp(-half) * (1 + half + half * half / 2)).drop("v", "square", "lagged", "mean", "runs", "high")
+    return df.withColumn("p", F.when(F.col("signs").isNotNull(), F.exp(-half) * (1 + half + half * half / 2))).drop("v", "square", "lagged", "mean", "runs", "high")
 
 
 def stratum(n: Column) -> Column:

@@ -33,7 +33,8 @@ def toggled(events: DataFrame, ts: str, *keys: str) -> DataFrame:
 
 def debounce(events: DataFrame, user: str, ts: str, value: str, tie: str, milliseconds: int = 300) -> DataFrame:
     """The last event of each burst: an event after which its user is silent for ``milliseconds`` at least."""
-    gap = F.unix_micros(F.lead(ts).over(Window.partitionBy(user).orderBy(ts, tie))) - F.unix_micros(ts)
+    at = F.col(ts).cast("timestamp")
+    gap = F.unix_micros(F.lead(at).over(Window.partitionBy(user).orderBy(ts, tie))) - F.unix_micros(at)
     return events.withColumn("_gap", gap).where(F.col("_gap").isNull() | (F.col("_gap") >= milliseconds * 1000)).select(user, ts, value, tie)
 
 

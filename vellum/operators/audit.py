@@ -64,7 +64,9 @@ def compare_fields(fields: DataFrame, scopes: DataFrame) -> DataFrame:
 
 
 def histogram(compared: DataFrame) -> DataFrame:
-    return compared.groupBy("status").agg(F.count("*").alias("n"), F.lit(None).cast("string").alias("note")).select("status", "n", (~F.col("status").isin(*STATUSES[:2])).alias("needs_review"))
+    """``(status, n, needs_review)``: all but the two exact statuses ask for a review."""
+    counts = compared.groupBy("status").agg(F.count("*").alias("n"))
+    return counts.withColumn("needs_review", ~F.col("status").isin(*STATUSES[:2]))
 
 
 DIFFERENCE = "similarity double, expected_excerpt string, actual_excerpt string, operation_count int, operations array<struct<operation: string, expected: string, actual: string>>"

@@ -20,7 +20,8 @@ def glossary_map(terms: DataFrame) -> DataFrame:
     """
     kept = terms.withColumn("term", clean_term(F.col("term"))).where(F.length("term").between(2, 99)).withColumn("key", F.lower("term"))
     other = F.when(F.endswith("key", F.lit("s")), F.when(F.length("key") > 2, F.expr("left(key, length(key) - 1)"))).otherwise(F.concat("key", F.lit("s")))
-    both = kept.select(F.inline(F.array(F.struct(F.col("key"), F.lit(True).alias("is_exact"), F.col("pos"), F.col("definition")), F.struct(other.alias("key"), F.lit(False), F.col("pos"), F.col("definition")))))
+    form = lambda key, exact: F.struct(key.alias("key"), F.lit(exact).alias("is_exact"), F.col("pos").alias("pos"), F.col("definition").alias("definition"))
+    both = kept.select(F.inline(F.array(form(F.col("key"), True), form(other, False))))
     # exact before derived; among exact the last, among derived the first
     best = F.struct("is_exact", F.when(F.col("is_exact"), F.col("pos")).otherwise(-F.col("pos")).alias("place"))
     won = both.where("key is not null").groupBy("key").agg(F.max_by(F.struct("definition", "is_exact"), best).alias("w"))

@@ -27,8 +27,8 @@ def collect_fields(chapters: DataFrame) -> DataFrame:
         F.inline(
             F.array(
                 F.struct(F.concat(base, F.lit("/title")).alias("path"), F.lit("section_title").alias("kind"), F.col("s.title").alias("html")),
-                F.struct(F.concat(base, F.lit("/legalText")), F.lit("body"), F.get(halves, F.lit(0))),
-                F.struct(F.concat(base, F.lit("/footnote")), F.lit("footnote"), F.get(halves, F.lit(1))),
+                F.struct(F.concat(base, F.lit("/legalText")).alias("path"), F.lit("body").alias("kind"), F.get(halves, F.lit(0)).alias("html")),
+                F.struct(F.concat(base, F.lit("/footnote")).alias("path"), F.lit("footnote").alias("kind"), F.get(halves, F.lit(1)).alias("html")),
             )
         ),
     )
@@ -38,7 +38,7 @@ def collect_fields(chapters: DataFrame) -> DataFrame:
         F.inline(
             F.array(
                 F.struct(F.concat("base", F.lit("/qas/"), F.col("q").cast("string"), F.lit("/q")).alias("path"), F.lit("question").alias("kind"), tx.strip_question_prefix(F.col("qa.q")).alias("html")),
-                F.struct(F.concat("base", F.lit("/qas/"), F.col("q").cast("string"), F.lit("/a")), F.lit("answer"), F.col("qa.a")),
+                F.struct(F.concat("base", F.lit("/qas/"), F.col("q").cast("string"), F.lit("/a")).alias("path"), F.lit("answer").alias("kind"), F.col("qa.a").alias("html")),
             )
         ),
     )

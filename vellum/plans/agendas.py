@@ -101,7 +101,7 @@ def classify_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def event_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A suggested name for each text; held against goldens in the tests."""
+    """A suggested name for each text."""
     return agenda.event_name(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 

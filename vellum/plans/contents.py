@@ -200,7 +200,7 @@ def leaf_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def tree_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coordinates of every node; the tests hold them against a recursive version."""
+    """Coordinates of every node; the tests hold a small tree against known coordinates."""
     return graph.layout(*_edges(spark, sf_dir))
 
 

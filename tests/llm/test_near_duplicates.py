@@ -8,7 +8,7 @@ import pytest
 import twins
 from pyspark.sql import functions as F
 
-from vellum.llm import components, embeddings, simhash
+from vellum.llm import components, embeddings, minhash, simhash
 
 
 def texts(n=120):
@@ -56,6 +56,35 @@ def test_simhash_edge_rows(spark):
     assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 3, 3, 8]
 
 
+def test_deduplicate_drops_planted_near_copies(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(5000)]
+    docs, planted = [], []
+    for i in range(300):
+        own = rng.choices(words, k=rng.randint(80, 400))
+        near = list(own)
+        for at in rng.sample(range(len(own)), max(1, len(own) // rng.choice((45, 60, 100)))):
+            near[at] = "changed"
+        docs += [(i, " ".join(own)), (1000 + i, " ".join(near))]
+        a, b = (set(zip(*(x[k:] for k in range(5)), strict=False)) for x in (own, near))
+        if 5 * len(a & b) >= 4 * len(a | b):
+            planted.append(1000 + i)
+    assert 150 < len(planted) < 300
+    # near copies of one text, each with its own changes, fill large buckets; not all are alike to each other
+    base = rng.choices(words, k=200)
+    for i in range(150):
+        docs.append((2000 + i, " ".join(w if rng.random() > 0.012 else rng.choice(words) for w in base)))
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.deduplicate(table).collect()}
+    sets = {i: set(minhash.shingles(t).tolist()) for i, t in docs}
+    links = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    group = twins.components(sorted(sets), links)
+    assert {i for i in sets if group[i] == i} <= kept
+    gone = [i for i in planted if i not in kept]
+    assert len(gone) >= 0.99 * len(planted)
+    assert sum(i >= 2000 for i in kept) <= sum(i >= 2000 and group[i] == i for i in sets) + 1
+
+
 def test_components_of_chains_stars_and_loops(spark):
     rng = random.Random(3)
     chain = [(i, i + 1) for i in range(300)]

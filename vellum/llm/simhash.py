@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import minhash
 from .components import connected_components
 from .staging import stage
 
@@ -159,12 +160,14 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -
     return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
+def deduplicate(docs: DataFrame, width: int = minhash.WIDTH) -> DataFrame:
     """The rows of ``docs`` with all their columns, but of each near-duplicate group only the document of smallest doc_id.
 
-    doc_id is the key: rows that repeat one stay or go together. Rows without a doc_id stay, as they can't be told apart.
+    Near duplicates are texts whose sets of ``width``-word shingles have a Jaccard similarity of 0.8 or more (see minhash);
+    fingerprints of 64 bits don't reach that, so they aren't used here. doc_id is the key: rows that repeat one stay or go
+    together. Rows without a doc_id stay, as they can't be told apart.
     """
-    gone = near_duplicates(docs, width, radius).groupBy("doc_id").agg(F.min("component_id").alias("least")).where("doc_id is not null and doc_id != least").select(F.col("doc_id").alias("_gone"))
+    gone = minhash.groups(docs, width).groupBy("doc_id").agg(F.min("component_id").alias("least")).where("doc_id is not null and doc_id != least").select(F.col("doc_id").alias("_gone"))
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 

@@ -227,3 +227,17 @@ def test_streamed_debounce(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert {r["v"] for r in spark.table("bursts").collect()} == {"0.350", "2.0"}
+
+
+def test_token_diff_reads_whole_documents(spark, tmp_path):
+    """The text of document 2 that its field is cut from lies behind more than 7,000 others."""
+    from vellum.plans import texts
+
+    text = " ".join(f"word{i}" for i in range(2000))
+    start = 2 * 7919 % (len(text) - 79)
+    assert start > 7000
+    spark.createDataFrame([(2, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    row = texts.token_diff(spark, str(tmp_path)).first()
+    whole = text[start : start + 80].split()[1:-1]
+    assert all(w in row["expected_excerpt"].split() and w in row["actual_excerpt"].split() for w in whole)
+    assert row["similarity"] > 0.7

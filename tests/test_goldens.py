@@ -241,3 +241,17 @@ def test_token_diff_reads_whole_documents(spark, tmp_path):
     whole = text[start : start + 80].split()[1:-1]
     assert all(w in row["expected_excerpt"].split() and w in row["actual_excerpt"].split() for w in whole)
     assert row["similarity"] > 0.7
+
+
+def test_table_digest_gathers_no_group(spark):
+    import hashlib
+
+    from vellum.operators import integrity
+
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest().upper()
+    rows = [(i * 37 % 500, f"text {i}" if i % 9 else None, ("a", "b", None)[i % 3]) for i in range(500)]
+    got = integrity.table_digest(spark.createDataFrame(rows, "k long, t string, g string"), "k", "t", "g")
+    expected = {g: sha("".join(sha(f"{k}\0{t or ''}") for k, t, _ in sorted((r for r in rows if r[2] == g), key=lambda r: r[0]))) for g in ("a", "b", None)}
+    assert {r["g"]: r["digest"] for r in got.collect()} == expected
+    assert sum(r["n"] for r in got.collect()) == 500
+    assert "collect_list" not in got._jdf.queryExecution().toString()

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 SAFE_ID = "^[a-z0-9][a-z0-9-]*$"
 
@@ -16,10 +19,36 @@ def digest(value: Column) -> Column:
 
 
 def table_digest(rows: DataFrame, key: str, text: str, *groups: str) -> DataFrame:
-    """One digest per group over its rows' digests in the order of ``key``: 64 signs a row are gathered, not the texts."""
+    """One digest per group over its rows' digests in the order of ``key``.
+
+    Each group is sorted by Spark, which spills, and hashed as it streams by, so no group is ever held whole.
+    """
     each = rows.select(*groups, F.col(key).alias("_key"), digest(F.concat(F.col(key).cast("string"), F.lit("\u0000"), F.coalesce(text, F.lit("")))).alias("_digest"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_key", "_digest"))), lambda x: x["_digest"]), "")
-    return each.groupBy(*groups).agg(F.count("*").alias("n"), digest(joined).alias("digest"))
+    dealt = each.repartition(*groups) if groups else each.repartition(1)
+    ordered = dealt.sortWithinPartitions(*groups, "_key", "_digest").select(*groups, "_digest")
+    schema = StructType([*each.select(*groups).schema.fields, StructField("n", LongType()), StructField("digest", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, n, state, kinds = None if groups else (), 0, hashlib.sha256(), None
+
+        def close() -> pa.RecordBatch:
+            values = [pa.array([v], t) for v, t in zip(own, kinds or (), strict=True)]
+            return pa.RecordBatch.from_arrays([*values, pa.array([n], pa.int64()), pa.array([state.hexdigest().upper()])], [*groups, "n", "digest"])
+
+        for batch in batches:
+            kinds = batch.schema.types[:-1]
+            names = zip(*(c.to_pylist() for c in batch.columns[:-1]), strict=True) if groups else [()] * batch.num_rows
+            for name, value in zip(names, batch.column(len(groups)).to_pylist(), strict=True):
+                if name != own:
+                    if own is not None:
+                        yield close()
+                    own, n, state = name, 0, hashlib.sha256()
+                n += 1
+                state.update((value or "").encode())
+        if own is not None:
+            yield close()
+
+    return ordered.mapInArrow(run, schema)
 
 
 def rebuild(parts: DataFrame, pos: str, text: str, *groups: str) -> DataFrame:

@@ -54,19 +54,26 @@ def luhn(digits: str) -> str:
 
 
 def base_spans(df: DataFrame) -> DataFrame:
-    """Add ``base``, the valid matches of the fixed patterns in ``df.text``; those that fail their check are dropped."""
+    """Add ``base``, the valid matches of the fixed patterns in ``df.text``, and ``failed``, those that fail their check."""
     df = spans.find(df, BASE, {k: GUARDS[k] for k in BASE if k in GUARDS})
     digits = "regexp_replace(s.found, '[^0-9]', '')"
-    ip = "filter(ip, s -> forall(split(s.found, '[.]'), p -> length(ltrim('0', p)) <= 3 and coalesce(try_cast(right(concat('0', ltrim('0', p)), 4) as int), 0) <= 255))"
-    card = f"filter(filter(card, s -> length({digits}) between 14 and 19), s -> {luhn(digits)})"
-    phone = f"filter(phone, s -> length({digits}) between 10 and 15)"
-    return df.withColumn("base", F.concat("email", F.expr(ip), F.expr(card), F.expr(phone))).drop(*BASE)
+    valid = {
+        "ip": "forall(split(s.found, '[.]'), p -> length(ltrim('0', p)) <= 3 and coalesce(try_cast(right(concat('0', ltrim('0', p)), 4) as int), 0) <= 255)",
+        "card": f"if(length({digits}) between 14 and 19, {luhn(digits)}, false)",
+        "phone": f"length({digits}) between 10 and 15",
+    }
+    judged = ", ".join(f"transform({k}, s -> named_struct('kind', if({v}, '{k}', '{k}_failed'), 'start', s.start, 'stop', s.stop, 'found', s.found))" for k, v in valid.items())
+    df = df.withColumn("judged", F.expr(f"concat(email, {judged})")).drop(*BASE)
+    return df.withColumns({"base": F.expr("filter(judged, s -> not s.kind like '%failed')"), "failed": F.expr("filter(judged, s -> s.kind like '%failed')")}).drop("judged")
 
 
 def _candidates(df: DataFrame) -> DataFrame:
-    """Add ``candidates``: base spans and looser ones that overlap none of them, with their labelers' votes and features."""
+    """Add ``candidates``: base spans, and looser ones that overlap none of them, with their labelers' votes and features.
+
+    Looser are the forms of LOOSE, and matches of the fixed patterns that fail their check: cards with a wrong digit, addresses
+    with a part above 255, short or long phone numbers."""
     df = spans.find(df, LOOSE, {k: GUARDS[k] for k in LOOSE if k in GUARDS})
-    df = df.withColumn("loose", F.expr(f"filter(concat({', '.join(LOOSE)}), s -> not exists(base, b -> b.start < s.stop and s.start < b.stop))")).drop(*LOOSE)
+    df = df.withColumn("loose", F.expr(f"filter(concat(failed, {', '.join(LOOSE)}), s -> not exists(base, b -> b.start < s.stop and s.start < b.stop))")).drop(*LOOSE, "failed")
     df = df.withColumn("all", F.expr("concat(transform(base, s -> struct(s.*, true as strict)), transform(loose, s -> struct(s.*, false as strict)))".replace("struct(s.*, true as strict)", "named_struct('kind', s.kind, 'start', s.start, 'stop', s.stop, 'found', s.found, 'strict', true)").replace("struct(s.*, false as strict)", "named_struct('kind', substring_index(s.kind, '_', 1), 'start', s.start, 'stop', s.stop, 'found', s.found, 'strict', false)")))
     around = f"lower(substring(text, greatest(1, s.start - {CONTEXT - 1}), s.start + 1 - greatest(1, s.start - {CONTEXT - 1})))"
     df = df.withColumn("all", F.expr(f"transform(all, s -> named_struct('kind', s.kind, 'start', s.start, 'stop', s.stop, 'found', s.found, 'strict', s.strict, 'before', {around}, 'digits', regexp_replace(s.found, '[^0-9]', '')))"))
@@ -184,4 +191,5 @@ def find_personal_data(docs: DataFrame, threshold: float = THRESHOLD) -> DataFra
 def summary(found: DataFrame) -> DataFrame:
     """The counts, the digest of the base spans and the text of all spans, per row of find_personal_data."""
     out = found.withColumn("every", F.concat("base", "added"))
-    return out.select("doc_id", *[spans.count("base", k).alias(f"n_{k}") for k in KINDS], F.sha2(spans.joined("base", KINDS), 256).alias("base_sha256"), spans.joined("every", KINDS).alias("spans"))
+    counts = [spans.count("base", k).alias(f"n_{k}") for k in KINDS]
+    return out.select("doc_id", *counts, F.sha2(spans.joined("base", KINDS), 256).alias("base_sha256"), spans.joined("every", KINDS).alias("spans"), F.size("added").cast("long").alias("n_added"), F.size("every").cast("long").alias("n_personal"))

@@ -28,7 +28,8 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.remove_repeats(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+    ranges = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s[0], s[1])), ",")
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256", (F.col("n_removed") > 0).alias("has_repeats"), ranges.alias("removed_ranges"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 A suffix array of the whole corpus, refined by bucket pointers, would order every byte position. Here only positions
 that can begin a comparison are kept: in every window of ``length`` bytes the q-gram of least hash is its anchor, which
-equal windows share. The anchors fall into initial q-gram buckets, and buckets with one member are done. The others are
-refined by the identifiers of later (and earlier) offsets: identifiers of 2k bytes come from those of k bytes at offset 0 and k,
-reused from step to step, and a bucket is sorted apart by the identifiers of ever finer blocks of windows around its
-anchor until each window is known to have a partner or none. Buckets are aggregated, never gathered.
+equal windows share. The anchors fall into initial q-gram buckets, and buckets with one member are done. Each of the
+others is refined: its members are sorted apart by the bytes at later and earlier offsets, for blocks of windows that get
+finer from step to step. What a step leaves together gets a new bucket pointer, the least member of the new bucket, and
+the next step compares only members of one pointer. Bytes are compared by 128-bit BLAKE2 digests of them, which no two
+different strings of a corpus share in practice. Buckets are aggregated, never gathered.
 """
 
 from __future__ import annotations
@@ -33,15 +34,18 @@ def _join(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def identifiers(data: np.ndarray, sizes: tuple[int, ...]) -> dict[int, np.ndarray]:
-    """Identifiers of all stretches of each power of two in ``sizes``, along the last axis."""
-    h, size, out = data.astype(np.uint64) + np.uint64(1), 1, {}
-    while size < max(sizes):
-        h = _join(h[..., :-size], h[..., size:]) if h.shape[-1] > size else h[..., :0]
+def gram_hashes(data: np.ndarray, q: int) -> np.ndarray:
+    """A hash of each of the q-grams; q is a power of two."""
+    h, size = data.astype(np.uint64) + np.uint64(1), 1
+    while size < q:
+        h = _join(h[:-size], h[size:]) if len(h) > size else h[:0]
         size *= 2
-        if size in sizes:
-            out[size] = h
-    return out
+    return h
+
+
+def _digest(data, salt: bytes = b"") -> bytes:
+    """128 bits that stand for the bytes (and the salt)."""
+    return hashlib.blake2b(data, digest_size=16, key=salt).digest()
 
 
 def _sliding_min(key: np.ndarray, w: int) -> np.ndarray:
@@ -58,27 +62,25 @@ def anchors(data: bytes, length: int = LENGTH, q: int = Q) -> Iterator[tuple[np.
     """``(bucket, anchor, first, last, name)`` of the anchors of a text: the windows first..last have that anchor, the
     bucket is its q-gram, and the name identifies all bytes of those windows. Among equal q-grams the leftmost counts."""
     codes = np.frombuffer(data, np.uint8)
-    half = 1 << ((length - 1).bit_length() - 1)
     low = np.uint64((1 << 20) - 1)
     for start in range(0, max(0, len(codes) - length + 1), CHUNK):
         part = codes[start : start + CHUNK + length - 1]
-        ids = identifiers(part, (q, half))
-        grams = ids[q]
+        grams = gram_hashes(part, q)
         least = _sliding_min((grams & ~low) | np.arange(len(grams), dtype=np.uint64), length - q + 1)
         anchor = (least & low).astype(np.int64)
         first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
         last = np.append(first[1:], len(anchor)) - 1
         anchor = anchor[first]
-        end = last + length - half
-        name = _join(_join(ids[half][first], ids[half][(first + end) // 2]), ids[half][end])
-        name = _join(_join(name, (anchor - first).astype(np.uint64)), (last - first).astype(np.uint64))
+        name = [
+            _digest(part[f : l + length], bytes(f"{a - f}:{l - f}", "ascii"))
+            for f, l, a in zip(first.tolist(), last.tolist(), anchor.tolist(), strict=True)
+        ]
         yield grams[anchor], anchor + start, first + start, last + start, name
 
 
 def _check(length: int, q: int) -> None:
-    half, reach = 1 << ((length - 1).bit_length() - 1), min(BLOCKS[0] - 1, length - q)
-    if not (q & (q - 1) == 0 and q <= half and length - reach >= half and length + reach <= 2 * half and 2 * length - q <= 3 * half):
-        raise ValueError(f"no identifiers cover strings of {length} bytes with q-grams of {q}")
+    if q & (q - 1) or not 0 < q <= length:
+        raise ValueError(f"q-grams of {q} bytes don't suit strings of {length}")
 
 
 def _bytes(texts: list[str | None]) -> list[bytes]:
@@ -104,10 +106,11 @@ def _anchors(length: int, q: int):
                     rows.append(np.full(len(x[0]), i))
             if not found:
                 continue
-            bucket, anchor, first, last, name = (np.concatenate(x) for x in zip(*found, strict=True))
+            bucket, anchor, first, last = (np.concatenate([x[i] for x in found]) for i in range(4))
+            name = pa.array([n for x in found for n in x[4]], pa.binary())
             of = pa.array(np.concatenate(rows))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(of), batch.column(1).take(of), pa.array(bucket.view(np.int64)), pa.array(name.view(np.int64)), pa.array(anchor.astype(np.int32)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))],
+                [batch.column(0).take(of), batch.column(1).take(of), pa.array(bucket.view(np.int64)), name, pa.array(anchor.astype(np.int32)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))],
                 ["doc_id", "digest", "bucket", "name", "anchor", "first", "last"],
             )
 
@@ -130,36 +133,30 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int, q: int) -> Iterato
 
 
 def _compare(size: int, length: int, q: int):
-    """Identifiers of the blocks of ``size`` windows at each context: of all bytes that any of them covers (span) and of
-    those that every one covers (core). Window o begins o bytes before the anchor. Blocks that reach beyond the text
-    are marked as open, without identifiers."""
+    """Digests of the blocks of ``size`` windows at each context: of all bytes that any of them covers (span) and of those
+    that every one covers (core). Window o begins o bytes before the anchor. Blocks that reach beyond the text are marked
+    as open, without digests; those wholly outside it go."""
     most = length - q
-    half = 1 << ((length - 1).bit_length() - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rids, buckets, lefts, texts, blocks = (batch.column(i).to_pylist() for i in range(5))
-            for k in range(0, len(rids), 2000):
-                part = texts[k : k + 2000]
-                grid = np.zeros((len(part), most + length + 2 * size), np.uint8)
-                left, size_of = np.array(lefts[k : k + 2000]), np.array([len(t) for t in part])
-                for row, (before, text) in enumerate(zip(left.tolist(), part, strict=True)):
-                    grid[row, size + most - before : size + most - before + len(text)] = np.frombuffer(text, np.uint8)
-                ids = identifiers(grid, (half,))[half]
-                wanted = blocks[k : k + 2000]
-                row = np.repeat(np.arange(len(part)), [len(w) for w in wanted])
-                x = np.fromiter((b for w in wanted for b in w), np.int64, len(row))
-                y = np.minimum(x + size - 1, most)
-                low, high = np.maximum(0, length - (size_of - left))[row], left[row]
-                ok = (x <= high) & (y >= low)
-                row, x, y, low, high = row[ok], x[ok], y[ok], low[ok], high[ok]
-                begin = size + most  # where the anchor stands
-                name = lambda a, b, row=row, ids=ids: _join(ids[row, a], ids[row, b - half])
-                span, core = name(begin - y, begin - x + length), name(begin - x, begin - y + length)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(rids[k : k + 2000])[row]), pa.array(np.array(buckets[k : k + 2000])[row]), pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32)), pa.array(span.view(np.int64)), pa.array(core.view(np.int64)), pa.array((x < low) | (y > high))],
-                    ["rid", "bucket", "x", "y", "span", "core", "open"],
-                )
+            out: list[list] = [[] for _ in range(7)]
+            for rid, left, text, blocks in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                low, high = max(0, length - (len(text) - left)), left
+                for block in blocks:
+                    x = block["x"]
+                    y = min(x + size - 1, most)
+                    if x > high or y < low:
+                        continue
+                    open_ = x < low or y > high
+                    span = core = None
+                    if not open_:
+                        span, core = _digest(text[left - y : left - x + length]), _digest(text[left - x : left - y + length])
+                    for column, value in zip(out, (rid, block["pointer"], x, y, span, core, open_), strict=True):
+                        column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.bool_())
+            for k in range(0, len(out[0]), 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 20_000], kind) for c, kind in zip(out, kinds, strict=True)], ["rid", "pointer", "x", "y", "span", "core", "open"])
 
     return run
 
@@ -167,18 +164,22 @@ def _compare(size: int, length: int, q: int):
 def repeated_spans(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
     """``(doc_id, digest, begin, end)``: byte ranges, possibly overlapping, that cover exactly the bytes of strings of
     ``length`` bytes that also start anywhere else. digest is xxhash64 of the text; with doc_id it names the row, and
-    rows equal in both count as different places that repeat each other."""
+    rows equal in both count as different places that repeat each other.
+
+    What is joined to many rows of one bucket is written first, so that both sides of the join are plain shuffles of
+    tables and adaptive execution can split the partition of a very common bucket."""
     _check(length, q)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") >= length)
     often = texts.select("text").mapInArrow(_buckets_only(length, q), "bucket long").groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    schema = "doc_id long, digest long, bucket long, name long, anchor int, first int, last int"
+    often = stage(often, "substring-often")
+    schema = "doc_id long, digest long, bucket long, name binary, anchor int, first int, last int"
     shared = stage(texts.select("doc_id", "digest", "text").mapInArrow(_anchors(length, q), schema).join(often, "bucket"), "substring-anchors")
 
     classes = stage(shared.groupBy("bucket", "name").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("doc_id", "digest", "anchor")]), "substring-classes")
     equal = classes.where("n > 1").select("bucket", "name")
     found = shared.join(equal, ["bucket", "name"]).select("doc_id", "digest", F.col("first").alias("begin"), (F.col("last") + length).alias("end"))
 
-    mixed = classes.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
+    mixed = stage(classes.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket"), "substring-mixed")
     listed = classes.join(mixed, "bucket").groupBy(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest")).agg(F.collect_list(F.struct("bucket", "anchor")).alias("listed"))
     near = texts.join(listed, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("digest") == F.col("_digest")))
     # of rows that are equal in doc_id and text, one stands for all
@@ -186,24 +187,29 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFra
     context = stage(context.dropDuplicates(["doc_id", "digest", "anchor"]).withColumn("rid", F.monotonically_increasing_id()), "substring-contexts")
 
     most = length - q
-    blocks = context.select("rid", "bucket", "left", "context", F.lit(list(range(0, most + 1, BLOCKS[0]))).alias("blocks"))
+    first_blocks = F.transform(F.lit(list(range(0, most + 1, BLOCKS[0]))), lambda x: F.struct(x.alias("x"), F.col("bucket").alias("pointer")))
+    blocks = context.select("rid", "left", "context", first_blocks.alias("blocks"))
     place = context.select("rid", "doc_id", "digest", "anchor")
     parts = [found]
     for size, finer in zip(BLOCKS, (*BLOCKS[1:], 0), strict=True):
-        rows = stage(blocks.mapInArrow(_compare(size, length, q), "rid long, bucket long, x int, y int, span long, core long, open boolean"), "substring-blocks")
+        rows = stage(blocks.mapInArrow(_compare(size, length, q), "rid long, pointer long, x int, y int, span binary, core binary, open boolean"), "substring-blocks")
         whole = rows.where("not open")
-        spans = whole.groupBy("bucket", "x", "core", "span").agg(F.count("*").alias("n"), F.min("rid").alias("rid"))
-        same = whole.join(spans.where("n > 1").select("bucket", "x", "core", "span"), ["bucket", "x", "core", "span"])
+        spans = stage(whole.groupBy("pointer", "x", "core", "span").agg(F.count("*").alias("n"), F.min("rid").alias("rid")), "substring-block-classes")
+        same = whole.join(spans.where("n > 1").select("pointer", "x", "core", "span"), ["pointer", "x", "core", "span"])
         parts.append(same.select("rid", "x", "y").join(place, "rid").select("doc_id", "digest", (F.col("anchor") - F.col("y")).alias("begin"), (F.col("anchor") - F.col("x") + length).alias("end")))
         if not finer:
             break
-        # a block goes on where cores agree and spans don't, or where another one at the same place is open; one stands for each span
-        unlike = spans.groupBy("bucket", "x", "core").agg(F.count("*").alias("m")).where("m > 1").select("bucket", "x", "core")
-        open_at = rows.where("open").select("bucket", "x").distinct()
-        down = spans.join(unlike, ["bucket", "x", "core"]).select("rid", "x").union(spans.join(open_at, ["bucket", "x"]).select("rid", "x")).union(rows.where("open").select("rid", "x"))
-        children = F.transform(F.sequence(F.lit(0), F.lit(size - finer), F.lit(finer)), lambda k: (F.col("x") + k).cast("int"))
-        children = down.distinct().withColumn("b", F.explode(children)).where(F.col("b") <= most)
-        blocks = context.join(children.groupBy("rid").agg(F.collect_list("b").alias("blocks")), "rid").select("rid", "bucket", "left", "context", "blocks")
+        # a block goes on where cores agree and spans don't; one member stands for each span, and the least one of all
+        # that agree in the core is their new pointer. Where another block at the same place is open, it may match any of
+        # them, so all of that place go on under the pointer they have.
+        open_at = stage(rows.where("open").select("pointer", "x").distinct(), "substring-open")
+        unlike = spans.groupBy("pointer", "x", "core").agg(F.count("*").alias("m"), F.min("rid").alias("next")).where("m > 1").drop("m")
+        refined = spans.join(stage(unlike, "substring-pointers"), ["pointer", "x", "core"]).join(open_at, ["pointer", "x"], "left_anti").select("rid", "x", F.col("next").alias("pointer"))
+        kept = spans.join(open_at, ["pointer", "x"]).select("rid", "x", "pointer")
+        down = refined.union(kept).union(rows.where("open").select("rid", "x", "pointer"))
+        children = F.transform(F.sequence(F.lit(0), F.lit(size - finer), F.lit(finer)), lambda k: F.struct((F.col("x") + k).cast("int").alias("x"), F.col("pointer").alias("pointer")))
+        children = down.distinct().withColumn("b", F.explode(children)).where(F.col("b.x") <= most)
+        blocks = context.join(children.groupBy("rid").agg(F.collect_list("b").alias("blocks")), "rid").select("rid", "left", "context", "blocks")
     out = parts[0]
     for part in parts[1:]:
         out = out.union(part)

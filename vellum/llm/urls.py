@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: (rule, verdict); a rule is a host and the beginning of a path. The longest that fits decides.
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
-SIZES = (3, 4)
-DIMENSIONS = 1 << 12
-#: Without a rule, a url is blocked only from this probability on.
+SIZES = (3, 4, 5)
+DIMENSIONS = 1 << 14
+#: Without a rule, a url is blocked from this probability on; ``choose_threshold`` finds it by cross-validation over hosts.
 THRESHOLD = 0.8
+PRECISION = 0.99
+FOLDS = 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: The labelled table: hosts and paths, combined below; 1 is to be blocked. Invented sites.
-GOOD_HOSTS = ("www.cityherald.example", "blog.gardening.example", "docs.opentools.example", "en.encyclo.example", "library.stateuniv.example", "m.recipes.example", "www.museum.example", "forum.cyclists.example", "weather.coast.example", "news.science.example", "static.publisher.example", "shop.bookstore.example")
-GOOD_PATHS = ("/", "/en/120/", "/de/452.html", "/fr/88", "/es/301", "/articles/history-of-bridges", "/wiki/Photosynthesis", "/2021/05/town-council-meets", "/guide/install", "/recipes/lentil-soup", "/about", "/category/astronomy")
-BAD_HOSTS = ("www.free-casino-bonus.example", "hot-xxx-cams.example", "cheap-pills-online.example", "warez-crack-keygen.example", "m.bet-poker-slots.example", "adult-porn-tube.example", "win-lottery-prize.example", "torrent-movies-free.example", "replica-watches-sale.example", "payday-loans-fast.example")
-BAD_PATHS = ("/", "/casino/jackpot", "/xxx/free-videos", "/buy-viagra-cheap", "/download/crack-serial-keygen", "/poker/bonus-code", "/porn/hd-tube", "/claim-prize-now", "/torrent/full-movie", "/click?aff=", "/loans/instant-cash", "/escort/adult-dating")
+#: The words of the labelled table. Hosts to be blocked have a word of BAD, the others have none; GOOD has words that only
+#: look like them. Paths of both kinds share the forms of PATHS, so a path counts only where it has such words itself.
+BAD = "casino poker bets betting slots jackpot roulette lottery gambling xxx porn adult sex nude escort cams hentai viagra cialis pills pharmacy replica warez crack keygen torrent pirated payday loans spam malware phishing popup ads adserver tracker track banner clickbait prize winner win cheap free".split()
+GOOD = "garden library museum weather recipes history science school travel music council herald gazette cycling bridge river mountain bakery hotel clinic theatre studio market report archive forum wiki docs tools press better alphabet freedom cheaper winter window trackside address roads heads pillow essex middlesex shadow loading download bettina adulthood slotted broker shopping student encyclopedia".split()
+SYLLABLES = "an ber co den er fi gra han in jo ka li mon nor ol per qui ren sta tion ul ver wen yr zel the ing ough str ch ly ble".split()
+LABELS_OF_HOSTS = ("", "www.", "m.", "blog.", "shop.", "news.", "static.", "en.")
+ENDINGS = (".com", ".org", ".net", ".info", ".co.uk", ".de", ".example", ".example.com", ".example.org", ".example.net", ".io")
+PATHS = ("/", "", "/{n}", "/en/{n}", "/de/{n}/", "/fr/{n}.html", "/es/{n}", "/{w}/{n}", "/{w}-{v}.html", "/articles/{w}", "/2021/05/{w}-and-{v}", "/{w}/", "/index.php", "/wiki/{w}")
+HOSTS_EACH = 1_000
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -29,16 +37,55 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def labelled_urls(spark) -> DataFrame:
-    """The small built-in table ``(host, path, label)``: every good or bad host with every path of its kind."""
-    rows = [(h, p, 0.0) for h in GOOD_HOSTS for p in GOOD_PATHS] + [(h, p, 1.0) for h in BAD_HOSTS for p in BAD_PATHS]
-    return spark.createDataFrame(rows, "host string, path string, label double")
+    """The small built-in table ``(host, path, label)``, 1 to be blocked: HOSTS_EACH invented hosts of each kind and a path for each.
+
+    Names are put together from the words above and nonsense syllables by a seeded generator, so the table is the same always.
+    """
+    rng = random.Random(20240601)
+    noise = lambda: "".join(rng.choices(SYLLABLES, k=rng.randint(2, 4)))
+    rows = []
+    for i in range(2 * HOSTS_EACH):
+        bad = i % 2
+        word = (BAD if bad else GOOD)[i // 2 % len(BAD if bad else GOOD)]
+        other = rng.choice((noise(), noise(), rng.choice(GOOD), rng.choice(BAD if bad else GOOD)))
+        name = rng.choice((f"{word}-{other}", f"{other}-{word}", f"{other}{word}", f"{word}{other}", word, f"{other}-{word}-{noise()}"))
+        if not bad and rng.random() < 0.5:
+            name = rng.choice((noise(), noise() + noise(), f"{noise()}-{noise()}"))
+        words = BAD if bad and rng.random() < 0.5 else [*GOOD, noise()]
+        path = rng.choice(PATHS).format(n=rng.randint(1, 99_999), w=rng.choice(words), v=rng.choice(words))
+        rows.append((rng.choice(LABELS_OF_HOSTS) + name + rng.choice(ENDINGS), path, float(bad)))
+    return spark.createDataFrame(rows, "host string, path string, label double").coalesce(1)
+
+
+def choose_threshold(labelled: DataFrame, precision: float = PRECISION, folds: int = FOLDS) -> tuple[float, float, float]:
+    """``(threshold, precision, recall)``: the least probability that reaches ``precision`` when every host is scored by a model that hasn't
+    seen it, or the one of best precision where none does: blocking a good site costs more than letting a bad one through.
+
+    Hosts are dealt to folds by hash. Only counts by steps of a twentieth leave the executors.
+    """
+    from pyspark.ml.functions import vector_to_array
+
+    rows = labelled.withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(folds)))
+    scored = None
+    for k in range(folds):
+        part = train(rows.where(F.col("fold") != k)).transform(_grams(rows.where(F.col("fold") == k)))
+        part = part.select("label", F.floor(vector_to_array("probability")[1] * 20).cast("int").alias("step"))
+        scored = part if scored is None else scored.union(part)
+    counts = {(r["step"], r["label"]): r["count"] for r in scored.groupBy("step", "label").count().collect()}
+    found = []
+    for step in range(1, 20):
+        hit = sum(n for (s, y), n in counts.items() if s >= step and y == 1)
+        wrong = sum(n for (s, y), n in counts.items() if s >= step and y == 0)
+        missed = sum(n for (s, y), n in counts.items() if s < step and y == 1)
+        found.append((step / 20, hit / max(1, hit + wrong), hit / max(1, hit + missed)))
+    return next((f for f in found if f[1] >= precision), max(found, key=lambda f: f[1]))
 
 
 def _grams(df: DataFrame) -> DataFrame:
-    """Add ``grams``: the different n-grams of host and path, each marked with where it is from."""
+    """Add ``grams``: the different n-grams of host and path, each marked with where it is from. All digits count as 0."""
 
     def cut(name: str, n: int) -> Column:
-        whole = F.concat(F.lit("^"), F.lower(F.col(name)), F.lit("$"))
+        whole = F.concat(F.lit("^"), F.translate(F.lower(F.col(name)), "123456789", "0" * 9), F.lit("$"))
         last = F.char_length(whole) - n + 1
         pieces = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.concat(F.lit(f"{name[0]}{n}:"), F.substr(whole, i, F.lit(n))))
         return F.when(last > 0, pieces).otherwise(F.array().cast("array<string>"))

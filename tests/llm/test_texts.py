@@ -181,3 +181,23 @@ def test_cut_texts_are_encoded_as_whole_ones(monkeypatch):
     whole = tokens.encoder(tokens.VOCABULARY).encode_ordinary(text)
     monkeypatch.setattr(tokens, "CUT", 50)
     assert tokens.encode(tokens.VOCABULARY, text).tolist() == whole
+
+
+def test_passages_in_very_long_runs_of_one_sign(spark):
+    rng = random.Random(3)
+    words = " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(30))
+    bench = spark.createDataFrame([(1, "-" * 60), (2, words), (3, "-" * 40 + words)], "item_id long, text string")
+    docs = [(1, "-" * 1_000_000), (2, "x" * 500_000 + words + "y" * 500_000), (3, "- " * 100_000), (4, "-" * 30_000 + words)]
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_passages(table, bench).collect()}
+    assert got == {(1, 1), (2, 2), (4, 1), (4, 2), (4, 3)}
+
+
+def test_pairs_are_counted_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PAIRS", 50)
+    items, docs = benchmark_and_texts()
+    items = [(i, t) for i, t in items if t]
+    index = decontaminate.build_index(items)
+    parts = [sorted(decontaminate.search(index, t)) for _, t in docs]
+    monkeypatch.undo()
+    assert parts == [sorted(decontaminate.search(index, t)) for _, t in docs]

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .staging import stage
+
 #: Length of the counted q-grams, and the edit budget as a share of a passage's length.
 Q = 8
 EDITS = 0.1
@@ -20,6 +22,8 @@ FINE = 4
 BLOCK = 4_000_000
 BITS = 20
 CHUNK = 1 << 18
+#: So many pairs of equal q-grams are held at once while bands are counted.
+PAIRS = 1 << 20
 
 
 def normalise(text: str | None) -> str:
@@ -101,6 +105,48 @@ def align(pattern: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[i
     return int(row[best]), best + low + len(pattern)
 
 
+def _bands(index: Index, spot: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(item, band, hits)``: pairs of equal q-grams per passage and band of diagonals. Two bands overlap at each diagonal, so
+    hits whose diagonals differ by the budget at most share one.
+
+    A text that repeats a q-gram which a passage repeats too has as many pairs as the product, so they are formed and
+    counted PAIRS at a time, and a q-gram of more places than that in parts of them. What is kept grows with the bands only.
+    """
+    keys, sums = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def count(spots: np.ndarray, first: np.ndarray, n: np.ndarray) -> None:
+        place = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        item, diagonal = index.item[place], np.repeat(spots, n) - index.offset[place]
+        band = diagonal // (index.budget[item] + 1)
+        key, hits = np.unique(item * (1 << 40) + band + (1 << 39), return_counts=True)
+        keys.append(key)
+        sums.append(hits)
+        if len(keys) > 16:
+            merge()
+
+    def merge() -> None:
+        key, at = np.unique(np.concatenate(keys), return_inverse=True)
+        hits = np.zeros(len(key), np.int64)
+        np.add.at(hits, at, np.concatenate(sums))
+        keys[:], sums[:] = [key], [hits]
+
+    n, first = index.count[gram], index.first[gram]
+    for start in range(0, int(n.max()), PAIRS):
+        more = n > start
+        own, begin, size = spot[more], first[more] + start, np.minimum(n[more] - start, PAIRS)
+        total = np.cumsum(size)
+        for low in range(0, int(total[-1]), PAIRS):
+            part = slice(int(np.searchsorted(total, low, "right")), int(np.searchsorted(total, low + PAIRS, "right")))
+            if part.start < part.stop:
+                count(own[part], begin[part], size[part])
+    merge()
+    # a diagonal of band b counts for b and for b - 1
+    key, hits = np.concatenate([keys[0], keys[0] - 1]), np.concatenate([sums[0], sums[0]])
+    keys[:], sums[:] = [key], [hits]
+    merge()
+    return keys[0] >> 40, (keys[0] & ((1 << 40) - 1)) - (1 << 39), sums[0]
+
+
 def search(index: Index, text: str | None) -> list[tuple[int, int, int]]:
     """``(item number, end, edits)`` of each passage that occurs in the whole text, at its best place."""
     text = normalise(text)
@@ -117,16 +163,7 @@ def search(index: Index, text: str | None) -> list[tuple[int, int, int]]:
             grams.append(found[same])
     if not spots or not sum(map(len, spots)):
         return [(i, end, d) for i, (d, end) in best.items()]
-    spot, gram = np.concatenate(spots), np.concatenate(grams)
-    n = index.count[gram]
-    place = np.repeat(index.first[gram] - np.cumsum(n) + n, n) + np.arange(n.sum())
-    item, diagonal = index.item[place], np.repeat(spot, n) - index.offset[place]
-    wide = index.budget[item] + 1
-    band = diagonal // wide
-    # two bands overlap at each diagonal, so hits whose diagonals differ by the budget at most share one
-    key = np.concatenate([item, item]) * (1 << 40) + np.concatenate([band, band - 1]) + (1 << 39)
-    key, hits = np.unique(key, return_counts=True)
-    item, band = key >> 40, (key & ((1 << 40) - 1)) - (1 << 39)
+    item, band, hits = _bands(index, np.concatenate(spots), np.concatenate(grams))
     enough = hits >= index.least[item]
     for i, b in zip(item[enough].tolist(), band[enough].tolist(), strict=True):
         e, m = int(index.budget[i]), int(index.length[i])
@@ -164,13 +201,14 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: floa
 
     A passage occurs where some substring of the whole text is within its edit budget, both in lower case with white
     space runs as one space; ``end`` and ``edits`` are those of its best such place, ``end`` counting characters of that
-    form. Null and empty texts and passages are never hits; repeated rows each give their own rows. The passages are
-    broadcast in blocks of at most ``block`` characters, so that a task's memory doesn't grow with their number. Other
-    columns are not used; empty tables give an empty result.
+    form. Null and empty texts and passages are never hits; repeated rows each give their own rows. The passages are the
+    stated query set: blocks of them, of at most ``block`` characters, pass the driver and are broadcast one after the other,
+    each against all documents, so memory doesn't grow with their number. Other columns are not used; empty tables give an
+    empty result.
     """
-    sc, out = docs.sparkSession.sparkContext, None
+    sc = docs.sparkSession.sparkContext
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    schema = "doc_id long, item_id long, end long, edits int"
+    schema, parts = "doc_id long, item_id long, end long, edits int", []
     for items in _blocks(benchmark, block):
         shared = sc.broadcast(build_index(items, q, edits))
 
@@ -181,9 +219,15 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: floa
                 columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["doc_id", "item_id", "end", "edits"])
 
-        part = texts.mapInArrow(run, schema)
-        out = part if out is None else out.union(part)
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+        # the hits are written, so that one block is held at a time wherever the job runs
+        parts.append(stage(texts.mapInArrow(run, schema), "passage-hits"))
+        shared.unpersist()
+    if not parts:
+        return docs.sparkSession.createDataFrame([], schema)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
 
 
 def _hit(shared):
@@ -195,8 +239,11 @@ def _hit(shared):
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: float = EDITS, block: int = BLOCK) -> DataFrame:
-    """The rows of ``docs``, all columns, in which no passage occurs (see find_passages)."""
+    """The rows of ``docs``, all columns, in which no passage occurs (see find_passages). Rows of null and empty texts stay, as
+    does every row where there is no passage; repeated rows go or stay alike, each by its own text."""
     sc = docs.sparkSession.sparkContext
-    for items in _blocks(benchmark, block):
+    for place, items in enumerate(_blocks(benchmark, block)):
+        if place:
+            docs = stage(docs, "passage-free")
         docs = docs.where(~_hit(sc.broadcast(build_index(items, q, edits)))(F.col("text").cast("string")))
     return docs

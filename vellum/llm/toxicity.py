@@ -15,7 +15,7 @@ from .staging import stage
 
 SIZES = (3, 4, 5)
 BITS = 20
-#: At most so many labelled rows of each class are fitted on, those of smallest hashed doc_id.
+#: At most so many labelled rows of each class are fitted on, chosen by hashed doc_id.
 SAMPLE = 10_000
 #: So many n-grams keep a weight, those whose presence tells the classes apart most surely.
 KEEP = 8_192
@@ -66,14 +66,18 @@ def held_out(doc_id: F.Column) -> F.Column:
 
 
 def training_ids(labels: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, dict[int, int]]:
-    """At most ``sample`` labelled doc_ids of each class outside the held-out fifth, and the number of all in each class.
+    """About ``sample`` labelled doc_ids of each class outside the held-out fifth, and the number of all in each class.
 
-    A doc_id with several labels counts as toxic if any says so; null labels and ids are ignored.
+    A larger class is thinned by a threshold on the hash of doc_id, set a twentieth low, so more than ``sample`` come out
+    about never; no task gathers or sorts them. A doc_id with several labels counts as toxic if any says so; null labels
+    and ids are ignored.
     """
     one = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
     totals = {r[0]: r[1] for r in one.groupBy("toxic").count().collect()}
-    pick = [one.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1)]
-    return pick[0].union(pick[1]).select("doc_id", F.col("toxic").cast("int")), totals
+    steps = 1 << 30
+    keep = {c: steps if n <= sample else int(0.95 * steps * sample / n) for c, n in totals.items()}
+    least = F.when(F.col("toxic") == 1, keep.get(1, 0)).otherwise(keep.get(0, 0))
+    return one.where(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(steps)) < least).select("doc_id", F.col("toxic").cast("int")), totals
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,51 +97,33 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(seen[0, part]), pa.array(seen[1, part])], ["gram", "clean", "toxic"])
 
 
-def _keep(ids: np.ndarray):
-    at = np.full(1 << BITS, -1, np.int32)
-    at[ids] = np.arange(len(ids))
+def _vectors(ids: np.ndarray, ratio: np.ndarray):
+    """A function of the n-grams of a row: those kept, each with its log-count ratio, as a sparse vector."""
+    from pyspark.ml.linalg import Vectors, VectorUDT
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(x := at[np.frombuffer(raw, "<i4")])[x >= 0].tobytes() for raw in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["toxic", "grams"])
+    def vector(raw: bytes):
+        at = np.searchsorted(ids, own := np.frombuffer(raw, "<i4"))
+        at = at[ids[np.minimum(at, len(ids) - 1)] == own]
+        return Vectors.sparse(len(ids), at, ratio[at])
 
-    return run
-
-
-def _solve(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, ratio: np.ndarray, ridge: float) -> tuple[np.ndarray, float]:
-    """Ridge-penalised logistic regression by accelerated gradient steps; the bias isn't penalised."""
-    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    feature = np.concatenate(rows)
-    value = ratio[feature]
-    weight = weight / weight.sum()
-    mass = np.bincount(doc, value**2, len(rows)) + 1
-    rate = 1 / (0.25 * float((weight * mass).sum()) * 4 + ridge)
-    w, bias = np.zeros(len(ratio)), float(np.log((weight @ y + 1e-6) / (weight @ (1 - y) + 1e-6)))
-    v, c, t = w.copy(), bias, 1.0
-    for _ in range(400):
-        z = np.bincount(doc, value * v[feature], len(rows)) + c
-        error = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
-        new_w = v - rate * (np.bincount(feature, error[doc] * value, len(ratio)) + ridge * v)
-        new_bias = c - rate * error.sum()
-        t, old = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
-        v, c = new_w + (old - 1) / t * (new_w - w), new_bias + (old - 1) / t * (new_bias - bias)
-        w, bias = new_w, new_bias
-    return w, bias
+    return F.udf(vector, VectorUDT())
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: int = KEEP) -> Model:
     """Fit on a bounded sample of the labelled rows; ``labels.toxic`` of the training part is all it learns from.
 
     The sampled texts are reduced to their n-grams once; counting n-grams per class and choosing the kept ones are Spark
-    aggregations. Only ``keep`` n-grams and, for each sampled row, those of them that it has reach the driver. With no
-    labelled row, or rows of one class only, the model is a constant: the smoothed share of toxic rows.
+    aggregations, and the logistic regression sums its gradients on the executors. Only the ``keep`` n-grams with their
+    counts and weights reach the driver, however many or long the rows are. With no labelled row, or rows of one class only,
+    the model is a constant: the smoothed share of toxic rows.
     """
+    from pyspark.ml.classification import LogisticRegression
+
     ids, totals = training_ids(labels, sample)
     clean, toxic = totals.get(0, 0), totals.get(1, 0)
     if not clean or not toxic:
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log((toxic + 1) / (clean + 1))))
-    # at most two times `sample` ids: a proven bound for the broadcast
+    # about two times `sample` ids at most: a bound for the broadcast that doesn't grow with the tables
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("toxic", "text")
     rows = stage(chosen.mapInArrow(_extract, "toxic int, grams binary"), "toxicity-sample")
     n = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
@@ -149,14 +135,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: int =
     best = counts.where(F.col("toxic") + F.col("clean") >= MIN_DOCS).withColumn("z", F.abs(share) / spread).orderBy(F.desc("z"), "gram").limit(keep).collect()
     if not best:
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log((toxic + 1) / (clean + 1))))
+    best.sort(key=lambda r: r["gram"])
     kept = np.array([r["gram"] for r in best])
     p, q = (SMOOTH + np.array([r[c] for r in best], float) for c in ("toxic", "clean"))
     ratio = np.log((p / (n[1] + 2 * SMOOTH)) / (q / (n[0] + 2 * SMOOTH)))
-    sampled = rows.mapInArrow(_keep(kept), "toxic int, grams binary").collect()
-    y = np.array([r[0] for r in sampled], float)
-    weight = np.where(y == 1, toxic / n[1], clean / n[0])
-    w, bias = _solve([np.frombuffer(r[1], np.int32) for r in sampled], y, weight, ratio, RIDGE)
-    return Model(kept, w * ratio, bias)
+    weight = F.when(F.col("toxic") == 1, toxic / n[1]).otherwise(clean / n[0])
+    vectors = stage(rows.select(F.col("toxic").cast("double").alias("label"), weight.alias("weight"), _vectors(kept, ratio)("grams").alias("features")), "toxicity-vectors")
+    fitted = LogisticRegression(weightCol="weight", regParam=RIDGE, standardization=False, maxIter=100).fit(vectors)
+    return Model(kept, fitted.coefficients.toArray() * ratio, fitted.intercept)
 
 
 def scorer(model: Model):
@@ -191,6 +177,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs``, all columns, that aren't predicted toxic."""
+    """The rows of ``docs``, all columns, that aren't predicted toxic. Null and empty texts are judged by the model's intercept;
+    repeated rows stay or go alike; an empty table gives an empty one."""
     score = scorer(train(docs, labels, sample))
     return docs.where(score(F.col("text").cast("string")) < 0.5)

@@ -223,7 +223,7 @@ def test_pipeline_stages_hold_what_they_promise(spark, small):
             lengths[p["doc_id"]] = lengths.get(p["doc_id"], 0) + p["size"]
     expected: dict = {}
     for i, text in mixed.select("doc_id", "text").collect():
-        expected[i] = expected.get(i, 0) + len(tokens.encode(tokens.VOCABULARY, text)) + 1
+        expected[i] = expected.get(i, 0) + len(tokens.encode(tokens.load(tokens.VOCABULARY), text)) + 1
     assert lengths == expected
 
 

@@ -1,5 +1,6 @@
 """Repeated strings, benchmark passages, mixing and training order against plain versions."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -150,19 +151,19 @@ def test_training_order_round_trip(spark, tmp_path):
     docs = [(i, " ".join(rng.choices(("alpha", "beta  gamma", "Ünï", "💬", "x1", "don't", "\n\n"), k=rng.choice((0, 1, 20, 400))))) for i in range(60)]
     docs += [(70, None), (71, "a" * 5000 + " b" * 3000), (72, "dup"), (72, "dup"), (None, "no id")]
     table = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, shard int").repartition(5)
-    shards = tokens.training_order(table, length=64, per_shard=10)
-    shards = spark.createDataFrame(shards.collect(), shards.schema)
-    rows = shards.orderBy("shard").collect()
-    assert [r["first_slot"] for r in rows] == [10 * i for i in range(len(rows))] and all(r["records"] == 10 for r in rows[:-1])
-    manifest = tokens.write_shards(shards, f"file://{tmp_path}/out").orderBy("shard").collect()
-    assert [m["shard"] for m in manifest] == [r["shard"] for r in rows]
+    manifest = tokens.training_order(table, f"{tmp_path}/out", length=64, per_shard=10).orderBy("shard").collect()
+    assert [m["first_slot"] for m in manifest] == [10 * i for i in range(len(manifest))] and all(m["records"] == 10 for m in manifest[:-1])
+    again = tokens.training_order(table.repartition(2).coalesce(1), f"{tmp_path}/again", length=64, per_shard=10).orderBy("shard").collect()
+    assert [(m["sha256"], m["parts"]) for m in again] == [(m["sha256"], m["parts"]) for m in manifest]
+    assert [m["sha256"] for m in tokens.training_order(table, f"{tmp_path}/key", length=64, per_shard=10, key=5).orderBy("shard").collect()] != [m["sha256"] for m in manifest]
     stretches = []
-    for r, m in zip(rows, manifest, strict=True):
+    for m in manifest:
         ids = tokens.read_slots(m["path"], m["first_slot"], m["stride"], m["first_slot"], m["first_slot"] + m["records"])
-        assert ids.astype("<u2").tobytes() == r["payload"]
+        assert hashlib.sha256(ids.astype("<u2").tobytes()).hexdigest() == m["sha256"]
         assert (tokens.read_slots(m["path"], m["first_slot"], m["stride"], m["first_slot"] + 1, m["first_slot"] + 2) == ids[1:2]).all()
-        stretches += [(p["doc_id"], ids[p["slot"] - r["first_slot"]][p["start"] : p["start"] + p["size"]].tolist()) for p in r["parts"]]
-    code = tokens.encoder(tokens.VOCABULARY)
+        assert m["doc_ids"] == sorted({p["doc_id"] for p in m["parts"]} - {None})
+        stretches += [(p["doc_id"], ids[p["slot"] - m["first_slot"]][p["start"] : p["start"] + p["size"]].tolist()) for p in m["parts"]]
+    code = tokens.encoder(tokens.load(tokens.VOCABULARY))
     got: dict = {}
     for doc, ids in stretches:
         got.setdefault(doc, []).extend(ids)
@@ -178,9 +179,9 @@ def test_training_order_round_trip(spark, tmp_path):
 
 def test_cut_texts_are_encoded_as_whole_ones(monkeypatch):
     text = "Some words, and 12 numbers;  double  blanks\n\nand lines " * 40
-    whole = tokens.encoder(tokens.VOCABULARY).encode_ordinary(text)
+    whole = tokens.encoder(tokens.load(tokens.VOCABULARY)).encode_ordinary(text)
     monkeypatch.setattr(tokens, "CUT", 50)
-    assert tokens.encode(tokens.VOCABULARY, text).tolist() == whole
+    assert tokens.encode(tokens.load(tokens.VOCABULARY), text).tolist() == whole
 
 
 def test_passages_in_very_long_runs_of_one_sign(spark):
@@ -201,3 +202,9 @@ def test_pairs_are_counted_in_parts(spark, monkeypatch):
     parts = [sorted(decontaminate.search(index, t)) for _, t in docs]
     monkeypatch.undo()
     assert parts == [sorted(decontaminate.search(index, t)) for _, t in docs]
+
+
+def test_the_order_of_the_table_doesnt_depend_on_its_split(spark, small):
+    table = spark.read.parquet(f"{small}/documents.parquet")
+    one, other = (tokens.training_order(table.repartition(n)).select("shard", "sha256").orderBy("shard").collect() for n in (2, 7))
+    assert one == other and one

@@ -1,20 +1,24 @@
-"""Token ids in training order: packed sequences, a keyed permutation of their slots, and fixed-stride shards."""
+"""Token ids in training order: packed sequences, a keyed permutation of their slots, and fixed-stride shards.
+
+The documents are put in order of doc_id and text hash by range partitions, so the stream of ids, the sequences cut out of
+it and the shards are the same however the input is split.
+"""
 
 from __future__ import annotations
 
 import base64
 import functools
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import stage
+from .staging import shared_dir, stage
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Splits text into pieces before merging: contractions, letters, digits, other signs, white space. A fixed value of byte-level vocabularies.
@@ -31,19 +35,24 @@ TASKS = 50_000
 CUT = 200_000
 
 
+def load(vocabulary: str) -> bytes:
+    """The vocabulary file as the driver reads it; its bytes (about a megabyte) go to the executors with the job."""
+    with open(vocabulary, "rb") as file:
+        return file.read()
+
+
 @functools.lru_cache(maxsize=2)
-def encoder(vocabulary: str):
+def encoder(ranks_file: bytes):
     import tiktoken
 
-    with open(vocabulary, "rb") as file:
-        ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, file)}
+    ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, ranks_file.splitlines())}
     return tiktoken.Encoding("vocabulary", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
 
 
-def encode(vocabulary: str, text: str | None) -> np.ndarray:
+def encode(ranks_file: bytes, text: str | None) -> np.ndarray:
     """The token ids of a whole text. A very long text is cut before spaces that follow a non-space, where pieces begin anyway."""
     text, out, start = text or "", [], 0
-    code = encoder(vocabulary)
+    code = encoder(ranks_file)
     while start < len(text):
         end = start + CUT
         while end < len(text) and not (text[end] == " " and not text[end - 1].isspace()):
@@ -76,98 +85,99 @@ def feistel(index: np.ndarray, total: int, key: int, rounds: int = ROUNDS) -> np
     return out.astype(np.int64)
 
 
-SEQUENCE = "task int, position long, tokens binary, parts array<struct<doc_id: long, start: int, size: int>>"
-
-
-def _pack(vocabulary: str, length: int, end_id: int):
-    """Documents to sequences of exactly ``length`` ids; each notes which stretches come from which document."""
-    parts_type = pa.list_(pa.struct([("doc_id", pa.int64()), ("start", pa.int32()), ("size", pa.int32())]))
+def _encode_range(shared, end_id: int):
+    """Each text of a task to its ids and the place of the first of them among all ids of the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, position = TaskContext.get().partitionId(), 0
-        buffer, used, parts = np.full(length, end_id, np.uint16), 0, []
-        rows: list[tuple] = []
-
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), task, np.int32)), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], parts_type)], ["task", "position", "tokens", "parts"])
-            rows.clear()
-            return out
-
+        task, at = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids, taken = np.append(encode(vocabulary, text), np.uint16(end_id)), 0
-                while taken < len(ids):
-                    size = min(length - used, len(ids) - taken)
-                    buffer[used : used + size] = ids[taken : taken + size]
-                    parts.append({"doc_id": doc, "start": used, "size": size})
-                    used, taken = used + size, taken + size
-                    if used == length:
-                        rows.append((position, buffer.astype("<u2").tobytes(), parts))
-                        position, used, parts = position + 1, 0, []
-                        if len(rows) == 1024:
-                            yield flush()
-        if used:
-            buffer[used:] = end_id
-            rows.append((position, buffer.astype("<u2").tobytes(), parts))
-        yield flush()
+            for low in range(0, batch.num_rows, 256):
+                docs, texts = (batch.column(i).slice(low, 256) for i in (0, 1))
+                ids = [np.append(encode(shared.value, t), np.uint16(end_id)) for t in texts.to_pylist()]
+                sizes = np.array([len(x) for x in ids], np.int64)
+                places = at + np.cumsum(sizes) - sizes
+                at += int(sizes.sum())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), task, np.int32)), pa.array(places), pa.array(sizes), docs, pa.array([x.astype("<u2").tobytes() for x in ids], pa.binary())], ["task", "place", "size", "doc_id", "tokens"])
 
     return run
 
 
-def sequences(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, end_id: int = END) -> DataFrame:
-    """``(index, tokens, parts)``: the documents' ids, each ended by ``end_id``, packed into sequences of ``length`` ids.
+def stream(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END) -> DataFrame:
+    """``(at, size, doc_id, tokens)``: the ids of each row, ended by ``end_id``, and their place in the stream of all ids.
 
-    The index is dense from 0 and follows the order in which Spark's tasks deliver the documents; it is fixed once the
-    packed sequences are staged, so nothing later depends on reading the documents again in the same order.
+    The stream is in order of doc_id (null first), then of the text's hash; rows equal in both are the same ids. Range
+    partitions are encoded in that order, each with places of its own, and the partitions' sizes, one row for each, give
+    where it begins.
     """
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    packed = stage(texts.mapInArrow(_pack(vocabulary, length, end_id), SEQUENCE), "sequences")
-    # one row of two numbers for each task that packed, whatever the number of documents: small enough to broadcast
-    counts = packed.groupBy("task").agg(F.count("*").alias("n"))
-    before = counts.select("task", (F.sum("n").over(Window.orderBy("task")) - F.col("n")).alias("before"))
-    return packed.join(F.broadcast(before), "task").select((F.col("before") + F.col("position")).alias("index"), "tokens", "parts")
+    shared = docs.sparkSession.sparkContext.broadcast(load(vocabulary))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    ordered = texts.withColumn("_hash", F.xxhash64("text")).repartitionByRange("doc_id", "_hash").sortWithinPartitions("doc_id", "_hash")
+    encoded = stage(ordered.select("doc_id", "text").mapInArrow(_encode_range(shared, end_id), "task int, place long, size long, doc_id long, tokens binary"), "stream")
+    sums = encoded.groupBy("task").agg(F.sum("size").alias("n"))
+    before = sums.select("task", (F.sum("n").over(Window.orderBy("task")) - F.col("n")).alias("before"))
+    # one row of two numbers for each task that encoded, whatever the number of documents
+    return encoded.join(F.broadcast(before), "task").select((F.col("before") + F.col("place")).alias("at"), "size", "doc_id", "tokens")
+
 
+def _cut(total: int, length: int, per_shard: int, key: int):
+    """Rows of the stream to pieces of sequences, each with the slot of its sequence."""
 
-def training_order(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, end_id: int = END) -> DataFrame:
-    """``(shard, first_slot, records, stride, payload, parts)``: the shards of the training order, one row each.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, size = (batch.column(i).to_numpy() for i in (0, 1))
+            first, last = at // length, (at + size - 1) // length
+            n = last - first + 1
+            row = np.repeat(np.arange(len(n)), n)
+            index = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + first[row]
+            begin, end = np.maximum(index * length, at[row]), np.minimum((index + 1) * length, at[row] + size[row])
+            slot = feistel(index, total, key)
+            for low in range(0, len(row), 4096):
+                own = slice(low, low + 4096)
+                pieces, held, view = [], -1, memoryview(b"")
+                for r, b, e in zip(row[own].tolist(), (begin - at[row])[own].tolist(), (end - at[row])[own].tolist(), strict=True):
+                    if r != held:
+                        held, view = r, memoryview(batch.column(3)[r].as_py())
+                    pieces.append(bytes(view[2 * b : 2 * e]))
+                yield pa.RecordBatch.from_arrays([pa.array(slot[own] // per_shard), pa.array(slot[own]), pa.array((begin - index * length)[own].astype(np.int32)), batch.column(2).take(pa.array(row[own])), pa.array(pieces, pa.binary())], ["shard", "slot", "start", "doc_id", "tokens"])
 
-    Every sequence gets the slot that the keyed permutation gives its index. Shard s holds the slots from s * per_shard
-    on, as ``records`` records of ``stride`` bytes (little-endian 16-bit ids) one after the other, so slot k is at byte
-    (k - first_slot) * stride and reading resumes at any slot. parts names, record by record, the stretches of documents:
-    slot, doc_id, start and size in ids. Shards are dealt by their number, each as its own bounded group.
+    return run
 
-    Null and empty texts are a single end id; rows that repeat a doc_id are each packed; null doc_ids stay null. Other
-    columns of ``docs`` are not used. An empty table gives no shard.
-    """
-    table = sequences(docs, vocabulary, length, end_id)
-    total = table.count()
-    if not total:
-        return docs.sparkSession.createDataFrame([], "shard long, first_slot long, records int, stride int, payload binary, parts array<struct<slot: long, doc_id: long, start: int, size: int>>")
 
-    @F.pandas_udf("long")
-    def slot(index: pd.Series) -> pd.Series:
-        return pd.Series(feistel(index.to_numpy(), total, key))
+MANIFEST = "shard long, first_slot long, records int, stride int, path string, sha256 string, doc_ids array<long>, parts array<struct<slot: long, doc_id: long, start: int, size: int>>"
 
-    shards = -(-total // per_shard)
-    stride = 2 * length
-    placed = table.withColumn("slot", slot("index")).withColumn("shard", F.expr(f"slot div {per_shard}"))
-    # one partition for each range of shards: the partition id is given, so no sampling and no clashes of hashes
-    each = -(-shards // TASKS)
-    dealt = placed.select("shard", "slot", "tokens", "parts").repartitionById(-(-shards // each), F.expr(f"int(shard div {each})"))
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _write(folder: str, length: int, per_shard: int, end_id: int):
+    """One file for each shard, from its pieces in order of slot and start.
+
+    A file is written under a name of its own attempt and then moved, so a task that is run again replaces it whole.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        store.create_dir(base, recursive=True)
+        attempt = TaskContext.get().taskAttemptId()
         shard, rows = None, []
 
         def close() -> pa.RecordBatch:
             first = shard * per_shard
-            if [r[0] for r in rows] != list(range(first, first + len(rows))):
+            slots = sorted({r[0] for r in rows})
+            name = f"{base}/shard-{shard:08d}.bin"
+            payload = _padded(rows, length, end_id)
+            if slots != list(range(first, first + len(slots))) or len(payload) != 2 * length * len(slots):
                 raise RuntimeError(f"shard {shard} has a gap or a repeated slot")
-            parts = [{"slot": s} | p for s, _, ps in rows for p in ps]
-            kind = pa.list_(pa.struct([("slot", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("size", pa.int32())]))
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([first], pa.int64()), pa.array([len(rows)], pa.int32()), pa.array([stride], pa.int32()), pa.array([b"".join(r[1] for r in rows)], pa.binary()), pa.array([parts], kind)], ["shard", "first_slot", "records", "stride", "payload", "parts"])
+            with store.open_output_stream(f"{name}.{attempt}") as out:
+                out.write(payload)
+            store.move(f"{name}.{attempt}", name)
+            parts = [{"slot": s, "doc_id": d, "start": b, "size": len(t) // 2} for s, b, d, t in rows]
+            ids = sorted({d for _, _, d, _ in rows if d is not None})
+            values = (shard, first, len(slots), 2 * length, name, hashlib.sha256(payload).hexdigest(), ids, parts)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.struct([("slot", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("size", pa.int32())])))
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], ["shard", "first_slot", "records", "stride", "path", "sha256", "doc_ids", "parts"])
 
         for batch in batches:
-            for own, *row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for own, *row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if own != shard:
                     if rows:
                         yield close()
@@ -176,32 +186,50 @@ def training_order(docs: DataFrame, vocabulary: str = VOCABULARY, length: int =
         if rows:
             yield close()
 
-    return dealt.sortWithinPartitions("shard", "slot").mapInArrow(write, "shard long, first_slot long, records int, stride int, payload binary, parts array<struct<slot: long, doc_id: long, start: int, size: int>>")
+    return run
 
 
-def write_shards(shards: DataFrame, folder: str) -> DataFrame:
-    """Write each shard as ``shard-<number>.bin`` under ``folder`` (a URI that every executor reaches) and return the manifest.
+def _padded(rows: list[list], length: int, end_id: int) -> bytes:
+    """The pieces one after the other; the sequence that the stream ends in is filled up with ``end_id``."""
+    out, used = [], 0
+    for place, (slot, start, _, piece) in enumerate(rows):
+        if start != used:
+            raise RuntimeError(f"slot {slot} has a gap")
+        out.append(piece)
+        used += len(piece) // 2
+        if place + 1 == len(rows) or rows[place + 1][0] != slot:
+            out.append(np.full(length - used, end_id, "<u2").tobytes())
+            used = 0
+    return b"".join(out)
 
-    A file is written under a name of its own attempt and then moved, so a task that is run again replaces it whole.
-    """
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
+def training_order(docs: DataFrame, folder: str | None = None, vocabulary: str = VOCABULARY, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, end_id: int = END) -> DataFrame:
+    """Write the shards of the training order under ``folder`` and return their manifest, one row for each:
+    ``(shard, first_slot, records, stride, path, sha256, doc_ids, parts)``.
 
-        store, base = fs.FileSystem.from_uri(folder)
-        store.create_dir(base, recursive=True)
-        attempt = TaskContext.get().taskAttemptId()
-        for batch in batches:
-            names, sums = [], []
-            for shard, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                names.append(f"{base}/shard-{shard:08d}.bin")
-                with store.open_output_stream(f"{names[-1]}.{attempt}") as out:
-                    out.write(payload)
-                store.move(f"{names[-1]}.{attempt}", names[-1])
-                sums.append(hashlib.sha256(payload).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), batch.column(4), pa.array(names, pa.string()), pa.array(sums, pa.string())], ["shard", "first_slot", "records", "stride", "path", "sha256"])
-
-    return shards.select("shard", "payload", "first_slot", "records", "stride").mapInArrow(write, "shard long, first_slot long, records int, stride int, path string, sha256 string")
+    The stream of ids is cut into sequences of ``length``; each gets the slot that the keyed permutation gives its index.
+    Shard s holds the slots from s * per_shard on, as ``records`` records of ``stride`` bytes (little-endian 16-bit ids) one
+    after the other, so slot k is at byte (k - first_slot) * stride and reading resumes at any slot. parts names the
+    stretches of documents (slot, doc_id, start and size in ids), doc_ids the documents. Shards are dealt by their number,
+    each as its own bounded group. ``folder`` is a path or URI that every executor reaches, by default a new one in the
+    shared folder. The manifest is staged, so the files are written once.
+
+    Null and empty texts are a single end id; rows that repeat a doc_id are each packed; null doc_ids stay null. Other
+    columns of ``docs`` are not used. The same rows give the same shards however they are split. An empty table gives none.
+    """
+    spark = docs.sparkSession
+    table = stream(docs, vocabulary, end_id)
+    ids = table.agg(F.max(F.col("at") + F.col("size"))).first()[0]
+    if not ids:
+        return spark.createDataFrame([], MANIFEST)
+    folder = folder or f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    total = -(-ids // length)
+    shards = -(-total // per_shard)
+    pieces = table.mapInArrow(_cut(total, length, per_shard, key), "shard long, slot long, start int, doc_id long, tokens binary")
+    # one partition for each range of shards: the partition id is given, so no sampling and no clashes of hashes
+    each = -(-shards // TASKS)
+    dealt = pieces.repartitionById(-(-shards // each), F.expr(f"int(shard div {each})")).sortWithinPartitions("shard", "slot", "start")
+    return stage(dealt.mapInArrow(_write(folder, length, per_shard, end_id), MANIFEST), "shard-manifest")
 
 
 def read_slots(path: str, first_slot: int, stride: int, start: int, stop: int) -> np.ndarray:

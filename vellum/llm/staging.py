@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor and the driver can reach.
 
-    ``spark.checkpoint.dir`` names it on a cluster. Only where that is unset (tests, local mode) is a temporary folder
-    chosen, and it then also becomes the checkpoint folder of the context.
+    ``spark.checkpoint.dir`` names it on a cluster. Only in local mode, and where that is unset (as in tests), is a temporary
+    folder chosen, which then also becomes the checkpoint folder of the context; elsewhere its lack is an error.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
@@ -21,15 +21,31 @@ def shared_dir(spark: SparkSession) -> str:
     held = sc._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="vellum-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back, so later steps neither recompute it nor depend on its lineage."""
+    """Write ``df`` once to the shared folder and read it back, so later steps neither recompute it nor depend on its lineage.
+
+    The shuffles that led to it are of no use any more; a collection on the driver lets Spark's cleaner delete their files.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    staged = df.sparkSession.read.schema(df.schema).parquet(path)
+    staged._staged = path
+    return staged
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for table in tables:
+        sc = table.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(table._staged)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

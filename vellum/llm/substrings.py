@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import stage
+from .staging import release, stage
 
 LENGTH = 400
 Q = 128
@@ -175,9 +175,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFra
     schema = "doc_id long, digest long, bucket long, name binary, anchor int, first int, last int"
     shared = stage(texts.select("doc_id", "digest", "text").mapInArrow(_anchors(length, q), schema).join(often, "bucket"), "substring-anchors")
 
+    release(often)
     classes = stage(shared.groupBy("bucket", "name").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("doc_id", "digest", "anchor")]), "substring-classes")
     equal = classes.where("n > 1").select("bucket", "name")
     found = shared.join(equal, ["bucket", "name"]).select("doc_id", "digest", F.col("first").alias("begin"), (F.col("last") + length).alias("end"))
+    found = stage(found, "substring-found")
+    release(shared)
 
     mixed = stage(classes.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket"), "substring-mixed")
     listed = classes.join(mixed, "bucket").groupBy(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest")).agg(F.collect_list(F.struct("bucket", "anchor")).alias("listed"))
@@ -185,6 +188,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFra
     # of rows that are equal in doc_id and text, one stands for all
     context = near.select("doc_id", "digest", "text", "listed").mapInArrow(lambda b: _contexts(b, length, q), "doc_id long, digest long, bucket long, anchor int, left int, context binary")
     context = stage(context.dropDuplicates(["doc_id", "digest", "anchor"]).withColumn("rid", F.monotonically_increasing_id()), "substring-contexts")
+    release(classes, mixed)
 
     most = length - q
     first_blocks = F.transform(F.lit(list(range(0, most + 1, BLOCKS[0]))), lambda x: F.struct(x.alias("x"), F.col("bucket").alias("pointer")))
@@ -196,24 +200,28 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFra
         whole = rows.where("not open")
         spans = stage(whole.groupBy("pointer", "x", "core", "span").agg(F.count("*").alias("n"), F.min("rid").alias("rid")), "substring-block-classes")
         same = whole.join(spans.where("n > 1").select("pointer", "x", "core", "span"), ["pointer", "x", "core", "span"])
-        parts.append(same.select("rid", "x", "y").join(place, "rid").select("doc_id", "digest", (F.col("anchor") - F.col("y")).alias("begin"), (F.col("anchor") - F.col("x") + length).alias("end")))
+        same = same.select("rid", "x", "y").join(place, "rid").select("doc_id", "digest", (F.col("anchor") - F.col("y")).alias("begin"), (F.col("anchor") - F.col("x") + length).alias("end"))
+        parts.append(stage(same, "substring-same"))
         if not finer:
+            release(rows, spans, context)
             break
         # a block goes on where cores agree and spans don't; one member stands for each span, and the least one of all
         # that agree in the core is their new pointer. Where another block at the same place is open, it may match any of
         # them, so all of that place go on under the pointer they have.
         open_at = stage(rows.where("open").select("pointer", "x").distinct(), "substring-open")
         unlike = spans.groupBy("pointer", "x", "core").agg(F.count("*").alias("m"), F.min("rid").alias("next")).where("m > 1").drop("m")
-        refined = spans.join(stage(unlike, "substring-pointers"), ["pointer", "x", "core"]).join(open_at, ["pointer", "x"], "left_anti").select("rid", "x", F.col("next").alias("pointer"))
+        pointers = stage(unlike, "substring-pointers")
+        refined = spans.join(pointers, ["pointer", "x", "core"]).join(open_at, ["pointer", "x"], "left_anti").select("rid", "x", F.col("next").alias("pointer"))
         kept = spans.join(open_at, ["pointer", "x"]).select("rid", "x", "pointer")
         down = refined.union(kept).union(rows.where("open").select("rid", "x", "pointer"))
         children = F.transform(F.sequence(F.lit(0), F.lit(size - finer), F.lit(finer)), lambda k: F.struct((F.col("x") + k).cast("int").alias("x"), F.col("pointer").alias("pointer")))
-        children = down.distinct().withColumn("b", F.explode(children)).where(F.col("b.x") <= most)
+        children = stage(down.distinct().withColumn("b", F.explode(children)).where(F.col("b.x") <= most).select("rid", "b"), "substring-children")
+        release(rows, spans, open_at, pointers)
         blocks = context.join(children.groupBy("rid").agg(F.collect_list("b").alias("blocks")), "rid").select("rid", "left", "context", "blocks")
     out = parts[0]
     for part in parts[1:]:
         out = out.union(part)
-    return stage(out, "substring-spans")
+    return out
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

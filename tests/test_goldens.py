@@ -189,15 +189,32 @@ def test_bounded_differences(spark):
     source = " ".join(f"word{i}" for i in range(200))
     field = " ".join(f"word{i}" if i != 70 else "other" for i in range(50, 90))
     fields = spark.createDataFrame([("p", "c", "body", field), ("n", "c", "footnote", "zz qq")], "path string, chapter_id string, kind string, text string")
-    compared = audit.compare_fields(fields, spark.createDataFrame([("c", source)], "chapter_id string, scope string"))
+    scopes = spark.createDataFrame([("c", source)], "chapter_id string, scope string")
+    compared = audit.compare_fields(fields, scopes)
     assert {r["path"]: r["status"] for r in compared.collect()} == {"p": "substantive_review_required", "n": "footnote_difference"}
-    row = next(r for r in audit.differences(compared).collect() if r["path"] == "p")
+    found = {r["path"]: r for r in audit.differences(compared, scopes).collect()}
+    row = found["p"]
+    assert found["n"]["similarity"] == 0 and found["n"]["operation_count"] == 1
     assert row["operation_count"] == 1 and tuple(row["operations"][0]) == ("replace", "other", "word70")
     assert row["similarity"] == pytest.approx(SequenceMatcher(None, field.split(), source.split()[50:90]).ratio(), abs=1e-6)
     pairs = spark.createDataFrame([(1, source, " ".join(source.split()[:100] + source.split()[130:]))], "key long, expected string, actual string")
     assert audit.missing_chunks(pairs).first()["chunk"].split() == [f"word{i}" for i in range(100, 130)]
 
 
+def test_the_stretch_that_stands_for_a_field(spark):
+    source = [f"w{i}" for i in range(400)]
+    fields = [
+        ("middle", source[100:150]),
+        ("insertion", source[200:230] + source[290:320]),
+        ("unanchored", ["x", "y", *source[60:100], *["z"] * 80]),
+        ("nowhere", ["q"] * 30),
+        ("short", source[5:7]),
+    ]
+    rows = spark.createDataFrame([(p, "c", a) for p, a in fields], "path string, chapter_id string, a array<string>")
+    got = {r["path"]: (r["start"], r["stop"]) for r in audit.locate(rows, spark.createDataFrame([("c", source)], "chapter_id string, b array<string>")).collect()}
+    assert got == {"middle": (100, 150), "insertion": (200, 320), "unanchored": (58, 180)}
+
+
 def test_fields_of_nested_content(spark, tmp_path):
     (tmp_path / "c.json").write_text(json.dumps([chapter(sections=[{"title": "S", "legalText": "<p>Body</p><hr>Note", "qas": [{"q": "Q&A 1: Why?", "a": "So"}]}])]))
     got = {(r["kind"], r["text"].strip()) for r in audit.collect_fields(documents.read_chapters(spark, str(tmp_path / "c.json"))).collect()}

@@ -6,14 +6,15 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from vellum.functions import text as tx
 
 STATUSES = ("exact_after_layout_normalization", "exact_after_pdf_wrap_dehyphenation", "punctuation_difference", "case_or_punctuation_difference", "footnote_difference", "substantive_review_required")
-#: Least anchor, kept operations, and signs of excerpts and operations.
-ANCHOR, OPERATIONS, EXCERPT, OPERATION = 3, 12, 300, 500
+#: Tokens of an anchor, kept operations, tokens and signs of excerpts, signs of operations and of plain excerpts.
+ANCHOR, OPERATIONS, FIRST, EXCERPT, OPERATION, PLAIN = 3, 12, 40, 300, 500, 240
 
 
 def collect_fields(chapters: DataFrame) -> DataFrame:
@@ -47,20 +48,27 @@ def collect_fields(chapters: DataFrame) -> DataFrame:
 
 
 def compare_fields(fields: DataFrame, scopes: DataFrame) -> DataFrame:
-    """``(path, chapter_id, kind, text)`` and ``(chapter_id, scope)`` to ``(path, chapter_id, kind, sha256, characters, status)``.
+    """``(path, chapter_id, kind, text)`` and ``(chapter_id, scope)`` to ``(path, chapter_id, kind, sha256, characters, status, expected)``.
 
-    An equi-join on the chapter, then the cheapest test first. A scope is one chapter's source text, a field one of its texts.
+    A scope is one chapter's source text, a field one of its texts. The small fields of a chapter travel together to its
+    scope, so a scope and its looser forms are shuffled and worked out once however many fields it has; each field takes
+    the cheapest test that passes.
     """
-    field, scope = F.col("text"), F.col("scope")
-    strict, strict_scope = tx.normalize_layout(field), tx.normalize_layout(scope)
-    loose, loose_scope = tx.normalize_layout(field, True), tx.normalize_layout(scope, True)
-    scopes = scopes.select("chapter_id", "scope", strict_scope.alias("_strict"), loose_scope.alias("_loose")).withColumns({"_words": tx.words_only(F.col("_strict")), "_folded": tx.words_only(F.col("_strict"), True)})
-    rows = fields.withColumns({"_e": strict, "_d": loose}).withColumns({"_w": tx.words_only(F.col("_e")), "_f": tx.words_only(F.col("_e"), True)})
-    joined = rows.join(scopes, "chapter_id", "left")
-    inside = lambda whole, part: (F.length(part) > 0) & F.coalesce(F.contains(F.col(whole), F.col(part)), F.lit(False))
-    status = F.when(inside("_strict", "_e"), STATUSES[0]).when(inside("_loose", "_d"), STATUSES[1]).when(inside("_words", "_w"), STATUSES[2]).when(inside("_folded", "_f"), STATUSES[3])
-    status = status.when(F.col("kind") == "footnote", STATUSES[4]).otherwise(STATUSES[5])
-    return joined.select("path", "chapter_id", "kind", F.upper(F.sha2("_e", 256)).alias("sha256"), F.length("_e").alias("characters"), status.alias("status"), F.col("_e").alias("expected"), F.col("_strict").alias("actual"))
+    strict = tx.normalize_layout(F.col("text"))
+    rows = fields.withColumns({"_e": strict, "_d": tx.normalize_layout(F.col("text"), True)})
+    grouped = rows.groupBy("chapter_id").agg(F.collect_list(F.struct("path", "kind", F.col("_e").alias("e"), F.col("_d").alias("d"))).alias("_fields"))
+    forms = scopes.select("chapter_id", tx.normalize_layout(F.col("scope")).alias("_strict"), tx.normalize_layout(F.col("scope"), True).alias("_loose"))
+    forms = forms.withColumns({"_words": tx.words_only(F.col("_strict")), "_folded": tx.words_only(F.col("_strict"), True)})
+    inside = lambda whole, part: (F.length(part) > 0) & F.coalesce(F.contains(F.col(whole), part), F.lit(False))
+
+    def judged(f: Column) -> Column:
+        status = F.when(inside("_strict", f["e"]), STATUSES[0]).when(inside("_loose", f["d"]), STATUSES[1])
+        status = status.when(inside("_words", tx.words_only(f["e"])), STATUSES[2]).when(inside("_folded", tx.words_only(f["e"], True)), STATUSES[3])
+        status = status.when(f["kind"] == "footnote", STATUSES[4]).otherwise(STATUSES[5])
+        return F.struct(f["path"].alias("path"), f["kind"].alias("kind"), f["e"].alias("e"), status.alias("status"))
+
+    joined = grouped.join(forms, "chapter_id", "left").select("chapter_id", F.explode(F.transform("_fields", judged)).alias("f"))
+    return joined.select("f.path", "chapter_id", "f.kind", F.upper(F.sha2("f.e", 256)).alias("sha256"), F.length("f.e").alias("characters"), "f.status", F.col("f.e").alias("expected"))
 
 
 def histogram(compared: DataFrame) -> DataFrame:
@@ -69,42 +77,71 @@ def histogram(compared: DataFrame) -> DataFrame:
     return counts.withColumn("needs_review", ~F.col("status").isin(*STATUSES[:2]))
 
 
-DIFFERENCE = "similarity double, expected_excerpt string, actual_excerpt string, operation_count int, operations array<struct<operation: string, expected: string, actual: string>>"
+def _grams(tokens: str) -> Column:
+    """``(at, gram)`` of every stretch of ANCHOR tokens."""
+    last = F.size(tokens) - ANCHOR
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(tokens, i + 1, ANCHOR)).alias("gram")))
+    return F.explode(F.when(last >= 0, cut))
 
 
-def _window(a: list[str], b: list[str]) -> tuple[int, int]:
-    """The stretch of ``b`` that stands for ``a``: between anchors near both of its ends, else around the longest match."""
-    blocks = SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()
-    slack = max(20, len(a) // 5)
-    heads = [m for m in blocks if m.size >= ANCHOR and m.a <= slack]
-    tails = [m for m in blocks if m.size >= ANCHOR and m.a + m.size >= len(a) - slack]
-    if heads and tails and heads[0].b <= tails[-1].b:
-        head, tail = heads[0], tails[-1]
-        return max(0, head.b - head.a), min(len(b), tail.b + len(a) - tail.a)
-    best = max(blocks, key=lambda m: m.size)
-    return max(0, best.b - best.a), min(len(b), max(0, best.b - best.a) + len(a))
+def locate(fields: DataFrame, scopes: DataFrame) -> DataFrame:
+    """``(path, chapter_id, start, stop)``: the stretch of scope tokens that stands for each field of ``(path, chapter_id, a)``.
 
+    Stretches of three tokens that occur once in a field are its anchors, matched with those of its chapter's scope by an
+    equi-join. Where an anchor near the field's beginning lies before one near its end, the stretch reaches from one to
+    the other; else it is as long as the field and lies on the diagonal that most anchors agree on. A field without any
+    match gets the scope's beginning.
+    """
+    keyed = fields.select("path", "chapter_id", F.size("a").alias("n"), _grams("a").alias("g")).select("path", "chapter_id", "n", "g.at", "g.gram")
+    once = keyed.groupBy("path", "chapter_id", "n", "gram").agg(F.count("*").alias("c"), F.min("at").alias("a")).where("c = 1").drop("c")
+    own = scopes.join(fields.select("chapter_id").distinct(), "chapter_id", "left_semi").select("chapter_id", _grams("b").alias("g")).select("chapter_id", F.col("g.at").alias("b"), "g.gram")
+    slack = F.greatest(F.lit(20), F.expr("n div 5"))
+    anchor = F.struct("a", "b")
+    matched = once.join(own, ["chapter_id", "gram"]).groupBy("path", "chapter_id", "n", (F.col("b") - F.col("a")).alias("diagonal"))
+    by_diagonal = matched.agg(F.count("*").alias("votes"), F.min(F.when(F.col("a") <= slack, anchor)).alias("head"), F.max(F.when(F.col("a") + ANCHOR >= F.col("n") - slack, anchor)).alias("tail"))
+    found = by_diagonal.groupBy("path", "chapter_id", "n").agg(F.min("head").alias("head"), F.max("tail").alias("tail"), F.max_by("diagonal", F.struct("votes", -F.col("diagonal"))).alias("diagonal"))
+    both = F.coalesce(F.col("head.b") <= F.col("tail.b"), F.lit(False))
+    start = F.greatest(F.lit(0), F.when(both, F.col("head.b") - F.col("head.a")).otherwise(F.col("diagonal")))
+    stop = F.when(both, F.col("tail.b") - F.col("tail.a")).otherwise(F.greatest(F.lit(0), F.col("diagonal"))) + F.col("n")
+    return found.select("path", "chapter_id", start.alias("start"), stop.alias("stop"))
 
-def differences(compared: DataFrame) -> DataFrame:
-    """Add a bounded difference to the rows that no containment test passed. Quadratic, so only those rows reach it."""
-    left = compared.where(~F.col("status").isin(*STATUSES[:2])).withColumns({"_a": tx.tokens(F.col("expected")), "_b": tx.tokens(F.coalesce("actual", F.lit("")))})
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for path, expected, actual, a, b in zip(frame["path"], frame["expected"], frame["actual"], frame["_a"], frame["_b"], strict=True):
-                a, b = list(a), list(b)
-                if not a or not b:
-                    out.append((path, 0.0, expected[:240], (actual or "")[:240], 0, []))
-                    continue
-                start, end = _window(a, b)
-                matcher = SequenceMatcher(None, a, b[start:end], autojunk=False)
-                changes = [(kind, " ".join(a[i:j])[:OPERATION], " ".join(b[start:end][k:n])[:OPERATION]) for kind, i, j, k, n in matcher.get_opcodes() if kind != "equal"]
-                kept = [dict(zip(("operation", "expected", "actual"), c, strict=True)) for c in changes[:OPERATIONS]]
-                out.append((path, round(matcher.ratio(), 6), " ".join(a[:40])[:EXCERPT], " ".join(b[start:end][:40])[:EXCERPT], len(changes), kept))
-            yield pd.DataFrame(out, columns=["path", "similarity", "expected_excerpt", "actual_excerpt", "operation_count", "operations"])
-
-    return left.select("path", "expected", "actual", "_a", "_b").mapInPandas(run, f"path string, {DIFFERENCE}")
+CHANGE = StructType([StructField("operation", StringType()), *[StructField(c, IntegerType()) for c in "ijkl"]])
+
+
+@F.pandas_udf(StructType([StructField("similarity", DoubleType()), StructField("changes", ArrayType(CHANGE))]))
+def _align(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """Similarity of two lists of tokens, and the stretches by which they differ."""
+    matchers = [SequenceMatcher(None, list(x), list(y), autojunk=False) for x, y in zip(a, b, strict=True)]
+    changes = [[dict(zip(("operation", "i", "j", "k", "l"), c, strict=True)) for c in m.get_opcodes() if c[0] != "equal"] for m in matchers]
+    return pd.DataFrame({"similarity": [m.ratio() for m in matchers], "changes": changes})
+
+
+def differences(compared: DataFrame, scopes: DataFrame) -> DataFrame:
+    """``(path, chapter_id, similarity, expected_excerpt, actual_excerpt, operation_count, operations)`` of the fields that no
+    exact test passed, against their chapter's scope.
+
+    Spark finds the stretch of the scope that stands for a field (see locate); only the two are aligned, so the quadratic
+    step is bounded by them. Where either side has no token, the similarity is 0 and the excerpts are of the texts.
+    """
+    left = compared.where(~F.col("status").isin(*STATUSES[:2])).select("path", "chapter_id", "expected", tx.tokens(F.col("expected")).alias("a"))
+    sources = scopes.select("chapter_id", tx.normalize_layout(F.col("scope")).alias("_scope")).withColumn("b", tx.tokens(F.col("_scope")))
+    placed = left.join(locate(left, sources), ["path", "chapter_id"], "left").join(sources, "chapter_id", "left")
+    start = F.coalesce("start", F.lit(0))
+    rows = placed.withColumn("w", F.slice(F.coalesce("b", F.array().cast("array<string>")), start + 1, F.greatest(F.lit(0), F.coalesce("stop", F.size("a")) - start)))
+    rows = rows.withColumn("_none", (F.size("a") == 0) | (F.size("w") == 0)).withColumn("m", _align("a", "w"))
+    text = lambda tokens, i, j: F.left(F.array_join(F.slice(tokens, i + 1, j - i), " "), F.lit(OPERATION))
+    kept = F.transform(F.slice("m.changes", 1, OPERATIONS), lambda c: F.struct(c["operation"].alias("operation"), text("a", c["i"], c["j"]).alias("expected"), text("w", c["k"], c["l"]).alias("actual")))
+    excerpt = lambda tokens, whole: F.when(F.col("_none"), F.left(F.coalesce(whole, F.lit("")), F.lit(PLAIN))).otherwise(F.left(F.array_join(F.slice(tokens, 1, FIRST), " "), F.lit(EXCERPT)))
+    return rows.select(
+        "path",
+        "chapter_id",
+        F.when(F.col("_none"), 0.0).otherwise(F.round("m.similarity", 6)).alias("similarity"),
+        excerpt("a", F.col("expected")).alias("expected_excerpt"),
+        excerpt("w", F.col("_scope")).alias("actual_excerpt"),
+        F.when(F.col("_none"), 0).otherwise(F.size("m.changes")).alias("operation_count"),
+        F.when(F.col("_none"), F.array()).otherwise(kept).alias("operations"),
+    )
 
 
 def missing_chunks(pairs: DataFrame, least: int = 20) -> DataFrame:

@@ -144,15 +144,15 @@ def glossary_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _DRIFT = """SELECT key, a.definition AS left_definition, b.definition AS right_definition, CASE WHEN b.definition IS NULL THEN 'extra' WHEN a.definition IS NULL THEN 'missing' WHEN a.definition = b.definition THEN 'equal'
     WHEN length(b.definition) = 0 THEN 'PARAPHRASED' WHEN round_even(100.0::DOUBLE * length(a.definition) / length(b.definition), 0) < 70 THEN 'PARAPHRASED' WHEN round_even(100.0::DOUBLE * length(a.definition) / length(b.definition), 0) < 95 THEN 'TRUNCATED' ELSE 'MINOR DIFF' END AS status
-FROM (SELECT doc_id % 997 AS key, min(left(text, 100)) AS definition FROM documents WHERE doc_id % 7 <> 0 GROUP BY 1) a FULL JOIN (SELECT doc_id % 997 AS key, min(left(text, 90 + (doc_id % 60)::INT)) AS definition FROM documents WHERE doc_id % 5 <> 0 GROUP BY 1) b USING (key)"""
+FROM (SELECT conv_id AS key, min(text) AS definition FROM conversations WHERE role = 'user' GROUP BY 1) a FULL JOIN (SELECT conv_id AS key, min(text) AS definition FROM conversations WHERE role = 'assistant' GROUP BY 1) b USING (key)"""
 
 
 @register(_DRIFT)
 def definition_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("key", F.col("doc_id") % 997)
-    left = docs.where("doc_id % 7 != 0").groupBy("key").agg(F.min(F.expr("left(text, 100)")).alias("definition"))
-    right = docs.where("doc_id % 5 != 0").groupBy("key").agg(F.min(F.expr("left(text, 90 + int(doc_id % 60))")).alias("definition"))
-    return glossary.compare(left, right)
+    """What either side of each conversation says first by code point, whole texts."""
+    turns = table(spark, sf_dir, "conversations")
+    side = lambda role: turns.where(F.col("role") == role).groupBy(F.col("conv_id").alias("key")).agg(F.min("text").alias("definition"))
+    return glossary.compare(side("user"), side("assistant"))
 
 
 @register(rf"""WITH l AS (SELECT doc_id, unnest(range(len(p))) AS line_no, unnest(p) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)), m AS (
@@ -167,21 +167,24 @@ def definition_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return glossary.definition_lines(lines.withColumn("line", F.when(F.col("line_no") % 2 == 0, F.regexp_replace("line", "^([A-Z][a-z]+) ", "$1: ")).otherwise(F.col("line"))))
 
 
-@register("""SELECT i.key, string_agg(p.text, chr(10) ORDER BY p.page) AS scope FROM (SELECT item_id % 10 AS key, min(item_id) % 7 AS f, min(item_id) % 7 + 3 AS l FROM benchmark GROUP BY 1) i
-JOIN (SELECT doc_id AS page, text FROM documents WHERE doc_id < 20) p ON p.page BETWEEN i.f AND i.l GROUP BY i.key""")
+@register("""SELECT i.key, string_agg(p.text, chr(10) ORDER BY p.page) AS scope FROM (SELECT DISTINCT doc_id // 8 AS key FROM documents WHERE doc_id >= 0) i
+JOIN (SELECT doc_id AS page, text FROM documents) p ON p.page BETWEEN i.key * 8 AND i.key * 8 + 9 GROUP BY i.key""")
 def page_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranges = table(spark, sf_dir, "benchmark").groupBy((F.col("item_id") % 10).alias("key")).agg((F.min("item_id") % 7).alias("first_page"), (F.min("item_id") % 7 + 3).alias("last_page"))
-    pages = table(spark, sf_dir, "documents").where("doc_id < 20").select(F.col("doc_id").alias("page"), "text")
-    return runs.page_scope(pages, ranges)
+    """All documents as pages; chapters of ten pages, of which each shares two with the next."""
+    docs = table(spark, sf_dir, "documents")
+    ranges = docs.where("doc_id >= 0").select(F.expr("doc_id div 8").alias("key")).distinct()
+    ranges = ranges.select("key", (F.col("key") * 8).alias("first_page"), (F.col("key") * 8 + 9).alias("last_page"))
+    return runs.page_scope(docs.select(F.col("doc_id").alias("page"), "text"), ranges)
 
 
-def _audited(spark: SparkSession, sf_dir: str, start: str = "11") -> DataFrame:
-    """Fields cut out of documents, changed in one way or another, against the documents."""
+def _audited(spark: SparkSession, sf_dir: str, start: str = "11") -> tuple[DataFrame, DataFrame]:
+    """Fields cut out of documents, changed in one way or another, against the documents; and these as scopes."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chapter_id"), F.coalesce("text", F.lit("")).alias("text"))
     piece = F.expr(f"substring(text, {start}, 80)")
     changed = F.when(F.col("chapter_id") % 5 == 0, piece).when(F.col("chapter_id") % 5 == 1, F.translate(piece, ".,", ";;")).when(F.col("chapter_id") % 5 == 2, F.concat(piece, F.lit(" zzqq"))).when(F.col("chapter_id") % 5 == 3, F.concat(F.lit(" "), piece)).otherwise("")
     fields = docs.select(F.col("chapter_id").cast("string").alias("path"), "chapter_id", F.when(F.col("chapter_id") % 2 == 0, "body").otherwise("footnote").alias("kind"), changed.alias("text"))
-    return audit.compare_fields(fields, docs.withColumnRenamed("text", "scope"))
+    scopes = docs.withColumnRenamed("text", "scope")
+    return audit.compare_fields(fields, scopes), scopes
 
 
 _WORDS = r"array_to_string(regexp_extract_all({0}, '[\p{{L}}\p{{N}}_]+'), ' ')"
@@ -196,19 +199,19 @@ _AUDIT = f"""d AS (SELECT doc_id, coalesce(text, '') AS t, substr(coalesce(text,
 
 @register(f"WITH {_AUDIT} SELECT * FROM a")
 def contain_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _audited(spark, sf_dir).select("path", "kind", "sha256", "characters", "status")
+    return _audited(spark, sf_dir)[0].select("path", "kind", "sha256", "characters", "status")
 
 
 @register(f"WITH {_AUDIT} SELECT status, count(*) AS n, status NOT LIKE 'exact%' AS needs_review FROM a GROUP BY status")
 def status_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.histogram(_audited(spark, sf_dir))
+    return audit.histogram(_audited(spark, sf_dir)[0])
 
 
 @register()
 def token_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bounded differences of the fields that no containment test passed, cut from all parts of the texts, against whole documents."""
-    failed = _audited(spark, sf_dir, "int(1 + pmod(chapter_id * 7919, greatest(length(text) - 79, 1)))").where(F.col("status").isin(*audit.STATUSES[4:]))
-    return audit.differences(failed)
+    compared, scopes = _audited(spark, sf_dir, "int(1 + pmod(chapter_id * 7919, greatest(length(text) - 79, 1)))")
+    return audit.differences(compared.where(F.col("status").isin(*audit.STATUSES[4:])), scopes)
 
 
 @register("SELECT key, 'missing' AS side FROM (SELECT doc_id AS key FROM documents EXCEPT SELECT doc_id FROM labels) UNION ALL SELECT key, 'extra' FROM (SELECT doc_id AS key FROM labels EXCEPT SELECT doc_id FROM documents)")

@@ -62,11 +62,12 @@ def quiz_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quiz.score(answers, "right", "source")
 
 
-@register("SELECT source, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS wrong FROM documents JOIN labels USING (doc_id) WHERE quality <> 1 GROUP BY source")
+@register("SELECT source, doc_id // 4096 AS part, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS wrong FROM documents JOIN labels USING (doc_id) WHERE quality <> 1 GROUP BY 1, 2")
 def wrong_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wrong answers of each source in parts of bounded size: those of one stretch of 4,096 ids each."""
     answers = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").where("quality != 1")
     ids = F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string"))
-    return answers.groupBy("source").agg(F.array_join(ids, ",").alias("wrong"))
+    return answers.groupBy("source", F.expr("doc_id div 4096").alias("part")).agg(F.array_join(ids, ",").alias("wrong"))
 
 
 @register("SELECT p_partkey, p_name, sha256('quiz:' || p_partkey) AS digest FROM part ORDER BY digest LIMIT 10")

@@ -210,6 +210,13 @@ def link_terms(html: Column, terms: list[str]) -> Column:
     return F.array_join(F.transform(_around_tags(html), lambda p: F.when(F.startswith(p, F.lit("<")), p).otherwise(F.regexp_replace(p, F.lit(pattern), F.lit("<span data-term>$1</span>")))), "")
 
 
+def shown_html(html: Column, query: str | None, terms: list[str], is_glossary: Column) -> Column:
+    """What a section shows: marks of a search if there is one, else glossary links, but none in the glossary itself."""
+    if (query or "").strip():
+        return highlight(html, query)
+    return F.when(is_glossary, F.coalesce(html, F.lit(""))).otherwise(link_terms(html, terms))
+
+
 def report_name(event: Column, suffix: str) -> Column:
     """First four words of letters and digits joined by ``_``, then the suffix; ``Report`` for an empty name."""
     kept = F.filter(F.split(trim(_replace(F.coalesce(event, F.lit("")), (r"[^A-Za-z0-9\s]", ""))), rf"{SPACE}+"), lambda w: w != "")

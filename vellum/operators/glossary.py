@@ -63,3 +63,15 @@ def compare(left: DataFrame, right: DataFrame) -> DataFrame:
     ratio = F.when(F.length(b) > 0, F.bround(100.0 * F.length(a) / F.length(b))).otherwise(0)
     status = F.when(b.isNull(), "extra").when(a.isNull(), "missing").when(a == b, "equal").when(ratio < 70, "PARAPHRASED").when(ratio < 95, "TRUNCATED").otherwise("MINOR DIFF")
     return both.withColumn("status", status)
+
+
+def phrase_hits(docs: DataFrame, glossary: DataFrame, longest: int = 4) -> DataFrame:
+    """``(doc_id, key, hits)``: how often each key of up to ``longest`` words, joined by single blanks, stands in each text.
+
+    Every run of so many words is a candidate, counted per text before the join on the key; overlapping occurrences count.
+    """
+    words = docs.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)).alias("_w"))
+    runs = lambda n: F.when(F.size("_w") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("_w", i, n), " "))).otherwise(F.array().cast("array<string>"))
+    found = words.select("doc_id", F.explode(F.concat(*[runs(n) for n in range(1, longest + 1)])).alias("key"))
+    counted = found.groupBy("doc_id", "key").agg(F.count("*").alias("hits"))
+    return counted.join(glossary.select("key"), "key", "left_semi").select("doc_id", "key", "hits")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.sources.staging import checkpoint
@@ -104,3 +104,8 @@ def walk(choices: DataFrame) -> DataFrame:
     fold = """aggregate(log, cast(array() as array<string>), (p, s) -> case s.action
         when 'choose' then concat(p, array(s.node)) when 'back' then slice(p, 1, greatest(1, size(p) - 1)) when 'reset' then slice(p, 1, 1) else p end)"""
     return log.select("walk_id", F.expr(fold).alias("path"))
+
+
+def on_path(path: Column, node: Column) -> Column:
+    """Whether an option's node lies on the chosen path."""
+    return F.coalesce(F.array_contains(path, node), F.lit(False))

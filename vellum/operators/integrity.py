@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 SAFE_ID = "^[a-z0-9][a-z0-9-]*$"
 
@@ -19,36 +18,16 @@ def digest(value: Column) -> Column:
 
 
 def table_digest(rows: DataFrame, key: str, text: str, *groups: str) -> DataFrame:
-    """One digest per group over its rows' digests in the order of ``key``.
+    """``(*groups, n, digest)``: one digest per group over its rows, in levels, so no task hashes a whole group.
 
-    Each group is sorted by Spark, which spills, and hashed as it streams by, so no group is ever held whole.
+    Rows are digested, then the rows of each stretch of 4,096 integer keys in the order of key and digest, then 4,096
+    stretches at a time, then those of a group: each digest is that of the ones below it, joined in order.
     """
-    each = rows.select(*groups, F.col(key).alias("_key"), digest(F.concat(F.col(key).cast("string"), F.lit("\u0000"), F.coalesce(text, F.lit("")))).alias("_digest"))
-    dealt = each.repartition(*groups) if groups else each.repartition(1)
-    ordered = dealt.sortWithinPartitions(*groups, "_key", "_digest").select(*groups, "_digest")
-    schema = StructType([*each.select(*groups).schema.fields, StructField("n", LongType()), StructField("digest", StringType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, n, state, kinds = None if groups else (), 0, hashlib.sha256(), None
-
-        def close() -> pa.RecordBatch:
-            values = [pa.array([v], t) for v, t in zip(own, kinds or (), strict=True)]
-            return pa.RecordBatch.from_arrays([*values, pa.array([n], pa.int64()), pa.array([state.hexdigest().upper()])], [*groups, "n", "digest"])
-
-        for batch in batches:
-            kinds = batch.schema.types[:-1]
-            names = zip(*(c.to_pylist() for c in batch.columns[:-1]), strict=True) if groups else [()] * batch.num_rows
-            for name, value in zip(names, batch.column(len(groups)).to_pylist(), strict=True):
-                if name != own:
-                    if own is not None:
-                        yield close()
-                    own, n, state = name, 0, hashlib.sha256()
-                n += 1
-                state.update((value or "").encode())
-        if own is not None:
-            yield close()
-
-    return ordered.mapInArrow(run, schema)
+    level = rows.select(*groups, F.col(key).cast("long").alias("_key"), F.lit(1).cast("long").alias("_n"), digest(F.concat(F.col(key).cast("string"), F.lit("\u0000"), F.coalesce(text, F.lit("")))).alias("_digest"))
+    for up in (F.shiftright("_key", 12), F.shiftright("_key", 12), F.lit(0).cast("long")):
+        below = F.array_sort(F.collect_list(F.struct("_key", "_digest")))
+        level = level.groupBy(*groups, up.alias("_up")).agg(F.sum("_n").alias("_n"), digest(F.array_join(F.transform(below, lambda x: x["_digest"]), "")).alias("_digest")).withColumnRenamed("_up", "_key")
+    return level.select(*groups, F.col("_n").alias("n"), F.col("_digest").alias("digest"))
 
 
 def rebuild(parts: DataFrame, pos: str, text: str, *groups: str) -> DataFrame:
@@ -79,7 +58,8 @@ def verify(known: DataFrame, files: DataFrame) -> DataFrame:
 def json_strings(documents: DataFrame) -> DataFrame:
     """``(key, raw)`` to ``(key, n, path, value)``: every string of a JSON document with its pointer, in document order.
 
-    Works on any structure, so it is a small Python helper over Arrow batches; broken documents yield nothing.
+    Works on any structure, so it is a small Python helper over Arrow batches; documents that are broken or nested too deeply
+    for the decoder yield nothing.
     """
 
     def walk(value, path: str) -> Iterator[tuple[str, str]]:
@@ -100,14 +80,25 @@ def json_strings(documents: DataFrame) -> DataFrame:
             for key, raw in zip(frame["key"], frame["raw"], strict=True):
                 try:
                     parsed = json.loads(raw)
-                except (TypeError, ValueError):
+                    rows += [(key, n, path, value) for n, (path, value) in enumerate(list(walk(parsed, "")))]
+                except (TypeError, ValueError, RecursionError):
                     continue
-                rows += [(key, n, path, value) for n, (path, value) in enumerate(walk(parsed, ""))]
             yield pd.DataFrame(rows, columns=["key", "n", "path", "value"])
 
     return documents.select("key", "raw").mapInPandas(run, "key long, n int, path string, value string")
 
 
+def strings_digest(documents: DataFrame) -> DataFrame:
+    """``(key, raw)`` to ``(key, n, digest)``: one digest over all strings of a JSON document with their pointers, in order.
+
+    It is taken of the JSON text of the list of pairs, so it doesn't depend on blanks or numbers of the document. Documents
+    that are broken, or have no string, have no row.
+    """
+    pair = F.struct("n", F.array("path", "value").alias("p"))
+    listed = json_strings(documents).groupBy("key").agg(F.array_sort(F.collect_list(pair)).alias("l"))
+    return listed.select("key", F.size("l").cast("long").alias("n"), digest(F.to_json(F.transform("l", lambda x: x["p"]))).alias("digest"))
+
+
 def array_slices(sources: DataFrame, prop: str) -> DataFrame:
     """``(key, raw)`` to ``(key, pos, begin, end, element)``: the elements of the root's array ``prop``, byte for byte as written.
 
@@ -118,7 +109,8 @@ def array_slices(sources: DataFrame, prop: str) -> DataFrame:
         import json
 
         decoder = json.JSONDecoder()
-        skip = lambda s, i: i + len(s[i:]) - len(s[i:].lstrip(" \t\r\n"))
+        blanks = re.compile(r"[ \t\r\n]*")
+        skip = lambda s, i: blanks.match(s, i).end()
 
         def members(raw: str) -> Iterator[tuple[int, int]]:
             at = skip(raw, 0)
@@ -145,7 +137,7 @@ def array_slices(sources: DataFrame, prop: str) -> DataFrame:
             for key, raw in zip(frame["key"], frame["raw"], strict=True):
                 try:
                     rows += [(key, pos, begin, end, raw[begin:end]) for pos, (begin, end) in enumerate(members(raw or ""))]
-                except ValueError:
+                except (ValueError, RecursionError):
                     continue
             yield pd.DataFrame(rows, columns=["key", "pos", "begin", "end", "element"])
 

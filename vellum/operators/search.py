@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
@@ -32,3 +32,23 @@ def filter_titles(df: DataFrame, query: str, *columns: str) -> DataFrame:
     for other in found[1:]:
         test = test | other
     return df.where(test)
+
+
+#: The parts in the order they are listed, with their labels.
+PARTS = (("intro", "Introductory Chapters"), ("part1", "Part 1: The Code"), ("part2", "Part 2: Complaint Handling"), ("part3", "Part 3: Annexes & Glossary"), ("website", "Website"))
+
+
+def listed(chapters: DataFrame, part: str = "part", parts: tuple[tuple[str, str], ...] = PARTS) -> DataFrame:
+    """Add ``label`` and ``place`` of each chapter's part; chapters of any other part are left out, as they are never listed."""
+    known = chapters.sparkSession.createDataFrame([(name, label, place) for place, (name, label) in enumerate(parts)], "_part string, label string, place int")
+    return chapters.join(F.broadcast(known), F.col(part) == F.col("_part")).drop("_part")
+
+
+def has_questions(qas: Column) -> Column:
+    """Whether a section shows its badge of questions."""
+    return F.coalesce(F.size(qas) > 0, F.lit(False))
+
+
+def has_contents(sections: Column, summary: Column) -> Column:
+    """Whether a chapter shows a list of contents: it has two sections or more, or a summary."""
+    return (F.coalesce(F.size(sections), F.lit(0)) >= 2) | F.coalesce(F.length(tx.trim(summary)) > 0, F.lit(False))

@@ -84,7 +84,8 @@ def row_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
 
 
-@register("SELECT lang, count(*) AS n, upper(sha256(string_agg(upper(sha256(CAST(doc_id AS VARCHAR) || chr(0) || coalesce(text, ''))), '' ORDER BY doc_id))) AS digest FROM documents GROUP BY lang")
+@register("""WITH a AS (SELECT lang, doc_id >> 12 AS k, count(*) AS n, upper(sha256(string_agg(d, '' ORDER BY doc_id, d))) AS d FROM (SELECT lang, doc_id, upper(sha256(CAST(doc_id AS VARCHAR) || chr(0) || coalesce(text, ''))) AS d FROM documents) GROUP BY ALL),
+b AS (SELECT lang, k >> 12 AS k, sum(n) AS n, upper(sha256(string_agg(d, '' ORDER BY k))) AS d FROM a GROUP BY lang, a.k >> 12) SELECT lang, sum(n)::BIGINT AS n, upper(sha256(string_agg(d, '' ORDER BY k))) AS digest FROM b GROUP BY lang""")
 def aggregate_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.table_digest(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
 

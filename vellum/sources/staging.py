@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; only where it is unset (local mode, tests) one of our own."""
+    """The folder that ``spark.checkpoint.dir`` names; only in local mode, where it is unset, one of our own."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if not named and not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="vellum-"))
     return (named or sc._jsc.sc().getCheckpointDir().get()).rstrip("/")
 

@@ -1,4 +1,4 @@
 """Operators for preparing language-model training data at corpus scale.
 
-Nothing outside this package imports it; the package itself only needs Spark, pyarrow and numpy.
+Nothing outside this package imports it; it needs Spark, pyarrow, numpy, pandas, xxhash and tiktoken.
 """

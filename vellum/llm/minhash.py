@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,10 @@ SIMILARITY = (4, 5)
 #: A pair of similarity s misses all bands with probability (1 - s^ROWS)^BANDS: 0.0004 at 0.8, below 1e-7 at 0.9.
 BANDS, ROWS = 20, 5
 SEED = 42
+#: Rounds in which a bucket is held against one of its members, before the rest is compared pair by pair.
+PIVOTS = 2
+#: A task compares at most two tiles of about so many hashes (or one text that has more) with each other.
+TILE = 1 << 20
 _RANDOM = np.random.default_rng(SEED)
 _FACTORS = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
 _TERMS = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
@@ -94,6 +99,52 @@ def _similar(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where((p + q) * common >= p * (F.size("_a") + F.size("_b"))).select("a", "b")
 
 
+def _common(lists: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each two of the sets share."""
+    size = len(lists)
+    row = np.repeat(np.arange(size), [len(x) for x in lists])
+    _, column, times = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((size, size), np.float32)
+    step = max(256, (1 << 22) // size)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+        part = slice(*np.searchsorted(column, (low, low + step)))
+        x = np.zeros((size, step), np.float32)
+        x[row[part], column[part] - low] = 1
+        out += x @ x.T
+    return out
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links inside each pair of tiles: every set to the first one of its group."""
+    p, q = SIMILARITY
+    for batch in batches:
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for first, second, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            own = members.values
+            ids, tile = own.field("set_id").to_numpy(), own.field("tile").to_numpy()
+            flat, ends = own.field("hashes").flatten().to_numpy(), np.cumsum(pc.list_value_length(own.field("hashes")).to_numpy())
+            lists = np.split(flat, ends[:-1])
+            n = np.array([len(x) for x in lists])
+            near = (p + q) * _common(lists) >= p * (n[:, None] + n[None, :])
+            if first != second:
+                near &= tile[:, None] != tile[None, :]
+            label = np.arange(len(n))
+            while True:
+                lower = np.minimum(label, np.where(near, label[None, :], len(n)).min(1))
+                lower = lower[lower]
+                if (lower == label).all():
+                    break
+                label = lower
+            rows = np.flatnonzero(label != np.arange(len(n)))
+            left.append(ids[rows])
+            right.append(ids[label[rows]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+
+
 def _sizes_allow(n: str, m: str) -> F.Column:
     p, q = SIMILARITY
     return q * F.least(n, m) >= p * F.greatest(n, m)
@@ -103,29 +154,44 @@ def groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``(doc_id, component_id)`` for every row of ``docs``; component_id is the smallest doc_id reachable over near duplicates.
 
     Texts of equal sets of shingles count as one. The others are candidates if they share a bucket, which is a band's
-    key. Within a bucket all members are first held against one of them, picked by hash; then those that aren't in one
-    component yet against each other. So every candidate pair is either compared exactly or already in one component,
-    and a large bucket of near copies costs in proportion to its members.
+    key. In rounds, all members of a bucket are held against one of them: first the most central one, which lies in the
+    largest buckets and so has the least changes of its own, then others picked by hash. Members that are in the pivot's
+    component already are left out, and buckets of one component are done. Buckets that still lie apart after PIVOTS rounds are
+    compared whole, tile by tile inside tasks, and only links leave a task, one for each member. So every candidate pair is
+    either compared exactly or in one component. The work of that last step grows with the square of a bucket whose members
+    are near the threshold to each other; rows and memory don't.
+
+    Null and empty texts have the set of no word and are near duplicates of each other. Rows that repeat a doc_id are judged
+    by their own texts; a null doc_id becomes a component_id only where its component has no other. An empty table gives
+    an empty one; other columns are not used.
     """
     marked = stage(marks(docs, width), "minhash-marks")
     distinct = marked.groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.min("n").alias("n"), F.first("keys").alias("keys"))
     keyed = distinct.select("set_id", "n", F.explode("keys").alias("key"))
-    pick = F.struct(F.xxhash64("set_id", "key").alias("h"), F.col("set_id").alias("pivot"), F.col("n").alias("pivot_n"))
-    pivots = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min(pick).alias("p")).where("size > 1").select("key", "p.pivot", "p.pivot_n")
-    members = stage(keyed.join(pivots, "key"), "minhash-buckets")
+    sizes = stage(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "minhash-sizes")
+    members = stage(keyed.join(sizes, "key"), "minhash-buckets")
+    central = members.groupBy("set_id").agg(F.sum("size").alias("central"))
     wanted = members.select("set_id").distinct()
     first = marked.groupBy("set_id").agg(F.min("doc_id").alias("_first")).join(wanted, "set_id").select("_first").distinct()
     known = stage(sets(docs.join(first, docs["doc_id"].eqNullSafe(first["_first"]), "left_semi"), width), "minhash-sets")
-    near = members.where((F.col("set_id") != F.col("pivot")) & _sizes_allow("n", "pivot_n"))
-    links = stage(_similar(near.select(F.least("set_id", "pivot").alias("a"), F.greatest("set_id", "pivot").alias("b")).distinct(), known).distinct(), "minhash-links")
-    labels = connected_components(links)
-    placed = members.join(labels, members["set_id"] == labels["node"], "left").withColumn("component", F.coalesce("component", "set_id")).drop("node")
-    open_buckets = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    # the pivots have been held against their buckets
-    rest = stage(placed.where("set_id != pivot").join(open_buckets, "key").select("key", "set_id", "n", "component"), "minhash-rest")
-    one, other = (rest.select("key", F.col("set_id").alias(c), F.col("n").alias(f"_{c}"), F.col("component").alias(f"_c{c}")) for c in ("a", "b"))
-    across = one.join(other, "key").where(F.expr("a < b and _ca != _cb") & _sizes_allow("_a", "_b")).select("a", "b").distinct()
-    labels = connected_components(links.union(_similar(across, known))).withColumnRenamed("node", "set_id")
+    opened = stage(members.join(central, "set_id").select("key", "set_id", "n", "central", F.col("set_id").alias("component")), "minhash-open")
+    links, labels = None, None
+    for turn in range(PIVOTS):
+        rank = F.struct((-F.col("central") if turn == 0 else F.lit(0).cast("long")).alias("c"), F.xxhash64(F.lit(turn), "set_id", "key").alias("h"), F.col("set_id").alias("pivot"), F.col("n").alias("_pn"), F.col("component").alias("_pc"))
+        pivots = stage(opened.groupBy("key").agg(F.min(rank).alias("p")).select("key", "p.pivot", "p._pn", "p._pc"), "minhash-pivots")
+        near = opened.join(pivots, "key").where((F.col("component") != F.col("_pc")) & _sizes_allow("n", "_pn"))
+        found = stage(_similar(near.select(F.least("set_id", "pivot").alias("a"), F.greatest("set_id", "pivot").alias("b")).distinct(), known).distinct(), "minhash-links")
+        links = found if links is None else links.union(found)
+        labels = connected_components(links)
+        placed = opened.drop("component").join(labels, opened["set_id"] == labels["node"], "left").withColumn("component", F.coalesce("component", "set_id")).drop("node")
+        open_buckets = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
+        opened = stage(placed.join(stage(open_buckets, "minhash-open-buckets"), "key").select("key", "set_id", "n", "central", "component"), "minhash-open")
+    tiles = stage(opened.groupBy("key").agg(F.ceil(F.sum("n") / TILE).cast("int").alias("tiles")), "minhash-tiles")
+    own = opened.join(tiles, "key").withColumn("tile", F.pmod(F.hash("set_id"), F.col("tiles"))).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    own = own.select("key", "set_id", "tile", F.least("tile", "with").alias("first"), F.greatest("tile", "with").alias("second"))
+    held = own.join(known, "set_id").groupBy("key", "first", "second").agg(F.collect_list(F.struct("set_id", "tile", "hashes")).alias("members"))
+    rest = stage(held.select("first", "second", "members").mapInArrow(_compare, "a long, b long").distinct(), "minhash-rest")
+    labels = connected_components(links.union(rest)).withColumnRenamed("node", "set_id")
     by_set = marked.groupBy("set_id").agg(F.min("doc_id").alias("first_id")).join(labels, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     least = by_set.groupBy("component").agg(F.min("first_id").alias("component_id"))
     return marked.select("doc_id", "set_id").join(by_set.join(least, "component").select("set_id", "component_id"), "set_id").select("doc_id", "component_id")

@@ -30,6 +30,11 @@ def fingerprint(text, width=4):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def shingles(text, width=5):
+    words = tuple(re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")))
+    return {words[i : i + width] for i in range(max(1, len(words) - width + 1))}
+
+
 def repeats(texts, length):
     """Per text: the removed runs, by comparing all strings of ``length`` bytes."""
     data = [(t or "").encode() for t in texts]

@@ -15,45 +15,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for every url of ``pages``."""
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
 def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of the shards that all ``documents`` are written to."""
     return tokens.training_order(table(spark, sf_dir, "documents"))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of ``benchmark`` in every text of ``documents``."""
     return decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is removed of every text of ``documents``; has_repeats and removed_ranges say it plainly."""
     found = substrings.remove_repeats(table(spark, sf_dir, "documents"))
     ranges = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s[0], s[1])), ",")
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256", (F.col("n_removed") > 0).alias("has_repeats"), ranges.alias("removed_ranges"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that the mix takes of each of ``documents``."""
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text of ``documents``."""
     return pii.summary(pii.find_personal_data(table(spark, sf_dir, "documents")))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and groups of all ``documents``."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of all ``embeddings``."""
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every text of ``documents``."""
     return secrets.summary(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all ``documents``."""
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 

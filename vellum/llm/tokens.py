@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import shared_dir, stage
+from .staging import release, shared_dir, stage
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Splits text into pieces before merging: contractions, letters, digits, other signs, white space. A fixed value of byte-level vocabularies.
@@ -102,8 +102,9 @@ def _encode_range(shared, end_id: int):
     return run
 
 
-def stream(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END) -> DataFrame:
-    """``(at, size, doc_id, tokens)``: the ids of each row, ended by ``end_id``, and their place in the stream of all ids.
+def stream(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END) -> tuple[DataFrame, DataFrame]:
+    """The staged table behind it, and ``(at, size, doc_id, tokens)``: the ids of each row, ended by ``end_id``, and their place
+    in the stream of all ids.
 
     The stream is in order of doc_id (null first), then of the text's hash; rows equal in both are the same ids. Range
     partitions are encoded in that order, each with places of its own, and the partitions' sizes, one row for each, give
@@ -116,13 +117,16 @@ def stream(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END) ->
     sums = encoded.groupBy("task").agg(F.sum("size").alias("n"))
     before = sums.select("task", (F.sum("n").over(Window.orderBy("task")) - F.col("n")).alias("before"))
     # one row of two numbers for each task that encoded, whatever the number of documents
-    return encoded.join(F.broadcast(before), "task").select((F.col("before") + F.col("place")).alias("at"), "size", "doc_id", "tokens")
+    return encoded, encoded.join(F.broadcast(before), "task").select((F.col("before") + F.col("place")).alias("at"), "size", "doc_id", "tokens")
 
 
 def _cut(total: int, length: int, per_shard: int, key: int):
-    """Rows of the stream to pieces of sequences, each with the slot of its sequence."""
+    """Rows of the stream to pieces of sequences, each with the slot of its sequence, packed for the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             at, size = (batch.column(i).to_numpy() for i in (0, 1))
             first, last = at // length, (at + size - 1) // length
@@ -137,7 +141,7 @@ def _cut(total: int, length: int, per_shard: int, key: int):
                 for r, b, e in zip(row[own].tolist(), (begin - at[row])[own].tolist(), (end - at[row])[own].tolist(), strict=True):
                     if r != held:
                         held, view = r, memoryview(batch.column(3)[r].as_py())
-                    pieces.append(bytes(view[2 * b : 2 * e]))
+                    pieces.append(pack.compress(view[2 * b : 2 * e]))
                 yield pa.RecordBatch.from_arrays([pa.array(slot[own] // per_shard), pa.array(slot[own]), pa.array((begin - index * length)[own].astype(np.int32)), batch.column(2).take(pa.array(row[own])), pa.array(pieces, pa.binary())], ["shard", "slot", "start", "doc_id", "tokens"])
 
     return run
@@ -153,8 +157,10 @@ def _write(folder: str, length: int, per_shard: int, end_id: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
         from pyarrow import fs
 
+        unpack = zstandard.ZstdDecompressor()
         store, base = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
         store.create_dir(base, recursive=True)
         attempt = TaskContext.get().taskAttemptId()
@@ -182,7 +188,7 @@ def _write(folder: str, length: int, per_shard: int, end_id: int):
                     if rows:
                         yield close()
                     shard, rows = own, []
-                rows.append(row)
+                rows.append([*row[:3], unpack.decompress(row[3])])
         if rows:
             yield close()
 
@@ -218,7 +224,7 @@ def training_order(docs: DataFrame, folder: str | None = None, vocabulary: str =
     columns of ``docs`` are not used. The same rows give the same shards however they are split. An empty table gives none.
     """
     spark = docs.sparkSession
-    table = stream(docs, vocabulary, end_id)
+    encoded, table = stream(docs, vocabulary, end_id)
     ids = table.agg(F.max(F.col("at") + F.col("size"))).first()[0]
     if not ids:
         return spark.createDataFrame([], MANIFEST)
@@ -229,7 +235,9 @@ def training_order(docs: DataFrame, folder: str | None = None, vocabulary: str =
     # one partition for each range of shards: the partition id is given, so no sampling and no clashes of hashes
     each = -(-shards // TASKS)
     dealt = pieces.repartitionById(-(-shards // each), F.expr(f"int(shard div {each})")).sortWithinPartitions("shard", "slot", "start")
-    return stage(dealt.mapInArrow(_write(folder, length, per_shard, end_id), MANIFEST), "shard-manifest")
+    written = stage(dealt.mapInArrow(_write(folder, length, per_shard, end_id), MANIFEST), "shard-manifest")
+    release(encoded)
+    return written
 
 
 def read_slots(path: str, first_slot: int, stride: int, start: int, stop: int) -> np.ndarray:

@@ -46,7 +46,7 @@ def score(answers: DataFrame, correct: str, *keys: str) -> DataFrame:
     return sums.withColumn("percent", tm.round_percent(F.col("n_correct"), F.col("n"))).withColumn("grade", grade(F.col("percent")))
 
 
-def share_text(score: Column, total: Column, titles: Column, n_chapters: Column, ids: Column, url: str) -> Column:
+def share_text(score: Column, total: Column, titles: Column, n_chapters: Column, ids: Column, url: str, name: str) -> Column:
     """The text that shares a result: score, percent, scope, and a link to the same questions in their order.
 
     The scope is general where all chapters were asked, their titles up to three of them, and unnamed beyond; null titles
@@ -55,4 +55,4 @@ def share_text(score: Column, total: Column, titles: Column, n_chapters: Column,
     percent = tm.round_percent(score, total).cast("string")
     scope = F.when(titles.isNull(), "Specific Challenge").when(F.size(titles) >= n_chapters, "General Knowledge").when(F.size(titles) <= 3, F.array_join(titles, ", ")).otherwise("Specific Chapters")
     asked = F.array_join(F.transform(ids, lambda x: x.cast("string")), ",")
-    return F.concat(F.lit("I scored "), score.cast("string"), F.lit("/"), total.cast("string"), F.lit(" ("), percent, F.lit("%) on the MedTech Code Quiz!\nScope: "), scope, F.lit(f"\n\nCan you beat my score?\nTake the challenge: {url}#quiz?q="), asked)
+    return F.concat(F.lit("I scored "), score.cast("string"), F.lit("/"), total.cast("string"), F.lit(" ("), percent, F.lit(f"%) on the {name}!\nScope: "), scope, F.lit(f"\n\nCan you beat my score?\nTake the challenge: {url}#quiz?q="), asked)

@@ -29,13 +29,13 @@ def shown_badges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""WITH q AS (SELECT p_brand, p_partkey // 64 AS part, count(*) AS n, count_if(p_size > 25) AS s, list(DISTINCT p_type ORDER BY p_type) AS t, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) AS ids FROM part GROUP BY ALL)
-SELECT p_brand, part, 'I scored ' || s || '/' || n || ' (' || CAST(round(100.0::DOUBLE * s / n) AS INTEGER) || '%) on the MedTech Code Quiz!' || chr(10) || 'Scope: ' || CASE WHEN len(t) >= 5 THEN 'General Knowledge' WHEN len(t) <= 3 THEN array_to_string(t, ', ') ELSE 'Specific Chapters' END
+SELECT p_brand, part, 'I scored ' || s || '/' || n || ' (' || CAST(round(100.0::DOUBLE * s / n) AS INTEGER) || '%) on the Parts Quiz!' || chr(10) || 'Scope: ' || CASE WHEN len(t) >= 5 THEN 'General Knowledge' WHEN len(t) <= 3 THEN array_to_string(t, ', ') ELSE 'Specific Chapters' END
     || chr(10) || chr(10) || 'Can you beat my score?' || chr(10) || 'Take the challenge: https://x.example/quiz#quiz?q=' || ids AS share FROM q""")
 def share_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quiz over the parts of each brand, 64 keys at a time; types are its chapters."""
     groups = table(spark, sf_dir, "part").groupBy("p_brand", F.expr("p_partkey div 64").alias("part"))
     played = groups.agg(F.count("*").alias("n"), F.count_if(F.col("p_size") > 25).alias("score"), F.sort_array(F.collect_set("p_type")).alias("titles"), F.sort_array(F.collect_list("p_partkey")).alias("ids"))
-    text = quiz.share_text(F.col("score"), F.col("n"), F.col("titles"), F.lit(5), F.col("ids"), "https://x.example/quiz")
+    text = quiz.share_text(F.col("score"), F.col("n"), F.col("titles"), F.lit(5), F.col("ids"), "https://x.example/quiz", "Parts Quiz")
     return played.select("p_brand", "part", text.alias("share"))
 
 

@@ -1,6 +1,7 @@
 """Known answers of the functions and operators."""
 
 import json
+import zipfile
 from difflib import SequenceMatcher
 
 import pytest
@@ -246,6 +247,21 @@ def test_streamed_debounce(spark, tmp_path):
     assert {r["v"] for r in spark.table("bursts").collect()} == {"0.350", "2.0"}
 
 
+def test_word_files(spark, tmp_path):
+    w, mc = "http://schemas.openxmlformats.org/wordprocessingml/2006/main", "http://schemas.openxmlformats.org/markup-compatibility/2006"
+    box = "<mc:AlternateContent><mc:Choice><w:t>twice</w:t></mc:Choice><mc:Fallback><w:t>once</w:t></mc:Fallback></mc:AlternateContent>"
+    body = f"<w:p><w:pPr><w:tabs><w:tab/></w:tabs></w:pPr><w:r><w:t>09:00</w:t><w:tab/><w:t>Ünit &amp; </w:t></w:r><w:r>{box}</w:r></w:p><w:p/><w:p><w:r><w:t>10:00 Break</w:t><w:delText>gone</w:delText></w:r></w:p>"
+    with zipfile.ZipFile(tmp_path / "a.docx", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}" xmlns:mc="{mc}"><w:body>{body}</w:body></w:document>')
+    with zipfile.ZipFile(tmp_path / "other.docx", "w") as z:
+        z.writestr("word/else.xml", "<x/>")
+    (tmp_path / "old.DOC").write_bytes(b"not zipped")
+    (tmp_path / "a.txt").write_text("10:00 Talk")
+    got = {r["path"].rsplit("/", 1)[1]: (r["text"], r["problem"]) for r in documents.read_word_files(spark, str(tmp_path)).collect()}
+    assert got.pop("a.docx") == ("09:00\tÜnit & once\n\n\n\n10:00 Break\n\n", None)
+    assert got == {"other.docx": (None, "unreadable"), "old.DOC": (None, "unreadable"), "a.txt": (None, "unsupported")}
+
+
 def test_token_diff_reads_whole_documents(spark, tmp_path):
     """The text of document 2 that its field is cut from lies behind more than 7,000 others."""
     from vellum.plans import texts

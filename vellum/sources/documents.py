@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+import zlib
+from xml.etree import ElementTree
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,6 +57,48 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+#: Names of a word-processor file's body: paragraph, run of text, tab, and what holds no text of its own.
+_WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+_ASIDE = (f"{_WORD}pPr", "{http://schemas.openxmlformats.org/markup-compatibility/2006}Choice")
+
+
+def word_text(content: bytes) -> str | None:
+    """The text of a zipped word-processor file, each paragraph followed by an empty line; None if it can't be read."""
+    parts: list[str] = []
+    aside = 0
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as files, files.open("word/document.xml") as body:
+            for event, node in ElementTree.iterparse(body, ("start", "end")):
+                if node.tag in _ASIDE:
+                    aside += 1 if event == "start" else -1
+                elif event == "end" and not aside:
+                    if node.tag == f"{_WORD}t":
+                        parts.append(node.text or "")
+                    elif node.tag == f"{_WORD}tab":
+                        parts.append("\t")
+                    elif node.tag == f"{_WORD}p":
+                        parts.append("\n\n")
+                        node.clear()
+    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, EOFError, zlib.error):
+        return None
+    return "".join(parts)
+
+
+@F.pandas_udf(T.StringType())
+def _word_texts(content: pd.Series) -> pd.Series:
+    return content.map(word_text)
+
+
+def read_word_files(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, text, problem)`` of each file: a word-processor file's text, or the problem ``unreadable``; files whose
+    names don't end as those do are ``unsupported`` and not opened. Files without a byte give no row."""
+    files = spark.read.format("binaryFile").load(path)
+    known = F.lower("path").rlike(r"\.docx?$")
+    read = files.where(known).select("path", _word_texts("content").alias("text"))
+    read = read.select("path", "text", F.when(F.col("text").isNull(), "unreadable").alias("problem"))
+    return read.union(files.where(~known).select("path", F.lit(None).cast("string"), F.lit("unsupported")))
+
+
 def stored_list(text: Column, item: str) -> Column:
     """A stored JSON list of ``item``; anything that can't be read is an empty one."""
     kind = f"array<{item}>"

@@ -105,12 +105,12 @@ def vectors():
     return np.concatenate([base, near, base[:10], base[:5] * 3]).astype(np.float32)
 
 
-@pytest.mark.parametrize("tile", [1024, 8])
-def test_embeddings_against_all_pairs(spark, tile):
+@pytest.mark.parametrize("tile,blocks", [(1024, None), (8, None), (8, 2)])
+def test_embeddings_against_all_pairs(spark, tile, blocks):
     rows = {i: v.tolist() for i, v in enumerate(vectors(), 10)}
     rows |= {500: None, 501: [], 502: [0.0] * 64, 503: [1.0, None], 504: [float("nan")] * 64, 505: [float("inf")] + [0.0] * 63, 506: [1.0, 0.0], 507: [2.0, 0.0], 508: [1.0, 0.0, 0.0]}
     table = spark.createDataFrame([(k, v, 1, 2) for k, v in rows.items()], "vec_id long, embedding array<float>, label int, rid int")
-    got = {r["vec_id"]: r for r in embeddings.near_duplicates(table, tile=tile).collect()}
+    got = {r["vec_id"]: r for r in embeddings.near_duplicates(table, tile=tile, blocks=blocks).collect()}
     assert got.keys() == rows.keys()
     links = twins.cosine_links(rows)
     degree = {k: sum(k in x for x in links) for k in rows}
@@ -124,13 +124,36 @@ def test_embeddings_against_all_pairs(spark, tile):
     assert got[507]["component_id"] == 506
 
 
-def test_embeddings_recall_on_the_table(spark, wide):
+@pytest.mark.parametrize("blocks", [None, 2])
+def test_embeddings_recall_on_the_table(spark, wide, blocks):
     table = spark.read.parquet(f"{wide}/embeddings.parquet")
-    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(table).collect()}
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(table, blocks=blocks).collect()}
     links = twins.cosine_links({r[0]: r[1] for r in table.select("vec_id", "embedding").collect()})
     assert sum(got.values()) / 2 >= 0.9 * len(links)
 
 
+def _shared(a, b):
+    return (a[:, :, None] == b[:, None, :]).any((1, 2))
+
+
+def test_recall_at_the_threshold_holds_with_more_blocks_and_unrelated_pairs_get_fewer():
+    rng = np.random.default_rng(8)
+    x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in rng.normal(size=(2, 1000, 64)))
+    away = y - (x * y).sum(1, keepdims=True) * x
+    at = 0.9 * x + np.sqrt(1 - 0.81) * away / np.linalg.norm(away, axis=1, keepdims=True)
+    apart = []
+    for blocks in (1, 2):
+        own, near, other = (embeddings.cells(v, embeddings.tables_for(blocks), blocks=blocks) for v in (x, at, y))
+        assert _shared(own, near).mean() >= 0.95
+        apart.append(np.mean([_shared(own, np.roll(other, k, 0)).mean() for k in range(5)]))
+    assert apart[1] < apart[0] / 10
+
+
+def test_blocks_follow_the_number_of_vectors():
+    assert [embeddings.blocks_for(n) for n in (0, 1, 50_000, 1_000_000, 200_000_000, 10**10)] == [1, 1, 1, 2, 2, 3]
+    assert [embeddings.tables_for(b) for b in (1, 2, 3)] == [6, 15, 34]
+
+
 def test_e8_decoding_finds_the_nearest_point():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(200, 8)) * 2

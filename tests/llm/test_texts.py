@@ -139,6 +139,15 @@ def test_the_mix_has_the_words_that_the_plan_takes(spark):
     assert mixing.mix(table.where("false")).count() == 0
 
 
+def test_slices_follow_the_rows_and_do_not_change_the_mix(spark, monkeypatch):
+    assert [mixing.slice_digits(n) for n in (0, 1, 65_536 * 16, 65_536 * 16 + 1, 10**12)] == [1, 1, 1, 2, 6]
+    rows = [(i, "w " * (i % 7), "abc"[i % 3]) for i in range(300)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    coarse = sorted(map(str, mixing.taken(table).collect()))
+    monkeypatch.setattr(mixing, "slice_digits", lambda rows: 3)
+    assert sorted(map(str, mixing.taken(table).collect())) == coarse
+
+
 def test_feistel_is_a_permutation():
     for total in (1, 2, 3, 5, 64, 1000, 4097):
         out = tokens.feistel(np.arange(total), total, 7)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,14 +12,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .minhash import common
 from .staging import stage
 
 COSINE = 0.9
-TABLES = 6
 #: Each vector also enters so many lattice cells next to its own in each table.
 PROBES = 2
-#: Width of a cell in units of a unit vector's projection. Together these find 98 of 100 random pairs at the threshold and all but a few above 0.92.
+#: Width of a cell in units of a unit vector's projection.
 WIDTH = 1.5
+#: With these, two vectors at the threshold share a cell of one block with this probability, and a block deals unrelated
+#: vectors as if over so many cells.
+MEET, CELLS = 0.48, 900
+#: Share of the pairs at the threshold that may miss each other in all tables; hardly any above 0.92 do.
+MISS = 0.02
+#: The number of blocks is such that a cell holds no more unrelated vectors than this on average.
+CROWD = 256
 SEED = 11
 #: A cell of more vectors is compared tile by tile, each in a task of its own.
 TILE = 1024
@@ -50,19 +58,33 @@ def minimal_vectors() -> np.ndarray:
     return np.concatenate([whole, np.array(halves)])
 
 
-def cells(unit: np.ndarray, tables: int = TABLES, probes: int = PROBES, width: float = WIDTH, seed: int = SEED) -> np.ndarray:
-    """Keys of the lattice cells of each unit vector, one row each: per table its own cell, then the next nearest ones."""
+def blocks_for(vectors: int) -> int:
+    """How many lattice blocks make up a key: cells grow in number with the vectors, so that they don't grow in size."""
+    return max(1, math.ceil(math.log(max(vectors, 1) / CROWD, CELLS)))
+
+
+def tables_for(blocks: int) -> int:
+    """How many tables find all but MISS of the pairs at the threshold: 6, 15 or 34 for 1, 2 or 3 blocks."""
+    return math.ceil(math.log(MISS) / math.log(1 - MEET**blocks))
+
+
+def cells(unit: np.ndarray, tables: int, probes: int = PROBES, width: float = WIDTH, seed: int = SEED, blocks: int = 1) -> np.ndarray:
+    """Keys of the lattice cells of each unit vector, one row each. Each of a table's blocks projects to 8 dimensions and has
+    the vector's own lattice point and the next nearest ones; a key joins one point of every block."""
     steps, out = minimal_vectors(), []
     for table in range(tables):
         rng = np.random.default_rng((seed, table, unit.shape[1]))
-        x = unit @ rng.normal(size=(unit.shape[1], 8)) / width + rng.uniform(0, 2, 8)
-        own = decode_e8(x)
-        nearest = np.argsort(-((x - own) @ steps.T), axis=1, kind="stable")[:, :probes]
-        points = np.concatenate([own[:, None], own[:, None] + steps[nearest]], axis=1)
-        key = np.full(points.shape[:2], table + 1, np.uint64)
-        for i in range(8):
-            key = (key ^ np.rint(2 * points[:, :, i]).astype(np.int64).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            key ^= key >> np.uint64(32)
+        key = np.full((len(unit), 1), table + 1, np.uint64)
+        for _ in range(blocks):
+            x = unit @ rng.normal(size=(unit.shape[1], 8)) / width + rng.uniform(0, 2, 8)
+            own = decode_e8(x)
+            nearest = np.argpartition(-((x - own) @ steps.T), probes - 1, axis=1)[:, :probes]
+            points = np.concatenate([own[:, None], own[:, None] + steps[nearest]], axis=1)
+            points = np.tile(np.rint(2 * points).astype(np.int64).view(np.uint64), (1, key.shape[1], 1))
+            key = np.repeat(key, probes + 1, axis=1)
+            for i in range(8):
+                key = (key ^ points[:, :, i]) * np.uint64(0x9E3779B97F4A7C15)
+                key ^= key >> np.uint64(32)
         out.append(key.view(np.int64))
     return np.concatenate(out, axis=1)
 
@@ -72,7 +94,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _keys(tables: int, probes: int, width: float, seed: int):
+def _keys(tables: int, probes: int, width: float, seed: int, blocks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = batch.column(2)
@@ -81,7 +103,7 @@ def _keys(tables: int, probes: int, width: float, seed: int):
                 at = np.flatnonzero(sizes == size)
                 own = batch.take(pa.array(at))
                 x = own.column(2).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, size)
-                keys = cells(_unit(x), tables, probes, width, seed)
+                keys = cells(_unit(x), tables, probes, width, seed, blocks)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32)), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([*own.columns, lists], ["rid", "copies", "vector", "keys"])
 
@@ -123,12 +145,9 @@ def _verify(cosine: float, per_table: int):
                 if not len(a):
                     continue
                 label = _label(near)
-                met = np.zeros(len(a), bool)
-                for t in range(table):
-                    for i, j in itertools.product(range(per_table), repeat=2):
-                        met |= keys[a, t, i] == keys[b, t, j]
-                for i, j in itertools.product(range(per_table), repeat=2):
-                    met |= (keys[a, table, i] == keys[b, table, j]) & (keys[a, table, i] < cell)
+                linked, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+                before = [np.append(k[:table], k[table][k[table] < cell]) for k in keys[linked]]
+                met = common(before)[place[: len(a)], place[len(a) :]] > 0
                 a, b = a[~met], b[~met]
                 gained = np.bincount(a, copies[b], size) + np.bincount(b, copies[a], size)
                 rows = np.flatnonzero((label != np.arange(size)) | (gained > 0))
@@ -140,7 +159,7 @@ def _verify(cosine: float, per_table: int):
     return run
 
 
-def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes: int = PROBES, width: float = WIDTH, seed: int = SEED, tile: int = TILE) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, probes: int = PROBES, width: float = WIDTH, seed: int = SEED, tile: int = TILE, blocks: int | None = None) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for every row of ``embeddings``.
 
     n_links counts the other rows whose vector has a cosine of at least ``cosine`` and shares a cell in some table;
@@ -150,7 +169,9 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, tables: int =
     repeat a vec_id are vectors of their own. Other columns, labels among them, are not used.
 
     Only counts and one member for each link group leave a cell, never its pairs. A cell of more than ``tile`` vectors is
-    dealt out as pairs of tiles, so that no task holds more than two tiles.
+    dealt out as pairs of tiles, so that no task holds more than two tiles. Keys are of ``blocks`` lattice points, by default
+    as many as the number of different vectors asks for, and the tables are as many as that takes for the same recall: the
+    pairs compared for each vector then stay about the same however many vectors there are, while its cells become more.
     """
     kind = "array<float>" if embeddings.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("vector"))
@@ -160,14 +181,16 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, tables: int =
     distinct = rows.where("fit").groupBy("vector").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"))
     distinct = stage(distinct.withColumn("rid", F.monotonically_increasing_id()), "vectors")
 
-    keyed = stage(distinct.select("rid", "copies", "vector").mapInArrow(_keys(tables, probes, width, seed), f"rid long, copies long, vector {kind}, keys array<long>"), "vector-keys")
-    placed = keyed.select("rid", F.size("vector").alias("dim"), F.posexplode("keys").alias("place", "cell")).withColumn("t", F.expr(f"place div {probes + 1}").cast("int"))
+    blocks = blocks or blocks_for(distinct.count())
+    per_table = (probes + 1) ** blocks
+    keyed = stage(distinct.select("rid", "copies", "vector").mapInArrow(_keys(tables_for(blocks), probes, width, seed, blocks), f"rid long, copies long, vector {kind}, keys array<long>"), "vector-keys")
+    placed = keyed.select("rid", F.size("vector").alias("dim"), F.posexplode("keys").alias("place", "cell")).withColumn("t", F.expr(f"place div {per_table}").cast("int"))
     sizes = placed.groupBy("t", "dim", "cell").agg(F.count("*").alias("n")).where("n > 1")
     busy = placed.join(sizes, ["t", "dim", "cell"]).withColumn("tiles", F.ceil(F.col("n") / tile).cast("int"))
     own = busy.withColumn("tile", F.pmod(F.hash("rid"), F.col("tiles"))).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     own = own.select("rid", "t", "cell", "dim", "tile", F.least("tile", "with").alias("first"), F.greatest("tile", "with").alias("second"))
     members = own.join(keyed, "rid").groupBy("t", "dim", "cell", "first", "second").agg(F.collect_list(F.struct("rid", "copies", "tile", "vector", "keys")).alias("members"))
-    found = members.select("t", "cell", "first", "second", "members").mapInArrow(_verify(cosine, probes + 1), "rid long, other long, gained long")
+    found = members.select("t", "cell", "first", "second", "members").mapInArrow(_verify(cosine, per_table), "rid long, other long, gained long")
     found = stage(found, "vector-links")
 
     counts = found.groupBy("rid").agg(F.sum("gained").alias("gained"))

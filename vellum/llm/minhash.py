@@ -99,7 +99,7 @@ def _similar(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where((p + q) * common >= p * (F.size("_a") + F.size("_b"))).select("a", "b")
 
 
-def _common(lists: list[np.ndarray]) -> np.ndarray:
+def common(lists: list[np.ndarray]) -> np.ndarray:
     """How many hashes each two of the sets share."""
     size = len(lists)
     row = np.repeat(np.arange(size), [len(x) for x in lists])
@@ -129,7 +129,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flat, ends = own.field("hashes").flatten().to_numpy(), np.cumsum(pc.list_value_length(own.field("hashes")).to_numpy())
             lists = np.split(flat, ends[:-1])
             n = np.array([len(x) for x in lists])
-            near = (p + q) * _common(lists) >= p * (n[:, None] + n[None, :])
+            near = (p + q) * common(lists) >= p * (n[:, None] + n[None, :])
             if first != second:
                 near &= tile[:, None] != tile[None, :]
             label = np.arange(len(n))

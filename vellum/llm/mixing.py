@@ -11,8 +11,9 @@ WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
 MAX_EPOCHS = 2
 SEED = "mix-1"
-#: Documents of a source are ordered by hash; their sums are first taken over so many equal slices of the hash range.
-SLICE_HEX = 3
+#: Documents of a source are ordered by hash; their sums are first taken over equal slices of the hash range, so many of
+#: them that the largest source can't have more than about so many documents in one.
+SLICE_ROWS = 65_536
 
 
 def word_count(text: Column) -> Column:
@@ -49,6 +50,14 @@ def water_fill(sources: DataFrame, budget: float, max_epochs: float, weights: tu
     return marked.withColumn("target", F.coalesce(F.col("weight") * level, F.col("cap"))).select(*sources.columns, "target")
 
 
+def slice_digits(rows: int, most: int = SLICE_ROWS) -> int:
+    """Hexadecimal digits that cut so many rows into slices of ``most`` or fewer on average, one at least."""
+    digits = 1
+    while rows > most * 16**digits:
+        digits += 1
+    return digits
+
+
 def plan(docs: DataFrame, budget: float = BUDGET, max_epochs: int = MAX_EPOCHS, weights: tuple[float, ...] = WEIGHTS, seed: str = SEED) -> DataFrame:
     """``(doc_id, source, size, digest, source_size, target, copies, part)`` for every row of ``docs``.
 
@@ -58,13 +67,15 @@ def plan(docs: DataFrame, budget: float = BUDGET, max_epochs: int = MAX_EPOCHS,
     nearest word.
 
     The running sums are taken in two levels, first over equal slices of each source's hash range and then inside the
-    one slice that holds the boundary, so no task orders a whole source. Null texts have size 0; a null source is a source
+    one slice that holds the boundary, so no task orders a whole source. The slices follow the number of rows; the order
+    doesn't depend on them. Null texts have size 0; a null source is a source
     of its own; rows equal in doc_id and size tie: they share one hash, and one after another takes its part in the
     order of their other columns. An empty table gives an empty one.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
     rows = rows.withColumn("digest", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string")).cast("binary")))
-    rows = stage(rows, "mixing-sizes").withColumn("slice", F.substring("digest", 1, SLICE_HEX))
+    rows = stage(rows, "mixing-sizes")
+    rows = rows.withColumn("slice", F.substring("digest", 1, slice_digits(rows.count())))
     slices = rows.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"), F.count("*").alias("n"))
     sources = water_fill(slices.groupBy("source").agg(F.sum("slice_size").alias("source_size")), budget, max_epochs, weights)
     sources = sources.withColumn("copies", F.when(F.col("source_size") > 0, F.floor(F.round("target").cast("long") / F.col("source_size"))).otherwise(0).cast("long"))
@@ -93,13 +104,14 @@ def mix(docs: DataFrame, budget: float = BUDGET, max_epochs: int = MAX_EPOCHS, w
     """The mix itself, with the columns of ``docs``: each row as often as the plan says, the partial one cut after its
     ``part`` words (n_chars, if there, follows the cut). Rows that the plan takes nothing of go.
 
-    doc_id is the key here: rows that repeat one are told apart by their size only, and equal ones are all repeated alike.
+    doc_id is the key here: rows that repeat one are told apart by their source and size, and equal ones are all repeated
+    alike.
     """
-    decided = plan(docs, budget, max_epochs, weights, seed).groupBy("doc_id", "size").agg(F.max("copies").alias("_copies"), F.max("part").alias("_part"))
-    decided = decided.where("_copies > 0 or _part > 0").withColumnsRenamed({"doc_id": "_doc", "size": "_size"})
+    decided = plan(docs, budget, max_epochs, weights, seed).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("_copies"), F.max("part").alias("_part"))
+    decided = decided.where("_copies > 0 or _part > 0").withColumnsRenamed({"doc_id": "_doc", "source": "_of", "size": "_size"})
     # the caller's columns travel in one struct, so none of their names can clash
-    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), word_count(F.col("text").cast("string")).alias("_words"))
-    joined = sized.join(decided, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_words") == F.col("_size")))
+    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.col("source").cast("string").alias("_source"), word_count(F.col("text").cast("string")).alias("_words"))
+    joined = sized.join(decided, F.col("_id").eqNullSafe(F.col("_doc")) & F.col("_source").eqNullSafe(F.col("_of")) & (F.col("_words") == F.col("_size")))
     whole = F.col("_copies") + F.when((F.col("_part") > 0) & (F.col("_part") == F.col("_size")), 1).otherwise(0)
     some = (F.col("_part") > 0) & (F.col("_part") < F.col("_size"))
     repeats = F.concat(F.array_repeat(F.lit(False), whole.cast("int")), F.when(some, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, mixing, pii, secrets, simhash, substrings, tokens, toxicity, urls
+from . import decontaminate, embeddings, lm, mixing, pii, resampling, secrets, simhash, spelling, substrings, tokens, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights, scores and ranks of all ``documents`` drawn towards ``benchmark``."""
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of all ``documents``."""
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all ``documents`` with their near words, forms and roots."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_training_order": op2_training_order,
@@ -78,6 +93,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embeddings": op8_embeddings,
     "op9_secrets": op9_secrets,
     "op10_toxicity": op10_toxicity,
+    "op11_resampling": op11_resampling,
+    "op12_lm_scoring": op12_lm_scoring,
+    "op13_spelling": op13_spelling,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_mixing": r"""

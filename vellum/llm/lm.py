@@ -18,7 +18,7 @@ from .staging import release, stage
 #: Words of an n-gram.
 ORDER = 2
 #: Weight of the lower order beside the counts of a context (a Dirichlet prior), for n-grams of 2 words, 3 words and more.
-STRENGTH = (60.0, 12.0)
+STRENGTH = (400.0, 20.0)
 #: Bytes of text of a chunk. A longer document is cut into pieces, each with the words before it as its lead.
 CHUNK = 1 << 22
 #: Keys of one slice of the counts.

@@ -94,36 +94,37 @@ class Grams:
     """The n-grams of a chunk. ``words`` holds its tokens line by line, each line after BEGIN or its lead."""
 
     words: np.ndarray
-    places: np.ndarray
     scored: np.ndarray
     line: np.ndarray
     types: int
-    keys: list[np.ndarray]  # of the n-gram that ends at each token, by order
-    valid: list[np.ndarray]
+    number: list[np.ndarray]  # which n-gram ends at each token, by order; -1 for none
     distinct: list[np.ndarray]  # sorted keys of each order
-    first: list[np.ndarray]  # a token at which each of them ends
+    example: list[np.ndarray]  # a token at which each of them ends
+    counts: list[np.ndarray]  # how often each occurs in the lines that are learned from
 
     @classmethod
-    def of(cls, blob: bytes, raw_size: int, leads: list[int], ended: list[bool], order: int) -> Grams:
+    def of(cls, blob: bytes, raw_size: int, leads: list[int], ended: list[bool], held: list[bool], order: int) -> Grams:
         texts = pa.decompress(blob, decompressed_size=raw_size, codec="zstd", asbytes=True).split(b"\n") if raw_size else [b""] * len(leads)
         known: dict[bytes, int] = {b"\n": END, b"\r": BEGIN}
         found: list[int] = []
         sizes, unscored = [], []
         for text, lead, last in zip(texts, leads, ended, strict=True):
-            own = [known.setdefault(w, len(known)) for w in text.split(b" ")] if text else []
+            before = len(found)
             if not lead:
-                own.insert(0, BEGIN)
+                found.append(BEGIN)
+            if text:
+                found += [known.setdefault(w, len(known)) for w in text.split(b" ")]
             if last:
-                own.append(END)
-            found += own
-            sizes.append(len(own))
+                found.append(END)
+            sizes.append(len(found) - before)
             unscored.append(lead or 1)
         words, counts = np.array(found, np.int64), np.array(sizes, np.int64)
         line = np.repeat(np.arange(len(sizes)), counts)
         places = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
         hashes = np.array([xxhash.xxh64_intdigest(w) for w in known], np.uint64)
-        own, out = hashes[words], cls(words, places, places >= np.array(unscored)[line], line, len(known), [], [], [], [])
-        key = own
+        key = own = hashes[words]
+        out = cls(words, places >= np.array(unscored)[line], line, len(known), [], [], [], [])
+        learned = out.scored & ~np.array(held, bool)[line]
         for n in range(order):
             if n:
                 key = np.concatenate((key[:1], key[:-1])) * _MIX + own
@@ -131,18 +132,20 @@ class Grams:
                 key *= _TURN
                 key ^= key >> np.uint64(32)
             valid = np.flatnonzero((places >= n) & (words != BEGIN))
-            distinct, first = np.unique(key[valid], return_index=True)
-            out.keys.append(key)
-            out.valid.append(valid)
-            out.distinct.append(distinct)
-            out.first.append(valid[first])
+            keys = key[valid]
+            by_key = np.argsort(keys)
+            keys, at = keys[by_key], valid[by_key]
+            new = np.ones(len(keys), bool)
+            new[1:] = keys[1:] != keys[:-1]
+            starts = np.flatnonzero(new)
+            number = np.full(len(words), -1)
+            number[at] = np.cumsum(new) - 1
+            out.number.append(number)
+            out.distinct.append(keys[starts])
+            out.example.append(at[starts])
+            out.counts.append(np.add.reduceat(learned[at].astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64))
         return out
 
-    def counts(self, held: list[bool], n: int) -> np.ndarray:
-        """How often each distinct n-gram occurs in the lines that are learned from."""
-        at = self.valid[n][self.scored[self.valid[n]] & ~np.array(held, bool)[self.line[self.valid[n]]]]
-        return np.bincount(np.searchsorted(self.distinct[n], self.keys[n][at]), minlength=len(self.distinct[n]))
-
 
 def _requests(order: int, slices: int):
     """Each chunk's distinct n-grams and their counts in it, divided by ranges of their keys."""
@@ -151,18 +154,15 @@ def _requests(order: int, slices: int):
         bounds = np.array([(k << 64) // slices for k in range(1, slices)], np.uint64)
         for batch in batches:
             for r in batch.to_pylist():
-                grams = Grams.of(r["blob"], r["raw_size"], r["leads"], r["ended"], order)
-                cuts, counts = [], []
-                for n in range(order):
-                    cuts.append(np.concatenate(([0], np.searchsorted(grams.distinct[n], bounds), [len(grams.distinct[n])])))
-                    counts.append(grams.counts(r["held"], n))
+                grams = Grams.of(r["blob"], r["raw_size"], r["leads"], r["ended"], r["held"], order)
+                cuts = [np.concatenate(([0], np.searchsorted(keys, bounds), [len(keys)])) for keys in grams.distinct]
                 rows = []
                 for k in range(slices):
                     parts = [slice(cuts[n][k], cuts[n][k + 1]) for n in range(order)]
                     sizes = [p.stop - p.start for p in parts]
                     if sum(sizes):
                         steps = [np.diff(grams.distinct[n][p], prepend=np.uint64(0)) for n, p in enumerate(parts)]
-                        rows.append((k, r["chunk"], sizes, _pack(np.concatenate(steps)), _pack(np.concatenate([counts[n][p] for n, p in enumerate(parts)]))))
+                        rows.append((k, r["chunk"], sizes, _pack(np.concatenate(steps)), _pack(np.concatenate([grams.counts[n][p] for n, p in enumerate(parts)]))))
                 yield pa.RecordBatch.from_pylist([dict(zip(("slice", "chunk", "sizes", "keys", "counts"), x, strict=True)) for x in rows], schema=pa.schema([("slice", pa.int32()), ("chunk", pa.int64()), ("sizes", pa.list_(pa.int32())), ("keys", pa.binary()), ("counts", pa.binary())]))
 
     return run
@@ -199,76 +199,73 @@ def _replies(order: int):
 
 
 class Automaton:
-    """States are the contexts known from the corpus; state 0 is the empty one, state 1 the beginning of a text.
+    """States are the contexts known from the corpus: the empty one, the beginning of a text, and runs of words.
 
-    ``arcs`` leads from state * types + word to (log10 probability, next state). Where a state has no arc for a word, its
-    failure arc leads to the state of its context without the first word, at the cost of ``back``.
+    ``arcs`` numbers the arcs by state + word, states being multiples of the number of words; an arc has a log10 probability
+    and leads to a state. Where a state has no arc for a word, its failure arc leads to the state of its context without the
+    first word, at the cost of ``back``. The empty state has an arc for every word.
     """
 
     def __init__(self, grams: Grams, counts: list[np.ndarray], total: int, known: int, strength: tuple[float, ...]):
         order = len(counts)
-        ends = counts[0][np.searchsorted(grams.distinct[0], grams.keys[0][np.flatnonzero(grams.words == END)[:1]])] if (grams.words == END).any() else None
+        ends = grams.number[0][np.flatnonzero(grams.words == END)[:1]]
         #: every text that is learned from has one end, and so one beginning
-        self.begun = float(ends[0]) if ends is not None else 0.0
-        self.begin = 1 if self.begun and order > 1 else 0
+        begun = float(counts[0][ends[0]]) if len(ends) else 0.0
+        prior = lambda n: strength[min(n, len(strength)) - 1]  # noqa: E731  of n-grams of n + 1 words
         self.base = (counts[0] + 0.5) / (total + 0.5 * (known + 1))
-        place = lambda n, at: np.searchsorted(grams.distinct[n], grams.keys[n][at])  # noqa: E731  which n-gram ends at a token
+        self.begin = grams.types if begun and order > 1 else 0
         states, top = [], 2
         for n in range(order - 1):
-            one = (counts[n] > 0) & (grams.words[grams.first[n]] != END)
-            states.append(np.where(one, np.cumsum(one) + top - 1, -1))
-            top += int(one.sum())
-        self.back, self.fail = np.zeros(top), np.zeros(top, np.int64)
-        self.back[1] = math.log10(strength[0] / (self.begun + strength[0]))
+            is_state = (counts[n] > 0) & (grams.words[grams.example[n]] != END)
+            states.append(np.where(is_state, np.cumsum(is_state) + top - 1, -1))
+            top += int(is_state.sum())
+        back, fail = np.zeros(top), np.zeros(top, np.int64)
+        back[1] = math.log10(prior(1) / (begun + prior(1)))
         keys, logs, nexts = [], [], []
         lower = self.base
         for n in range(order):
-            at = grams.first[n]
+            at = grams.example[n]
             if n == 0:
                 chance, before = self.base, np.zeros(len(at), np.int64)
             else:
-                prior = strength[min(n, len(strength)) - 1]
                 is_begin = grams.words[at - 1] == BEGIN
-                prefix = np.where(is_begin, 0, place(n - 1, at - 1))
-                times = np.where(is_begin, self.begun if n == 1 else 0.0, counts[n - 1][prefix])
+                prefix = np.where(is_begin, 0, grams.number[n - 1][at - 1])
+                times = np.where(is_begin, begun if n == 1 else 0.0, counts[n - 1][prefix])
                 before = np.where(is_begin, 1, states[n - 1][prefix])
-                chance = (counts[n] + prior * lower[place(n - 1, at)]) / (times + prior)
-            # an arc of the empty state for any word, of the others for what follows them in the corpus
+                chance = (counts[n] + prior(n) * lower[grams.number[n - 1][at]]) / (times + prior(n))
             arc = np.ones(len(at), bool) if n == 0 else (counts[n] > 0) & (before >= 0)
+            shorter = np.maximum(states[n - 1][grams.number[n - 1][at]], 0) if n else np.zeros(len(at), np.int64)
             if n < order - 1:
-                following = np.where(states[n] >= 0, states[n], 0)
                 own = states[n] >= 0
-                after = strength[min(n + 1, len(strength)) - 1]
-                self.back[states[n][own]] = np.log10(after / (counts[n][own] + after))
-                if n:
-                    self.fail[states[n][own]] = np.maximum(states[n - 1][place(n - 1, at)][own], 0)
-            else:
-                following = np.maximum(states[n - 1][place(n - 1, at)], 0) if n else np.zeros(len(at), np.int64)
+                back[states[n][own]] = np.log10(prior(n + 1) / (counts[n][own] + prior(n + 1)))
+                fail[states[n][own]] = shorter[own]
+                shorter = np.maximum(states[n], 0)
             keys.append((before * grams.types + grams.words[at])[arc])
             logs.append(np.log10(chance)[arc])
-            nexts.append(following[arc])
+            nexts.append(shorter[arc] * grams.types)
             lower = chance
         self.types = grams.types
-        self.arcs = dict(zip(np.concatenate(keys).tolist(), zip(np.concatenate(logs).tolist(), np.concatenate(nexts).tolist(), strict=True), strict=True))
-        self.back, self.fail = self.back.tolist(), self.fail.tolist()
+        self.arcs = {key: k for k, key in enumerate(np.concatenate(keys).tolist())}
+        self.logs, self.nexts = np.concatenate(logs).tolist(), np.concatenate(nexts).tolist()
+        self.back, self.fail = back.tolist(), (fail * grams.types).tolist()
 
     def score(self, words: list[int], lead: int) -> float:
         """Walk from left to right over the words, adding up what comes after the lead."""
-        arcs, back, fail, types = self.arcs, self.back, self.fail, self.types
+        find, logs, nexts, back, fail, types = self.arcs.get, self.logs, self.nexts, self.back, self.fail, self.types
         state = 0
         if not lead:
             state, words = self.begin, words[1:]
         for word in words[:lead]:
-            while (hit := arcs.get(state * types + word)) is None:
-                state = fail[state]
-            state = hit[1]
+            while (arc := find(state + word)) is None:
+                state = fail[state // types]
+            state = nexts[arc]
         total = 0.0
-        for word in words[lead:]:
-            while (hit := arcs.get(state * types + word)) is None:
-                total += back[state]
-                state = fail[state]
-            total += hit[0]
-            state = hit[1]
+        for word in words[lead:] if lead else words:
+            while (arc := find(state + word)) is None:
+                total += back[state // types]
+                state = fail[state // types]
+            total += logs[arc]
+            state = nexts[arc]
         return total
 
 
@@ -277,7 +274,7 @@ def _score(order: int, total: int, known: int, strength: tuple[float, ...]):
 
     def run(text: pa.Table, replies: pa.Table) -> pa.Table:
         r = text.to_pylist()[0]
-        grams = Grams.of(r["blob"], r["raw_size"], r["leads"], r["ended"], order)
+        grams = Grams.of(r["blob"], r["raw_size"], r["leads"], r["ended"], r["held"], order)
         parts: list[list[np.ndarray]] = [[] for _ in range(order)]
         for x in replies.sort_by("slice").to_pylist():
             own, place = _unpack(x["counts"]), 0
@@ -286,8 +283,7 @@ def _score(order: int, total: int, known: int, strength: tuple[float, ...]):
                 place += s
         counts = [np.concatenate(p).astype(np.int64) for p in parts]
         automaton = Automaton(grams, counts, total, known, strength)
-        each = np.searchsorted(grams.distinct[0], grams.keys[0])
-        each = np.minimum(each, len(counts[0]) - 1)
+        each = grams.number[0]
         lines, scored = len(r["rows"]), grams.scored
         sums = lambda x: np.bincount(grams.line[scored], weights=x[scored], minlength=lines)
         base = sums(np.log10(automaton.base)[each])

@@ -5,10 +5,13 @@ Letters, digits and word boundaries are ASCII unless a function says otherwise;
 
 from __future__ import annotations
 
+import html as html_entities
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: White space in the wide sense: ASCII white space, no-break, Ogham, en to hair, line, paragraph, narrow, mathematical and ideographic spaces, byte-order mark.
 SPACE = r"[\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
@@ -25,6 +28,8 @@ HIDDEN_TAGS = ("script", "style", "svg")
 BULLET = r"^[•\-*–—◦▪▫◆◇▶►➔→.·]|^[a-zA-Z0-9]+[.)]|^\([a-zA-Z0-9]+\)"
 BULLET_SIGNS = "•‣◦⁃∙"
 ENTITIES = (("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+#: Between a letter, digit or ``_`` of ASCII and anything else.
+BOUNDARY = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -101,15 +106,30 @@ def strip_leading_marker(text: Column) -> Column:
     return trim(_replace(text, (BULLET, "")))
 
 
+@F.pandas_udf(StringType())
+def _decoded(text: pd.Series) -> pd.Series:
+    return text.map(html_entities.unescape, na_action="ignore")
+
+
+def decode_references(text: Column) -> Column:
+    """All character references decoded in one pass: decimal and hexadecimal ones, and every name of HTML, the longest that
+    fits where its ``;`` is missing. Texts without ``&`` stay in the JVM's hands."""
+    return F.when(F.contains(text, F.lit("&")), _decoded(F.when(F.contains(text, F.lit("&")), text))).otherwise(text)
+
+
 def visible_text(html: Column) -> Column:
-    """Text outside tags, a line end for each block tag, nothing of hidden elements; the common entities decoded."""
+    """Text outside tags, a line end for each block tag, nothing of hidden elements; references decoded.
+
+    A reference ends where a tag begins: tags leave a sign behind (U+FFFF) that is taken out after decoding.
+    """
     for tag in HIDDEN_TAGS:
-        html = _replace(html, (rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", ""))
-    html = _replace(html, (r"(?s)<!--.*?-->", ""), (rf"(?i)</?(?:{'|'.join(BLOCK_TAGS)})(?![A-Za-z0-9])[^>]*>", "\n"), (r"<[^>]*>", ""))
-    return decode_entities(html)
+        html = _replace(html, (rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "\uffff"))
+    html = _replace(html, (r"(?s)<!--.*?-->", "\uffff"), (rf"(?i)</?(?:{'|'.join(BLOCK_TAGS)})(?![A-Za-z0-9])[^>]*>", "\n"), (r"<[^>]*>", "\uffff"))
+    return F.replace(decode_references(html), F.lit("\uffff"), F.lit(""))
 
 
 def decode_entities(text: Column) -> Column:
+    """The six common entities, one after the other, ``&amp;`` last."""
     for entity, sign in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(sign))
     return text
@@ -201,13 +221,19 @@ def _around_tags(html: Column) -> Column:
 
 
 def link_terms(html: Column, terms: list[str]) -> Column:
-    """Mark the terms, longest first and as whole words, outside tags. The list becomes one pattern, so it should stay
-    below some thousands of terms; beyond that, join on words (operators.glossary.term_hits)."""
+    """Mark the terms, longest first and as whole words, outside tags; a link carries its match in lower case as key. The list
+    becomes one pattern, so it should stay below some thousands of terms; operators.glossary.link_glossary has no such bound."""
     if not terms:
         return html
     ordered = sorted(terms, key=lambda t: (-len(t), t))
-    pattern = rf"(?i)(?<![A-Za-z0-9_])({'|'.join(quoted(t) for t in ordered)})(?![A-Za-z0-9_])"
-    return F.array_join(F.transform(_around_tags(html), lambda p: F.when(F.startswith(p, F.lit("<")), p).otherwise(F.regexp_replace(p, F.lit(pattern), F.lit("<span data-term>$1</span>")))), "")
+    pattern = rf"(?i){BOUNDARY}(?:{'|'.join(quoted(t) for t in ordered)}){BOUNDARY}"
+
+    def linked(part: Column) -> Column:
+        found = F.regexp_extract_all(part, F.lit(pattern), F.lit(0))
+        marks = F.transform(found, lambda m: F.concat(F.lit('<span data-term="'), F.replace(F.replace(F.lower(m), F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;")), F.lit('">'), m, F.lit("</span>")))
+        return F.array_join(F.zip_with(F.split(part, pattern, -1), F.concat(marks, F.array(F.lit(""))), lambda gap, mark: F.concat(gap, F.coalesce(mark, F.lit("")))), "")
+
+    return F.array_join(F.transform(_around_tags(html), lambda p: F.when(F.startswith(p, F.lit("<")), p).otherwise(linked(p))), "")
 
 
 def shown_html(html: Column, query: str | None, terms: list[str], is_glossary: Column) -> Column:

@@ -42,3 +42,26 @@ def neighbours(rows: DataFrame, key: str, order: str, *groups: str) -> DataFrame
     """Add ``previous`` and ``next``: the keys beside each row in its group."""
     own = Window.partitionBy(*groups).orderBy(order, key)
     return rows.withColumns({"previous": F.lag(key).over(own), "next": F.lead(key).over(own)})
+
+
+def expanded_groups(events: DataFrame, user: str, kind: str, item: str, *order: str) -> DataFrame:
+    """``(user, item)``: the groups that each user's events leave open.
+
+    ``toggle`` turns a group over, ``show`` opens it, ``search`` opens the group it found and, if no search is on,
+    remembers what was open; ``clear`` ends a search and brings that back. Other kinds and null groups do nothing, but a
+    search without a result still begins.
+
+    What happens in a search that ends leaves no trace, so it is left out, and no set is ever carried along: of the other
+    events, those since a group was last opened decide by their number. Each user's events are sorted once.
+    """
+    by_time = Window.partitionBy(user).orderBy(*order)
+    sign = F.when(F.col(kind).isin("search", "clear"), F.col(kind) == "search")
+    on = F.coalesce(F.last(sign, ignorenulls=True).over(by_time), F.lit(False))
+    ends = F.first(F.when(F.col(kind) == "clear", F.lit(True)), ignorenulls=True).over(by_time.rowsBetween(1, Window.unboundedFollowing))
+    kept = events.withColumn("_lost", on & ends.isNotNull()).where(~F.col("_lost") & F.col(item).isNotNull() & F.col(kind).isin("toggle", "show", "search"))
+    when = F.struct(*order)
+    opened = kept.groupBy(user, item).agg(F.max(F.when(F.col(kind) != "toggle", when)).alias("_last"), F.count("*").alias("_n"))
+    later = kept.where(F.col(kind) == "toggle").join(opened.where("_last is not null").select(user, item, "_last"), [user, item]).where(when > F.col("_last")).groupBy(user, item).agg(F.count("*").alias("_later"))
+    turned = opened.join(later, [user, item], "left")
+    state = F.when(F.col("_last").isNull(), F.col("_n") % 2 == 1).otherwise(F.coalesce("_later", F.lit(0)) % 2 == 0)
+    return turned.where(state).select(user, item)

@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from difflib import SequenceMatcher
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
+import ahocorasick
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType
 
 from vellum.functions import text as tx
+from vellum.sources.staging import checkpoint
 
 STATUSES = ("exact_after_layout_normalization", "exact_after_pdf_wrap_dehyphenation", "punctuation_difference", "case_or_punctuation_difference", "footnote_difference", "substantive_review_required")
 #: Tokens of an anchor, kept operations, tokens and signs of excerpts, signs of operations and of plain excerpts.
 ANCHOR, OPERATIONS, FIRST, EXCERPT, OPERATION, PLAIN = 3, 12, 40, 300, 500, 240
 
+#: Fields of a chapter that are sought in its scope at once.
+BLOCK = 10_000
+
 
 def collect_fields(chapters: DataFrame) -> DataFrame:
     """``(path, chapter_id, kind, text)``: the visible texts of nested chapters; what follows ``<hr>`` in a section is its footnote."""
@@ -47,28 +53,61 @@ def collect_fields(chapters: DataFrame) -> DataFrame:
     return every.select("path", "chapter_id", "kind", tx.visible_text(F.col("html")).alias("text")).where(F.length(tx.trim(F.col("text"))) > 0)
 
 
-def compare_fields(fields: DataFrame, scopes: DataFrame) -> DataFrame:
+@F.pandas_udf(ArrayType(BooleanType()))
+def _held(scope: pd.Series, parts: pd.Series) -> pd.Series:
+    """Which of the parts stand in the scope: one automaton of all parts, one scan. Null or empty parts stand nowhere."""
+    out = []
+    for whole, own in zip(scope, parts, strict=True):
+        found: set[str] = set()
+        wanted = {p for p in own if p} if whole else set()
+        if wanted:
+            automaton = ahocorasick.Automaton()
+            for p in wanted:
+                automaton.add_word(p, p)
+            automaton.make_automaton()
+            for _, p in automaton.iter(whole):
+                found.add(p)
+                # a part that ends where a longer one does is reported with it, so the scan may stop once all are found
+                if len(found) == len(wanted):
+                    break
+        out.append([p in found for p in own])
+    return pd.Series(out, dtype=object)
+
+
+def compare_fields(fields: DataFrame, scopes: DataFrame, block: int = BLOCK) -> DataFrame:
     """``(path, chapter_id, kind, text)`` and ``(chapter_id, scope)`` to ``(path, chapter_id, kind, sha256, characters, status, expected)``.
 
-    A scope is one chapter's source text, a field one of its texts. The small fields of a chapter travel together to its
-    scope, so a scope and its looser forms are shuffled and worked out once however many fields it has; each field takes
-    the cheapest test that passes.
+    A scope is one chapter's source text, a field one of its texts. The fields of a chapter travel together to its scope, at
+    most about ``block`` of them at once, and are sought with an automaton over all of them: a scope is scanned once for a
+    test, however many fields it has. Tests come from the strictest to the loosest; a looser form of a scope is only worked
+    out where fields are left that no stricter test has settled.
     """
-    strict = tx.normalize_layout(F.col("text"))
-    rows = fields.withColumns({"_e": strict, "_d": tx.normalize_layout(F.col("text"), True)})
-    grouped = rows.groupBy("chapter_id").agg(F.collect_list(F.struct("path", "kind", F.col("_e").alias("e"), F.col("_d").alias("d"))).alias("_fields"))
-    forms = scopes.select("chapter_id", tx.normalize_layout(F.col("scope")).alias("_strict"), tx.normalize_layout(F.col("scope"), True).alias("_loose"))
-    forms = forms.withColumns({"_words": tx.words_only(F.col("_strict")), "_folded": tx.words_only(F.col("_strict"), True)})
-    inside = lambda whole, part: (F.length(part) > 0) & F.coalesce(F.contains(F.col(whole), part), F.lit(False))
+    rows = fields.withColumn("_e", tx.normalize_layout(F.col("text")))
+    blocks = fields.groupBy("chapter_id").agg(F.ceil(F.count("*") / block).alias("_blocks"))
+    rows = rows.join(blocks, "chapter_id").withColumn("_block", F.pmod(F.xxhash64("path"), F.col("_blocks")))
+    field = F.struct("path", "kind", "text", F.col("_e").alias("e"))
+    grouped = rows.groupBy("chapter_id", "_block").agg(F.collect_list(field).alias("_fields"))
+    state = grouped.join(scopes, "chapter_id", "left").withColumn("_status", F.transform("_fields", lambda f: F.lit(None).cast("string")))
+    state = state.withColumn("_strict", tx.normalize_layout(F.col("scope")))
+    tests = (
+        (F.col("_strict"), lambda f: f["e"]),
+        (tx.normalize_layout(F.col("scope"), True), lambda f: tx.normalize_layout(f["text"], True)),
+        (tx.words_only(F.col("_strict")), lambda f: tx.words_only(f["e"])),
+        (tx.words_only(F.col("_strict"), True), lambda f: tx.words_only(f["e"], True)),
+    )
 
-    def judged(f: Column) -> Column:
-        status = F.when(inside("_strict", f["e"]), STATUSES[0]).when(inside("_loose", f["d"]), STATUSES[1])
-        status = status.when(inside("_words", tx.words_only(f["e"])), STATUSES[2]).when(inside("_folded", tx.words_only(f["e"], True)), STATUSES[3])
-        status = status.when(f["kind"] == "footnote", STATUSES[4]).otherwise(STATUSES[5])
-        return F.struct(f["path"].alias("path"), f["kind"].alias("kind"), f["e"].alias("e"), status.alias("status"))
+    def tested(state: DataFrame, status: str, whole: Column, part: Callable[[Column], Column]) -> DataFrame:
+        left = F.exists("_status", lambda s: s.isNull())  # else neither the parts nor this form of the scope is needed
+        parts = F.when(left, F.zip_with("_fields", "_status", lambda f, s: F.when(s.isNull(), part(f))))
+        state = state.withColumn("_parts", F.coalesce(parts, F.array().cast("array<string>"))).withColumn("_whole", F.when(left, whole))
+        state = state.withColumn("_hits", _held("_whole", "_parts"))
+        return state.withColumn("_status", F.zip_with("_status", "_hits", lambda s, h: F.coalesce(s, F.when(h, F.lit(status)))))
 
-    joined = grouped.join(forms, "chapter_id", "left").select("chapter_id", F.explode(F.transform("_fields", judged)).alias("f"))
-    return joined.select("f.path", "chapter_id", "f.kind", F.upper(F.sha2("f.e", 256)).alias("sha256"), F.length("f.e").alias("characters"), "f.status", F.col("f.e").alias("expected"))
+    for status, (whole, part) in zip(STATUSES, tests, strict=False):
+        state = tested(state, status, whole, part)
+    judged = state.select("chapter_id", F.explode(F.arrays_zip("_fields", "_status")).alias("f")).select("chapter_id", "f._fields.*", F.col("f._status").alias("status"))
+    last = F.when(F.col("kind") == "footnote", STATUSES[4]).otherwise(STATUSES[5])
+    return judged.select("path", "chapter_id", "kind", F.upper(F.sha2("e", 256)).alias("sha256"), F.length("e").alias("characters"), F.coalesce("status", last).alias("status"), F.col("e").alias("expected"))
 
 
 def histogram(compared: DataFrame) -> DataFrame:
@@ -106,56 +145,113 @@ def locate(fields: DataFrame, scopes: DataFrame) -> DataFrame:
     return found.select("path", "chapter_id", start.alias("start"), stop.alias("stop"))
 
 
-CHANGE = StructType([StructField("operation", StringType()), *[StructField(c, IntegerType()) for c in "ijkl"]])
+def _longest_rise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each gap's pairs, sorted by gap and left place, a longest run whose right places rise too (the leftmost by its piles)."""
+
+    def rise(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        tops: list[int] = []
+        piles: list[int] = []  # the pair on top of each pile
+        before = [-1] * len(pairs)
+        for k, (_, j) in enumerate(pairs):
+            at = bisect_left(tops, j)
+            before[k] = piles[at - 1] if at else -1
+            tops[at : at + 1] = [j]
+            piles[at : at + 1] = [k]
+        out, k = [], piles[-1] if piles else -1
+        while k >= 0:
+            out.append(pairs[k])
+            k = before[k]
+        return out
+
+    gap, pairs = None, []
+    for batch in batches:
+        out = []
+        for key, n, i, j in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+            if (key, n) != gap:
+                out += [(gap[0], *p) for p in rise(pairs)] if gap else []
+                gap, pairs = (key, n), []
+            pairs.append((i, j))
+        yield _placed(out)
+    yield _placed([(gap[0], *p) for p in rise(pairs)] if gap else [])
+
+
+def _placed(rows: list[tuple[str, int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([dict(zip(("key", "i", "j"), r, strict=True)) for r in rows], schema=pa.schema([("key", pa.string()), ("i", pa.int32()), ("j", pa.int32())]))
+
+
+def align(pairs: DataFrame) -> DataFrame:
+    """``(key, a, b)``, two lists of tokens each, to ``(key, side, n, token, matched, gap)``: a patience alignment.
+
+    Tokens that stand once on both sides are anchors; a longest run of anchors that rise on both sides is matched, and each
+    gap between two matches is aligned again by itself. In a gap without such tokens, the first of a token on one side pairs
+    with the first on the other, the second with the second. Ends when no gap has a common token. ``gap`` is the number of
+    matches before a token on its side, so tokens of one gap stand against each other. key must be unique and a string.
+
+    All pairs advance together: a round is a join of equal tokens inside each gap and one pass over its pairs in order.
+    """
+    side = lambda c: pairs.select("key", F.lit(c).alias("side"), F.posexplode(c).alias("n", "token"))
+    state = checkpoint(side("a").union(side("b")).withColumn("matched", F.lit(False)))
+    before = Window.partitionBy("key", "side").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = lambda df: df.withColumn("gap", F.coalesce(F.sum(F.col("matched").cast("int")).over(before), F.lit(0)))
+    same = Window.partitionBy("key", "side", "gap", "token")
+    while True:
+        open_ = numbered(state).where("not matched").withColumns({"rank": F.row_number().over(same.orderBy("n")), "c": F.count("*").over(same)})
+        left, right = (open_.where(F.col("side") == c).select("key", "gap", "token", "rank", F.col("n").alias(p), F.col("c").alias(f"c{p}")) for c, p in (("a", "i"), ("b", "j")))
+        met = left.join(right, ["key", "gap", "token", "rank"]).withColumn("once", (F.col("ci") == 1) & (F.col("cj") == 1))
+        anchors = met.withColumn("_any", F.max("once").over(Window.partitionBy("key", "gap"))).where("once or not _any")
+        found = checkpoint(anchors.select("key", "gap", "i", "j").repartition("key", "gap").sortWithinPartitions("key", "gap", "i").mapInArrow(_longest_rise, "key string, i int, j int"))
+        if found.isEmpty():
+            return numbered(state)
+        hits = found.select("key", F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("i").alias("n")), F.struct(F.lit("b").alias("side"), F.col("j").alias("n")))).alias("h")).select("key", "h.side", "h.n", F.lit(True).alias("_hit"))
+        state = checkpoint(state.join(hits, ["key", "side", "n"], "left").select("key", "side", "n", "token", (F.col("matched") | F.coalesce("_hit", F.lit(False))).alias("matched")))
 
 
-@F.pandas_udf(StructType([StructField("similarity", DoubleType()), StructField("changes", ArrayType(CHANGE))]))
-def _align(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    """Similarity of two lists of tokens, and the stretches by which they differ."""
-    matchers = [SequenceMatcher(None, list(x), list(y), autojunk=False) for x, y in zip(a, b, strict=True)]
-    changes = [[dict(zip(("operation", "i", "j", "k", "l"), c, strict=True)) for c in m.get_opcodes() if c[0] != "equal"] for m in matchers]
-    return pd.DataFrame({"similarity": [m.ratio() for m in matchers], "changes": changes})
+def changes(aligned: DataFrame) -> DataFrame:
+    """``(key, gap, operation, expected, actual)``: replace, delete or insert for each gap with tokens left; the sides' tokens in order."""
+    left = aligned.where("not matched").groupBy("key", "gap")
+    tokens = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == c, F.struct("n", "token")))), lambda t: t["token"])
+    gaps = left.agg(tokens("a").alias("expected"), tokens("b").alias("actual"))
+    kind = F.when(F.size("actual") == 0, "delete").when(F.size("expected") == 0, "insert").otherwise("replace")
+    return gaps.select("key", "gap", kind.alias("operation"), "expected", "actual")
 
 
 def differences(compared: DataFrame, scopes: DataFrame) -> DataFrame:
     """``(path, chapter_id, similarity, expected_excerpt, actual_excerpt, operation_count, operations)`` of the fields that no
     exact test passed, against their chapter's scope.
 
-    Spark finds the stretch of the scope that stands for a field (see locate); only the two are aligned, so the quadratic
-    step is bounded by them. Where either side has no token, the similarity is 0 and the excerpts are of the texts.
+    The stretch of the scope that stands for a field comes from joined anchors (see locate), and the two are aligned by
+    patience (see align). Similarity is twice the matched tokens over the tokens of both. Where either side has no token, it
+    is 0 and the excerpts are of the texts.
     """
     left = compared.where(~F.col("status").isin(*STATUSES[:2])).select("path", "chapter_id", "expected", tx.tokens(F.col("expected")).alias("a"))
     sources = scopes.select("chapter_id", tx.normalize_layout(F.col("scope")).alias("_scope")).withColumn("b", tx.tokens(F.col("_scope")))
     placed = left.join(locate(left, sources), ["path", "chapter_id"], "left").join(sources, "chapter_id", "left")
     start = F.coalesce("start", F.lit(0))
     rows = placed.withColumn("w", F.slice(F.coalesce("b", F.array().cast("array<string>")), start + 1, F.greatest(F.lit(0), F.coalesce("stop", F.size("a")) - start)))
-    rows = rows.withColumn("_none", (F.size("a") == 0) | (F.size("w") == 0)).withColumn("m", _align("a", "w"))
-    text = lambda tokens, i, j: F.left(F.array_join(F.slice(tokens, i + 1, j - i), " "), F.lit(OPERATION))
-    kept = F.transform(F.slice("m.changes", 1, OPERATIONS), lambda c: F.struct(c["operation"].alias("operation"), text("a", c["i"], c["j"]).alias("expected"), text("w", c["k"], c["l"]).alias("actual")))
+    rows = rows.withColumn("_none", (F.size("a") == 0) | (F.size("w") == 0)).select("path", "chapter_id", "expected", "a", "w", "_none", F.left("_scope", F.lit(PLAIN)).alias("_begin"))
+    rows = checkpoint(rows.withColumn("key", F.to_json(F.struct("path", "chapter_id"))))
+    aligned = align(rows.where("not _none").select("key", "a", F.col("w").alias("b")))
+    matched = aligned.where("side = 'a'").groupBy("key").agg(F.count_if("matched").alias("_matched"))
+    cut = lambda c: F.left(F.array_join(c, " "), F.lit(OPERATION)).alias(c)
+    listed = changes(aligned).select("key", "gap", "operation", cut("expected"), cut("actual")).groupBy("key").agg(F.count("*").cast("int").alias("_n"), F.array_sort(F.collect_list(F.struct("gap", "operation", "expected", "actual"))).alias("_all"))
+    joined = rows.join(matched, "key", "left").join(listed, "key", "left")
+    kept = F.transform(F.slice("_all", 1, OPERATIONS), lambda c: F.struct(c["operation"].alias("operation"), c["expected"].alias("expected"), c["actual"].alias("actual")))
+    empty = F.array().cast("array<struct<operation: string, expected: string, actual: string>>")
     excerpt = lambda tokens, whole: F.when(F.col("_none"), F.left(F.coalesce(whole, F.lit("")), F.lit(PLAIN))).otherwise(F.left(F.array_join(F.slice(tokens, 1, FIRST), " "), F.lit(EXCERPT)))
-    return rows.select(
+    return joined.select(
         "path",
         "chapter_id",
-        F.when(F.col("_none"), 0.0).otherwise(F.round("m.similarity", 6)).alias("similarity"),
+        F.when(F.col("_none"), 0.0).otherwise(F.round(2.0 * F.col("_matched") / (F.size("a") + F.size("w")), 6)).alias("similarity"),
         excerpt("a", F.col("expected")).alias("expected_excerpt"),
-        excerpt("w", F.col("_scope")).alias("actual_excerpt"),
-        F.when(F.col("_none"), 0).otherwise(F.size("m.changes")).alias("operation_count"),
-        F.when(F.col("_none"), F.array()).otherwise(kept).alias("operations"),
+        excerpt("w", F.col("_begin")).alias("actual_excerpt"),
+        F.coalesce("_n", F.lit(0)).alias("operation_count"),
+        F.coalesce(kept, empty).alias("operations"),
     )
 
 
 def missing_chunks(pairs: DataFrame, least: int = 20) -> DataFrame:
     """``(key, expected, actual)`` to ``(key, chunk)``: stretches of more than ``least`` words of expected that actual lacks."""
-    tokens = pairs.select("key", *[F.split(F.trim(F.regexp_replace(F.lower(c), "[^a-zA-Z0-9]+", " ")), " ").alias(c) for c in ("expected", "actual")])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for key, a, b in zip(frame["key"], frame["expected"], frame["actual"], strict=True):
-                a, b = list(a), list(b)
-                for kind, i, j, _, _ in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-                    if kind in ("delete", "replace") and j - i > least:
-                        rows.append((key, " ".join(a[i:j])))
-            yield pd.DataFrame(rows, columns=["key", "chunk"])
-
-    return tokens.mapInPandas(run, "key long, chunk string")
+    words = lambda c: F.filter(F.split(F.trim(F.regexp_replace(F.lower(c), "[^a-zA-Z0-9]+", " ")), " "), lambda w: w != "")
+    aligned = align(pairs.select(F.col("key").cast("string").alias("key"), words("expected").alias("a"), words("actual").alias("b")))
+    gone = changes(aligned).where(F.size("expected") > least)
+    return gone.select(F.col("key").cast("long").alias("key"), F.array_join("expected", " ").alias("chunk"))

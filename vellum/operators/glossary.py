@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from vellum.functions import text as tx
+from vellum.sources.staging import checkpoint
+
+#: Words of ASCII letters, digits and ``_``, and any other sign for itself.
+PIECE = "[A-Za-z0-9_]+|[^A-Za-z0-9_]"
+WORD_SIGN = re.compile("[A-Za-z0-9_]")
+_PLACES = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("node", pa.string()), ("stop", pa.int32()), ("key", pa.string()), ("rest", pa.list_(pa.struct([("piece", pa.string()), ("stop", pa.int32()), ("bounded", pa.bool_())])))])
 
 
 def clean_term(term: Column) -> Column:
@@ -75,3 +87,120 @@ def phrase_hits(docs: DataFrame, glossary: DataFrame, longest: int = 4) -> DataF
     found = words.select("doc_id", F.explode(F.concat(*[runs(n) for n in range(1, longest + 1)])).alias("key"))
     counted = found.groupBy("doc_id", "key").agg(F.count("*").alias("hits"))
     return counted.join(glossary.select("key"), "key", "left_semi").select("doc_id", "key", "hits")
+
+
+def term_trie(glossary: DataFrame) -> DataFrame:
+    """``(key, ...)`` to the edges ``(depth, node, piece, child, key, open)`` of a trie over the pieces of the keys.
+
+    A node is the digest of its path, so equal beginnings meet without any numbering; each (node, piece) has one child.
+    key is null unless a key ends at the child; open tells whether longer keys pass it. Keys are taken in lower case.
+    """
+    keys = glossary.select(F.lower("key").alias("key")).where("key != ''").distinct()
+    cut = keys.select("key", F.regexp_extract_all("key", F.lit(PIECE), F.lit(0)).alias("p"))
+    path = lambda n: F.md5(F.array_join(F.slice("p", 1, n), "").cast("binary"))
+    steps = cut.select("key", F.size("p").alias("n"), F.explode(F.transform(F.sequence(F.lit(1), F.size("p")), lambda d: F.struct(d.alias("depth"), path(d - 1).alias("node"), F.get("p", d - 1).alias("piece"), path(d).alias("child")))).alias("e"))
+    edges = steps.groupBy("e.depth", "e.node", "e.piece", "e.child")
+    return edges.agg(F.max(F.when(F.col("e.depth") == F.col("n"), F.col("key"))).alias("key"), F.max(F.col("n") > F.col("e.depth")).alias("open"))
+
+
+def _follow(deepest: int):
+    """For each place of a text that may begin a term: its node, and the pieces behind it with their ends."""
+    tag, piece = re.compile("<[^>]*>|<[^>]*$|[^<]+"), re.compile(PIECE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, text, firsts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                roots = {f["piece"]: f for f in firsts}
+                rows = []
+                for part in tag.finditer(text):
+                    if part[0].startswith("<"):
+                        continue
+                    cut = [m.span() for m in piece.finditer(text, *part.span())]
+                    # a boundary lies between two pieces, or a piece and the part's edge, of which one only is a word
+                    word = [False, *(bool(WORD_SIGN.match(text, a)) for a, _ in cut), False]
+                    low = [text[a:b].lower() for a, b in cut]
+                    for n, (a, b) in enumerate(cut):
+                        root = roots.get(low[n])
+                        if root is None or word[n] == word[n + 1]:
+                            continue
+                        rest = [{"piece": low[k], "stop": cut[k][1], "bounded": word[k + 1] != word[k + 2]} for k in range(n + 1, min(n + deepest, len(cut)))] if root["open"] else []
+                        hit = root["key"] is not None and word[n + 1] != word[n + 2]
+                        if hit or rest:
+                            rows.append({"doc_id": doc_id, "start": a, "node": root["child"], "stop": b if hit else None, "key": root["key"] if hit else None, "rest": rest})
+                    if len(rows) >= 10_000:
+                        yield pa.RecordBatch.from_pylist(rows, schema=_PLACES)
+                        rows = []
+                yield pa.RecordBatch.from_pylist(rows, schema=_PLACES)
+
+    return run
+
+
+def _select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of matches sorted by text and start, those that begin where the one kept before has ended or later."""
+    row, end = None, 0
+    for batch in batches:
+        kept = []
+        for k, (own, start, stop) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)):
+            if own != row:
+                row, end = own, 0
+            if start >= end:
+                kept.append(k)
+                end = stop
+        yield batch.take(pa.array(kept, pa.int64()))
+
+
+def term_spans(texts: DataFrame, glossary: DataFrame) -> DataFrame:
+    """``(doc_id, text)`` and a glossary of any size to ``(doc_id, start, stop, key)``: the terms to link in each text.
+
+    Terms match in any case, outside tags, between word boundaries (of ASCII words). From left to right the longest term at
+    a place wins, and the search goes on behind it. Positions are code points, stop exclusive. doc_id must be a unique long;
+    null texts have no spans.
+
+    The keys form a trie. The different pieces of each text join its first level; places that may begin a term then carry
+    the pieces behind them and join one level after the other. A place's node has one child at most for a piece, so the
+    candidates only get fewer, and each keeps its longest term alone. The greedy choice reads a text's matches in their order
+    and remembers one end.
+    """
+    trie = checkpoint(term_trie(glossary))
+    deepest = trie.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0]
+    own = texts.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    pieces = own.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(PIECE), F.lit(0)))).alias("piece"))
+    firsts = pieces.join(trie.where("depth = 1").select("piece", "child", "key", "open"), "piece").groupBy("doc_id").agg(F.collect_list(F.struct("piece", "child", "key", "open")).alias("firsts"))
+    places = own.join(firsts, "doc_id").mapInArrow(_follow(deepest), "doc_id long, start int, node string, stop int, key string, rest array<struct<piece: string, stop: int, bounded: boolean>>")
+    level, done = checkpoint(places), []
+    for depth in range(2, deepest + 1):
+        done.append(level.where(F.size("rest") == 0))
+        alive = level.where(F.size("rest") > 0).withColumn("_next", F.get("rest", F.lit(0)))
+        if alive.isEmpty():
+            break
+        edges = trie.where(F.col("depth") == depth).select(F.col("node").alias("_node"), F.col("piece").alias("_piece"), "child", F.col("key").alias("_key"), "open")
+        joined = alive.join(edges, (F.col("node") == F.col("_node")) & (F.col("_next.piece") == F.col("_piece")), "left")
+        longer = F.col("_key").isNotNull() & F.col("_next.bounded")
+        rest = F.when(F.coalesce("open", F.lit(False)), F.slice("rest", 2, F.greatest(F.size("rest") - 1, F.lit(0)))).otherwise(F.slice("rest", 1, 0))
+        moved = joined.select("doc_id", "start", F.col("child").alias("node"), F.when(longer, F.col("_next.stop")).otherwise(F.col("stop")).alias("stop"), F.when(longer, F.col("_key")).otherwise(F.col("key")).alias("key"), rest.alias("rest"))
+        level = checkpoint(moved.where(F.col("key").isNotNull() | (F.size("rest") > 0)))
+    else:
+        done.append(level)
+    every = done[0]
+    for more in done[1:]:
+        every = every.union(more)
+    found = every.where("key is not null").select("doc_id", "start", "stop", "key")
+    return found.repartition("doc_id").sortWithinPartitions("doc_id", "start").mapInArrow(_select, found.schema)
+
+
+@F.pandas_udf(StringType())
+def _with_links(text: pd.Series, spans: pd.Series) -> pd.Series:
+    out = []
+    for whole, own in zip(text, spans, strict=True):
+        parts, at = [], 0
+        for s in () if own is None else own:
+            parts += [whole[at : s["start"]], f'<span data-term="{s["key"].replace("&", "&amp;").replace(chr(34), "&quot;")}">', whole[s["start"] : s["stop"]], "</span>"]
+            at = s["stop"]
+        out.append(whole if whole is None else "".join(parts) + whole[at:])
+    return pd.Series(out, dtype=object)
+
+
+def link_glossary(texts: DataFrame, glossary: DataFrame) -> DataFrame:
+    """``(doc_id, linked)``: each text with its terms in ``<span data-term="key">`` (see term_spans)."""
+    spans = term_spans(texts, glossary).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "key"))).alias("spans"))
+    return texts.select("doc_id", "text").join(spans, "doc_id", "left").select("doc_id", _with_links("text", "spans").alias("linked"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum.operators import graph, integrity, routes, runs, validate
@@ -121,7 +121,66 @@ def json_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Array elements as written, blanks included."""
     raw = F.concat(F.lit('{ "x": ['), "props", F.lit(' , "'), "event_type", F.lit('" ] }'))
-    return integrity.array_slices(table(spark, sf_dir, "events").select(F.col("event_id").alias("key"), raw.alias("raw")), "x")
+    return integrity.array_slices(table(spark, sf_dir, "events").select(F.col("event_id").alias("key"), raw.alias("raw")), "x").select("key", "pos", "begin", "end", "element")
+
+
+@register("""SELECT event_id AS key, CASE event_id % 7 WHEN 1 THEN 'brackets without end' WHEN 2 THEN 'colon expected' WHEN 3 THEN 'wrong closing bracket' WHEN 4 THEN 'object expected' WHEN 5 THEN 'comma or ] expected' ELSE 'string without end' END AS problem,
+    CASE event_id % 7 WHEN 1 THEN 7 WHEN 2 THEN 6 WHEN 3 THEN 8 + length(props) WHEN 4 THEN 0 WHEN 5 THEN 9 + length(props) ELSE 10 + length(props) END::INTEGER AS problem_at FROM events WHERE event_id % 7 <> 0""")
+def json_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six of seven documents are broken, each in its way; every one has one row that says how and where."""
+    whole = F.concat(F.lit('{ "x": ['), "props", F.lit(' , "'), "event_type", F.lit('" ] }'))
+    ways = (whole, F.concat(F.lit('{ "x": ['), "props"), F.concat(F.lit('{ "x" ['), "props", F.lit("]}")), F.concat(F.lit('{ "x": ['), "props", F.lit("} ]")), F.concat("props", F.lit("]")), F.concat(F.lit('{ "x": ['), "props", F.lit(' "a"]}')), F.concat(F.lit('{ "x": ['), "props", F.lit(', "a]}')))
+    broken = F.when(F.col("event_id") % 7 == 4, F.concat(F.lit("["), "props", F.lit("]")))
+    for k, way in enumerate(ways):
+        broken = broken.when(F.col("event_id") % 7 == k, way)
+    found = integrity.array_slices(table(spark, sf_dir, "events").select(F.col("event_id").alias("key"), broken.alias("raw")), "x")
+    return found.where("problem is not null").select("key", "problem", "problem_at")
+
+
+_FAULTS = """t AS (SELECT conv_id AS source, turn AS pos, conv_id % 11 AS fault, text, count(*) OVER w AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE text IS NOT NULL WINDOW w AS (PARTITION BY conv_id))"""
+_VERIFY = f"""WITH {_FAULTS}, s AS (SELECT source, min(pos) AS first, any_value(fault) AS fault, any_value(n) AS n FROM t GROUP BY source), f AS (
+    SELECT source, 'f' || first || '.json' AS file, first, fault, n FROM s), bad AS (
+    SELECT source, unnest(['raw bytes', 'raw digest', 'string digest', 'section routes']) AS "check", file AS subject FROM f WHERE fault = 1
+    UNION ALL SELECT source, unnest(['source bytes', 'source digest', 'content digest']), '' FROM f WHERE fault = 1
+    UNION ALL SELECT source, 'line end', file FROM f WHERE fault = 2
+    UNION ALL SELECT source, 'file set', file FROM f WHERE fault = 3
+    UNION ALL SELECT source, unnest(['source bytes', 'source digest', 'content digest', 'total chapters', 'total sections', 'total qas', 'total strings']), '' FROM f WHERE fault = 3
+    UNION ALL SELECT source, 'file set', 'other.json' FROM f WHERE fault = 4
+    UNION ALL SELECT source, unnest(['raw bytes', 'raw digest', 'string count', 'string digest', 'question count']), file FROM f WHERE fault = 5
+    UNION ALL SELECT source, unnest(['source bytes', 'source digest', 'content digest', 'total qas', 'total strings']), '' FROM f WHERE fault = 5
+    UNION ALL SELECT source, 'version', '' FROM f WHERE fault = 6
+    UNION ALL SELECT source, unnest(['raw bytes', 'raw digest']), file FROM f WHERE fault = 7
+    UNION ALL SELECT source, unnest(['source bytes', 'source digest']), '' FROM f WHERE fault = 7
+    UNION ALL SELECT source, 'order', CAST(first AS VARCHAR) FROM f WHERE fault = 8
+    UNION ALL SELECT source, 'chapter order', file FROM f WHERE fault = 8
+    UNION ALL SELECT source, unnest(['chapter id', 'raw bytes', 'raw digest', 'string digest', 'section routes', 'chapter order']), file FROM f WHERE fault = 9
+    UNION ALL SELECT source, unnest(['source bytes', 'source digest', 'content digest']), '' FROM f WHERE fault = 9
+) SELECT source, "check", subject FROM bad"""
+
+
+@register(_VERIFY)
+def verification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as sources split by turn; in most of them one fault is planted after the manifest was made."""
+    turns = table(spark, sf_dir, "conversations").where("text is not null").select(F.col("conv_id").alias("source"), F.col("turn").alias("pos"), "text")
+    first = F.col("pos") == F.min("pos").over(Window.partitionBy("source"))
+    turns = turns.withColumn("fault", F.when(first, F.col("source") % 11).otherwise(0))
+    document = lambda title, questions, id_: F.to_json(F.struct(id_.alias("id"), F.array(F.struct(title.alias("title"), questions.alias("qas"))).alias("sections")))
+    title, name = F.concat(F.lit("Turn "), F.left("text", F.lit(20))), F.concat(F.lit("c"), F.col("pos").cast("string"))
+    raw = document(title, F.array("text"), name)
+    changed = F.when(F.col("fault") == 1, document(F.concat(title, F.lit("x")), F.array("text"), name)).when(F.col("fault") == 5, document(title, F.array("text", F.lit("more")), name))
+    changed = changed.when(F.col("fault") == 7, F.concat(F.lit(" "), raw)).when(F.col("fault") == 9, document(title, F.array("text"), F.concat(name, F.lit("x")))).otherwise(raw)
+    ended = F.when(F.col("fault") == 2, "").when(F.col("pos") % 2 == 0, "\n").otherwise("\r\n")
+    file = F.concat(F.lit("f"), F.col("pos").cast("string"), F.lit(".json"))
+    files = lambda text, end: turns.select("source", "pos", "fault", file.alias("file"), F.concat(text, end).alias("raw"))
+    clean = files(raw, F.lit("\n"))
+    facts = integrity.chapter_facts(clean.select("source", "file", "raw"))
+    placed = clean.select("source", "file", "pos", F.when(F.col("pos") % 3 == 0, ",\n").otherwise(", ").alias("separator"))
+    chapters = placed.join(facts.select("source", "file", *integrity.FACTS), ["source", "file"])
+    sources = integrity.source_facts(facts, placed).withColumn("version", F.when(F.col("source") % 11 == 6, 2).otherwise(1))
+    now = files(changed, ended).where("fault != 3").select("source", "file", "raw")
+    extra = turns.where("fault = 4").select("source", F.lit("other.json"), F.lit('{"id": "other"}\n'))
+    order = turns.select("source", "pos", F.when(F.col("fault") == 8, "another").otherwise(name).alias("id"))
+    return integrity.verification(chapters, sources, order, now.union(extra)).where("not ok").select("source", "check", "subject")
 
 
 @register(r"""SELECT event_id AS id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS INTEGER) END AS k FROM events""")
@@ -199,12 +258,50 @@ def leaf_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.leaf_counts(*_edges(spark, sf_dir))
 
 
-@register()
+@register(f"""{_LEAVES}, s AS (SELECT node, leaves * 1.0::DOUBLE + (leaves - 1) * 0.5::DOUBLE AS span FROM l), r AS (
+    SELECT node, 0 AS depth, span, sum(span + 0.5) OVER (ORDER BY node) - (span + 0.5) AS lft FROM s JOIN roots USING (node)
+), m AS (SELECT s.node, 1 AS depth, s.span, r.lft + sum(s.span + 0.5) OVER (PARTITION BY e.src ORDER BY s.node) - (s.span + 0.5) AS lft FROM r JOIN e ON e.src = r.node JOIN s ON s.node = e.dst), k AS (
+    SELECT s.node, 2 AS depth, s.span, m.lft + sum(s.span + 0.5) OVER (PARTITION BY e.src ORDER BY s.node) - (s.span + 0.5) AS lft FROM m JOIN e ON e.src = m.node JOIN s ON s.node = e.dst
+) SELECT node, depth::INTEGER AS depth, span, lft + span / 2 AS x FROM (SELECT * FROM r UNION ALL SELECT * FROM m UNION ALL SELECT * FROM k)""")
 def tree_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coordinates of every node; the tests hold a small tree against known coordinates."""
+    """Places of every node of the regions, nations and customers, all leaves of one width."""
     return graph.layout(*_edges(spark, sf_dir))
 
 
+_HIGH = lambda text, signs, line: f"greatest(ceil(length({text}) / {signs}.0::DOUBLE), 1) * {line}"
+_BOXES = f"""WITH c AS (
+    SELECT 'n' || c_nationkey AS src, 'c' || c_custkey AS node, c_custkey AS place, c_acctbal >= 0 AS drawn, CASE WHEN c_acctbal >= 0 THEN 240.0::DOUBLE ELSE 0 END AS tw,
+        CASE WHEN c_acctbal >= 0 THEN greatest(16 + {_HIGH("repeat(c_mktsegment || ' ', (c_custkey % 12)::INTEGER)", 36, 14)} + 28, 50)::DOUBLE ELSE 0 END AS h, greatest({_HIGH("repeat(c_mktsegment || ' ', (c_custkey % 5)::INTEGER)", 23, 14)} + 10, 24)::DOUBLE AS lh FROM customer
+), cs AS (SELECT src, sum(tw) + (count(*) - 1) * 36 AS row_w, max(h) AS row_h, max(lh) AS most FROM c GROUP BY src), n AS (
+    SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS node, n_nationkey AS place, greatest({_HIGH("repeat(n_name || ' ', n_nationkey)", 39, 15)} + 28, 50)::DOUBLE AS h, greatest({_HIGH('n_name', 23, 14)} + 10, 24)::DOUBLE AS lh FROM nation
+), nn AS (SELECT n.*, row_w, greatest(280, coalesce(row_w, 0)) AS tw, h + 36 + most AS row_y, coalesce(h + 36 + most + row_h, h) AS th FROM n LEFT JOIN cs ON cs.src = n.node), ns AS (
+    SELECT src, sum(tw) + (count(*) - 1) * 36 AS row_w, max(th) AS row_h, max(lh) AS most FROM nn GROUP BY src
+), r AS (SELECT 'r' || r_regionkey AS node, greatest({_HIGH("repeat(r_name || ' ', 1 + r_regionkey * 3)", 39, 15)} + 28, 50)::DOUBLE AS h FROM region), rr AS (
+    SELECT r.node, h, row_w, greatest(280, coalesce(row_w, 0)) AS tw, h + 36 + most AS row_y FROM r LEFT JOIN ns ON ns.src = r.node
+), np AS (
+    SELECT rr.node AS root, nn.place::VARCHAR AS way, nn.*, rr.row_y AS top, rr.h + 28 AS label_y, (rr.tw - rr.row_w) / 2 + sum(nn.tw + 36) OVER (PARTITION BY nn.src ORDER BY nn.place) - (nn.tw + 36) AS lft FROM nn JOIN rr ON rr.node = nn.src
+), cp AS (
+    SELECT np.root, np.way || '.' || c.place AS way, c.*, np.top + np.row_y AS top, np.top + np.h + 28 AS label_y, np.lft + (np.tw - np.row_w) / 2 + sum(c.tw + 36) OVER (PARTITION BY c.src ORDER BY c.place) - (c.tw + 36) AS lft FROM c JOIN np ON np.node = c.src
+), boxes AS (
+    SELECT node AS root, '' AS way, node, NULL::INTEGER AS place, 0 AS depth, (tw - 280) / 2 AS x, 0.0 AS y, 280.0 AS w, h FROM rr
+    UNION ALL SELECT root, way, node, NULL, 1, lft + (tw - 280) / 2, top, 280.0, h FROM np UNION ALL SELECT root, way, node, NULL, 2, lft, top, 240.0, h FROM cp WHERE drawn
+    UNION ALL SELECT root, way, node, place, 0, lft + tw / 2 - 75, label_y, 150.0, lh FROM np UNION ALL SELECT root, way, node, place, 1, lft + tw / 2 - 75, label_y, 150.0, lh FROM cp)
+SELECT root, way AS "at", node, place::INTEGER AS place, depth::INTEGER AS depth, x::DOUBLE AS x, y::DOUBLE AS y, w::DOUBLE AS w, h::DOUBLE AS h, FALSE AS cyclic FROM boxes"""
+
+
+@register(_BOXES)
+def tree_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes and labels of the regions' trees; customers in debt have no node."""
+    mark = lambda sign, column: F.concat(F.lit(sign), F.col(column).cast("string"))
+    regions, nations, customers = (table(spark, sf_dir, n) for n in ("region", "nation", "customer"))
+    nodes = regions.select(mark("r", "r_regionkey").alias("node"), F.lit("question").alias("kind"), F.expr("repeat(concat(r_name, ' '), 1 + r_regionkey * 3)").alias("text"))
+    nodes = nodes.union(nations.select(mark("n", "n_nationkey"), F.lit("question"), F.expr("repeat(concat(n_name, ' '), n_nationkey)")))
+    nodes = nodes.union(customers.where("c_acctbal >= 0").select(mark("c", "c_custkey"), F.lit("result"), F.expr("repeat(concat(c_mktsegment, ' '), cast(c_custkey % 12 as int))")))
+    edges = nations.select(mark("r", "n_regionkey").alias("src"), F.col("n_nationkey").cast("int").alias("place"), mark("n", "n_nationkey").alias("dst"), F.col("n_name").alias("label"))
+    edges = edges.union(customers.select(mark("n", "c_nationkey"), F.col("c_custkey").cast("int"), mark("c", "c_custkey"), F.expr("repeat(concat(c_mktsegment, ' '), cast(c_custkey % 5 as int))")))
+    return graph.sized_layout(nodes, edges, regions.select(mark("r", "r_regionkey").alias("node")))
+
+
 @register(f"WITH {_EDGES} SELECT dst AS node FROM e WHERE dst LIKE 'c%' AND src NOT IN (SELECT dst FROM e JOIN roots ON e.src = node WHERE node <> 'r0')")
 def unreachable_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers that can't be reached once the first region is closed."""

@@ -51,8 +51,12 @@ def highlighted_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _MARKED = r"""array_to_string(list_transform(regexp_extract_all(html, '<[^>]*>|<[^>]*$|[^<]+'), lambda p: CASE WHEN starts_with(p, '<') THEN p ELSE regexp_replace(p, {}, 'g') END), '')"""
 
+_SHOWN = r"'(?i)\b(?:next page|contact|about|home|the|and)\b'"
+_LINK = """list_transform(range(1, len(regexp_extract_all({0}, {1})) + 1), lambda k: '<span data-term="' || lower(regexp_extract_all({0}, {1})[k]) || '">' || regexp_extract_all({0}, {1})[k] || '</span>' || regexp_split_to_array({0}, {1})[k + 1])"""
+_LINKED = f"""array_to_string(list_transform(regexp_extract_all(html, '<[^>]*>|<[^>]*$|[^<]+'), lambda p: CASE WHEN starts_with(p, '<') OR len(regexp_extract_all(p, {_SHOWN})) = 0 THEN p ELSE regexp_split_to_array(p, {_SHOWN})[1] || array_to_string({_LINK.format('p', _SHOWN)}, '') END), '')"""
 
-@register(f"""SELECT page_id, CASE page_id % 3 WHEN 0 THEN {_MARKED.format("'(?i)(an)', '<mark>\\1</mark>'")} WHEN 1 THEN coalesce(html, '') ELSE {_MARKED.format("'(?i)\\b(next page|contact|about|home|the|and)\\b', '<span data-term>\\1</span>'")} END AS shown FROM pages""")
+
+@register(f"""SELECT page_id, CASE page_id % 3 WHEN 0 THEN {_MARKED.format("'(?i)(an)', '<mark>\\1</mark>'")} WHEN 1 THEN coalesce(html, '') ELSE {_LINKED} END AS shown FROM pages""")
 def shown_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A search beats glossary links, and the glossary itself is never linked: every third page is searched, every third is glossary."""
     pages = table(spark, sf_dir, "pages")

@@ -33,6 +33,22 @@ def bookmark_toggle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return activity.toggled(table(spark, sf_dir, "events"), "ts", "user_id", "props")
 
 
+_EVENT = "{'kind': CASE event_type WHEN 'click' THEN 'toggle' WHEN 'view' THEN 'show' WHEN 'signup' THEN 'search' WHEN 'error' THEN 'clear' ELSE '' END, 'item': nullif(props, '{\"k\": 0}'), 'open': []::VARCHAR[], 'before': NULL::VARCHAR[]}"
+
+
+@register(f"""WITH l AS (SELECT user_id, list({_EVENT} ORDER BY ts, event_id) AS e FROM events GROUP BY user_id), f AS (
+    SELECT user_id, list_reduce(list_prepend({{'kind': '', 'item': NULL, 'open': []::VARCHAR[], 'before': NULL::VARCHAR[]}}, e), lambda a, x: {{'kind': '', 'item': NULL,
+        'open': CASE WHEN x.kind = 'clear' THEN coalesce(a.before, a.open) WHEN x.item IS NULL THEN a.open WHEN x.kind = 'toggle' AND list_contains(a.open, x.item) THEN list_filter(a.open, lambda i: i <> x.item)
+            WHEN x.kind IN ('toggle', 'show', 'search') AND NOT list_contains(a.open, x.item) THEN list_append(a.open, x.item) ELSE a.open END,
+        'before': CASE WHEN x.kind = 'clear' THEN NULL WHEN x.kind = 'search' THEN coalesce(a.before, a.open) ELSE a.before END}}) AS s FROM l)
+SELECT user_id, unnest(s.open) AS props FROM f""")
+def expanded_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks turn a group over, views open it, signups search, errors clear the search."""
+    kind = F.when(F.col("event_type") == "click", "toggle").when(F.col("event_type") == "view", "show").when(F.col("event_type") == "signup", "search").when(F.col("event_type") == "error", "clear").otherwise("")
+    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", kind.alias("kind"), F.when(F.col("props") != '{"k": 0}', F.col("props")).alias("props"))
+    return activity.expanded_groups(events, "user_id", "kind", "props", "ts", "event_id")
+
+
 @register("SELECT user_id, ts, event_type, event_id FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n IS NULL OR n - ts >= INTERVAL 30 MINUTE")
 def debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return activity.debounce(table(spark, sf_dir, "events"), "user_id", "ts", "event_type", "event_id", 30 * 60 * 1000)

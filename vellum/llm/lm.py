@@ -96,7 +96,6 @@ class Grams:
     words: np.ndarray
     scored: np.ndarray
     line: np.ndarray
-    types: int
     number: list[np.ndarray]  # which n-gram ends at each token, by order; -1 for none
     distinct: list[np.ndarray]  # sorted keys of each order
     example: list[np.ndarray]  # a token at which each of them ends
@@ -105,25 +104,25 @@ class Grams:
     @classmethod
     def of(cls, blob: bytes, raw_size: int, leads: list[int], ended: list[bool], held: list[bool], order: int) -> Grams:
         texts = pa.decompress(blob, decompressed_size=raw_size, codec="zstd", asbytes=True).split(b"\n") if raw_size else [b""] * len(leads)
-        known: dict[bytes, int] = {b"\n": END, b"\r": BEGIN}
-        found: list[int] = []
+        found: list[bytes] = [b"\n", b"\r"]  # END and BEGIN; no word is white space
         sizes, unscored = [], []
         for text, lead, last in zip(texts, leads, ended, strict=True):
             before = len(found)
             if not lead:
-                found.append(BEGIN)
+                found.append(b"\r")
             if text:
-                found += [known.setdefault(w, len(known)) for w in text.split(b" ")]
+                found += text.split(b" ")
             if last:
-                found.append(END)
+                found.append(b"\n")
             sizes.append(len(found) - before)
             unscored.append(lead or 1)
-        words, counts = np.array(found, np.int64), np.array(sizes, np.int64)
+        known = {word: k for k, word in enumerate(dict.fromkeys(found))}
+        words, counts = np.fromiter(map(known.__getitem__, found), np.int64, len(found))[2:], np.array(sizes, np.int64)
         line = np.repeat(np.arange(len(sizes)), counts)
         places = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
         hashes = np.array([xxhash.xxh64_intdigest(w) for w in known], np.uint64)
         key = own = hashes[words]
-        out = cls(words, places >= np.array(unscored)[line], line, len(known), [], [], [], [])
+        out = cls(words, places >= np.array(unscored)[line], line, [], [], [], [])
         learned = out.scored & ~np.array(held, bool)[line]
         for n in range(order):
             if n:
@@ -201,9 +200,10 @@ def _replies(order: int):
 class Automaton:
     """States are the contexts known from the corpus: the empty one, the beginning of a text, and runs of words.
 
-    ``arcs`` numbers the arcs by state + word, states being multiples of the number of words; an arc has a log10 probability
-    and leads to a state. Where a state has no arc for a word, its failure arc leads to the state of its context without the
-    first word, at the cost of ``back``. The empty state has an arc for every word.
+    Where a text has come to, a state is told by the length of its context, and its arc for the next word by the n-gram of
+    the context and that word. Of each n-gram that is known there is an arc, with a log10 probability (``logs``) and the
+    length of the context it leads to (``after``); the empty state has one for every word. Where a state has no arc for a
+    word, its failure arc leads to its context without the first word, at the cost of ``back``.
     """
 
     def __init__(self, grams: Grams, counts: list[np.ndarray], total: int, known: int, strength: tuple[float, ...]):
@@ -212,60 +212,50 @@ class Automaton:
         #: every text that is learned from has one end, and so one beginning
         begun = float(counts[0][ends[0]]) if len(ends) else 0.0
         prior = lambda n: strength[min(n, len(strength)) - 1]  # noqa: E731  of n-grams of n + 1 words
+        weight = lambda times, n: np.log10(prior(n) / (times + prior(n)))
+        self.grams, self.order = grams, order
         self.base = (counts[0] + 0.5) / (total + 0.5 * (known + 1))
-        self.begin = grams.types if begun and order > 1 else 0
-        states, top = [], 2
-        for n in range(order - 1):
-            is_state = (counts[n] > 0) & (grams.words[grams.example[n]] != END)
-            states.append(np.where(is_state, np.cumsum(is_state) + top - 1, -1))
-            top += int(is_state.sum())
-        back, fail = np.zeros(top), np.zeros(top, np.int64)
-        back[1] = math.log10(prior(1) / (begun + prior(1)))
-        keys, logs, nexts = [], [], []
+        self.begin = 1 if begun and order > 1 else 0
+        self.back_begin = float(weight(begun, 1)) if order > 1 else 0.0
+        self.known, self.logs, self.after, self.back = [], [], [], []
         lower = self.base
         for n in range(order):
             at = grams.example[n]
-            if n == 0:
-                chance, before = self.base, np.zeros(len(at), np.int64)
-            else:
+            chance = self.base
+            if n:
                 is_begin = grams.words[at - 1] == BEGIN
-                prefix = np.where(is_begin, 0, grams.number[n - 1][at - 1])
-                times = np.where(is_begin, begun if n == 1 else 0.0, counts[n - 1][prefix])
-                before = np.where(is_begin, 1, states[n - 1][prefix])
+                times = np.where(is_begin, begun if n == 1 else 0.0, counts[n - 1][np.where(is_begin, 0, grams.number[n - 1][at - 1])])
                 chance = (counts[n] + prior(n) * lower[grams.number[n - 1][at]]) / (times + prior(n))
-            arc = np.ones(len(at), bool) if n == 0 else (counts[n] > 0) & (before >= 0)
-            shorter = np.maximum(states[n - 1][grams.number[n - 1][at]], 0) if n else np.zeros(len(at), np.int64)
-            if n < order - 1:
-                own = states[n] >= 0
-                back[states[n][own]] = np.log10(prior(n + 1) / (counts[n][own] + prior(n + 1)))
-                fail[states[n][own]] = shorter[own]
-                shorter = np.maximum(states[n], 0)
-            keys.append((before * grams.types + grams.words[at])[arc])
-            logs.append(np.log10(chance)[arc])
-            nexts.append(shorter[arc] * grams.types)
+            is_state = (counts[n] > 0) & (grams.words[at] != END)
+            self.known.append(np.ones(len(at), bool) if n == 0 else counts[n] > 0)
+            self.logs.append(np.log10(chance))
+            self.after.append(np.where(is_state, min(n + 1, order - 1), 0))
+            self.back.append(weight(counts[n], n + 1))
             lower = chance
-        self.types = grams.types
-        self.arcs = {key: k for k, key in enumerate(np.concatenate(keys).tolist())}
-        self.logs, self.nexts = np.concatenate(logs).tolist(), np.concatenate(nexts).tolist()
-        self.back, self.fail = back.tolist(), (fail * grams.types).tolist()
-
-    def score(self, words: list[int], lead: int) -> float:
-        """Walk from left to right over the words, adding up what comes after the lead."""
-        find, logs, nexts, back, fail, types = self.arcs.get, self.logs, self.nexts, self.back, self.fail, self.types
-        state = 0
-        if not lead:
-            state, words = self.begin, words[1:]
-        for word in words[:lead]:
-            while (arc := find(state + word)) is None:
-                state = fail[state // types]
-            state = nexts[arc]
-        total = 0.0
-        for word in words[lead:] if lead else words:
-            while (arc := find(state + word)) is None:
-                total += back[state // types]
-                state = fail[state // types]
-            total += logs[arc]
-            state = nexts[arc]
+
+    def score(self, start: int, stop: int, lead: int) -> float:
+        """Walk from left to right over the tokens [start, stop), adding up what comes after the lead, or after BEGIN."""
+        first = start + (0 if lead else 1)
+        own, before = slice(first, stop), slice(max(first - 1, 0), stop - 1)
+        arcs, backs = [], [[]]
+        for n in range(self.order):
+            number = self.grams.number[n][own]
+            there = (number >= 0) & self.known[n][number]
+            arcs.append(list(zip(np.where(there, self.logs[n][number], np.nan).tolist(), np.where(there, self.after[n][number], -1).tolist(), strict=True)))
+            if n < self.order - 1:
+                context = self.grams.number[n][before] if first else np.concatenate(([-1], self.grams.number[n][before]))
+                backs.append(np.where(context >= 0, self.back[n][context], self.back_begin).tolist())
+        total, length = 0.0, 0 if lead else self.begin
+        for k in range(stop - first):
+            log, after = arcs[length][k]
+            while after < 0:
+                total += backs[length][k]
+                length -= 1
+                log, after = arcs[length][k]
+            length = after
+            total += log
+            if k == lead - 1:
+                total = 0.0
         return total
 
 
@@ -288,9 +278,9 @@ def _score(order: int, total: int, known: int, strength: tuple[float, ...]):
         sums = lambda x: np.bincount(grams.line[scored], weights=x[scored], minlength=lines)
         base = sums(np.log10(automaton.base)[each])
         sizes = np.bincount(grams.line, minlength=lines)
-        words, scores, place = grams.words.tolist(), [], 0
+        scores, place = [], 0
         for size, lead in zip(sizes.tolist(), r["leads"], strict=True):
-            scores.append(automaton.score(words[place : place + size], lead))
+            scores.append(automaton.score(place, place + size, lead))
             place += size
         columns = (r["rows"], r["ids"], r["held"], sums(np.ones(len(each))).astype(np.int64), sums((counts[0] > 0)[each]).astype(np.int64), base, scores)
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.functions import times as tm
 from vellum.operators.ordered import sums_before
 from vellum.sources.staging import checkpoint
 
 MAX_DEPTH = 64
-#: Between boxes, from a box to the rail below it, around labels, and a sign's width in parts of its height.
-NODE_GAP, DROP, LABEL_GAP, SIGN_WIDTH = 36, 20, 8, 0.58
+#: Between boxes, from a box to the rail below it, and around labels.
+NODE_GAP, DROP, LABEL_GAP = 36, 20, 8
 
 
 def depths(edges: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
@@ -91,9 +92,7 @@ def layout(edges: DataFrame, roots: DataFrame, width: float = 1.0, gap: float =
 
 
 def _text_height(text: Column, box: int, font: int) -> Column:
-    """Lines that a text takes in a box of this width, times the height of a line."""
-    signs = max(1, int(box / (font * SIGN_WIDTH)))
-    return F.greatest(F.ceil(F.length(F.coalesce(text, F.lit(""))) / signs), F.lit(1)) * (font + 4)
+    return tm.text_height(F.length(F.coalesce(text, F.lit(""))), box, font)
 
 
 def sized_layout(nodes: DataFrame, edges: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:

@@ -186,6 +186,19 @@ def test_training_order_round_trip(spark, tmp_path):
     assert tokens.training_order(table.where("false")).count() == 0
 
 
+def test_runs_of_a_million_signs_are_encoded(spark):
+    vocabulary = tokens.load(tokens.VOCABULARY)
+    code = tokens.encoder(vocabulary)
+    for space in (" ", "\n", "\t ", "\u00a0", " \r\n"):
+        for text in (f"ab{space * 15_000}cd 1", f"{space * 15_000}", f"x.{space * 15_000}", f"{space * 12_000}!y{space * 12_000}é"):
+            assert tokens.encode(vocabulary, text).tolist() == code.encode_ordinary(text), text[:5]
+    runs = [" " * 1_000_000, "\n" * 1_000_000, "a" * 1_000_000, "-" * 1_000_000, "7" * 1_000_000, "a" + " " * 1_000_000 + "b"]
+    for text in runs:
+        assert code.decode(tokens.encode(vocabulary, text).tolist()) == text
+    manifest = tokens.training_order(spark.createDataFrame(list(enumerate(runs)), "doc_id long, text string")).collect()
+    assert sum(m["records"] for m in manifest) >= 6 and {d for m in manifest for d in m["doc_ids"]} == set(range(6))
+
+
 def test_cut_texts_are_encoded_as_whole_ones(monkeypatch):
     text = "Some words, and 12 numbers;  double  blanks\n\nand lines " * 40
     whole = tokens.encoder(tokens.load(tokens.VOCABULARY)).encode_ordinary(text)

@@ -9,6 +9,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -33,6 +34,8 @@ ROUNDS = 6
 TASKS = 50_000
 #: A text is encoded in pieces of about so many characters, cut before a space.
 CUT = 200_000
+#: White space of Unicode in a run that is encoded apart from the pattern.
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 
 
 def load(vocabulary: str) -> bytes:
@@ -49,16 +52,37 @@ def encoder(ranks_file: bytes):
     return tiktoken.Encoding("vocabulary", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
 
 
-def encode(ranks_file: bytes, text: str | None) -> np.ndarray:
-    """The token ids of a whole text. A very long text is cut before spaces that follow a non-space, where pieces begin anyway."""
-    text, out, start = text or "", [], 0
-    code = encoder(ranks_file)
+def _store(place: str):
+    """The file system of a path or URI, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(place if "://" in place or place.startswith("file:") else f"file://{place}")
+
+
+def _encode_parts(code, text: str) -> Iterator[np.ndarray]:
+    start = 0
     while start < len(text):
         end = start + CUT
         while end < len(text) and not (text[end] == " " and not text[end - 1].isspace()):
             end += 1
-        out.append(np.array(code.encode_ordinary(text[start:end]), np.uint16))
+        yield np.array(code.encode_ordinary(text[start:end]), np.uint16)
         start = end
+
+
+def encode(ranks_file: bytes, text: str | None) -> np.ndarray:
+    """The token ids of a whole text, of any length.
+
+    A very long text is cut before spaces that follow a non-space, where pieces begin anyway. White space of ``LONG_SPACE``
+    signs and more, which the pattern can't be run on, is cut by what the pattern says of it: all of it is one piece but for
+    its last sign, which goes on with the word behind it; at the end of the text all of it is.
+    """
+    text, start, out = text or "", 0, []
+    code = encoder(ranks_file)
+    for run in LONG_SPACE.finditer(text):
+        out += _encode_parts(code, text[start : run.start()])
+        start = run.end() - (1 if run.end() < len(text) else 0)
+        out.append(np.array(code._encode_single_piece(text[run.start() : start]), np.uint16))
+    out += _encode_parts(code, text[start:])
     return np.concatenate(out) if out else np.zeros(0, np.uint16)
 
 
@@ -158,10 +182,9 @@ def _write(folder: str, length: int, per_shard: int, end_id: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
-        from pyarrow import fs
 
         unpack = zstandard.ZstdDecompressor()
-        store, base = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        store, base = _store(folder)
         store.create_dir(base, recursive=True)
         attempt = TaskContext.get().taskAttemptId()
         shard, rows = None, []
@@ -178,7 +201,7 @@ def _write(folder: str, length: int, per_shard: int, end_id: int):
             store.move(f"{name}.{attempt}", name)
             parts = [{"slot": s, "doc_id": d, "start": b, "size": len(t) // 2} for s, b, d, t in rows]
             ids = sorted({d for _, _, d, _ in rows if d is not None})
-            values = (shard, first, len(slots), 2 * length, name, hashlib.sha256(payload).hexdigest(), ids, parts)
+            values = (shard, first, len(slots), 2 * length, f"{folder}/shard-{shard:08d}.bin", hashlib.sha256(payload).hexdigest(), ids, parts)
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.struct([("slot", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("size", pa.int32())])))
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], ["shard", "first_slot", "records", "stride", "path", "sha256", "doc_ids", "parts"])
 
@@ -241,7 +264,7 @@ def training_order(docs: DataFrame, folder: str | None = None, vocabulary: str =
 
 
 def read_slots(path: str, first_slot: int, stride: int, start: int, stop: int) -> np.ndarray:
-    """The ids of slots start..stop-1 of one shard file, by one seek."""
-    with open(path, "rb") as file:
-        file.seek((start - first_slot) * stride)
-        return np.frombuffer(file.read((stop - start) * stride), "<u2").reshape(-1, stride // 2)
+    """The ids of slots start..stop-1 of one shard file, by one seek; ``path`` is as the manifest names it."""
+    store, place = _store(path)
+    with store.open_input_file(place) as file:
+        return np.frombuffer(file.read_at((stop - start) * stride, (start - first_slot) * stride), "<u2").reshape(-1, stride // 2)

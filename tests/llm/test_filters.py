@@ -125,6 +125,28 @@ def test_the_span_classifier_adds_looser_forms(spark):
     assert not any(got[i]["added"] for i in range(420, 470))
 
 
+@pytest.mark.parametrize("skewed", [False, True])
+def test_near_misses_of_each_kind_stay_out(spark, skewed):
+    """Forms that can't be what they look like are never added, whatever else the corpus holds."""
+    rng = random.Random(21)
+    number = lambda n: "".join(rng.choices("0123456789", k=n))
+
+    def card(right):
+        while True:
+            digits = "4" + number(15)
+            if twins.luhn(digits) == right:
+                return ".".join(digits[i : i + 4] for i in range(0, 16, 4))
+
+    real = [f"please call (555) {number(3)}-{number(4)} today" for _ in range(40)] + [f"write to person{i} [at] mail [dot] com" for i in range(40)] + [f"visa card {card(True)} was used" for _ in range(40)]
+    near = [f"visa card {card(False)} was used" for _ in range(40)] + [f"card {number(n)} here" for n in (20, 33, 45, 400, 1000)] + ["my credit card " + "7" * 300_000] + ["call (555) 555-5555 now"] * 20 + [f"server ip 300.{i}.1.2 down" for i in range(40)] + [f"phone +{number(n)} tel" for n in (3, 5, 30, 60)] + [f"mail x{i}@nowhere now" for i in range(20)]
+    plain = [f"please call +1 555 {number(3)} {number(4)} or mail a{i}@site{i}.com from ip 10.0.{i % 256}.7" for i in range(300)] + [f"paid with card {card(True).replace('.', ' ')}" for _ in range(60)]
+    rows = real + near + (["same@address.com " * 20_000, *plain[:5]] if skewed else plain)
+    got = {r["doc_id"]: r["added"] for r in pii.find_personal_data(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    right, wrong = sum(len(got[i]) for i in range(len(real))), [(rows[i][:60], got[i]) for i in range(len(real), len(real) + len(near)) if got[i]]
+    assert not wrong, wrong[:5]
+    assert skewed or right >= 100
+
+
 def test_reliabilities_favour_agreeing_labelers():
     likely = pii.reliabilities([("email", (1, 1, 1, 1), 100), ("email", (1, 1, 0, 1), 300), ("email", (0, -1, -1, -1), 200), ("email", (0, -1, 0, -1), 100)])
     assert likely["email", (1, 1, 1, 1)] > 0.95 and likely["email", (0, -1, -1, -1)] < 0.05

@@ -87,7 +87,7 @@ def _candidates(df: DataFrame) -> DataFrame:
     check = f"""case s.kind
         when 'card' then length(s.digits) between 14 and 19 and {luhn('s.digits')}
         when 'phone' then length(s.digits) between 10 and 15 and not s.digits rlike '^([0-9])\\\\1+$'
-        when 'ip' then s.found like '%:%' or not s.found rlike '(^|[.])0[0-9]'
+        when 'ip' then s.found like '%:%' or not s.found rlike '(^|[.])(0[0-9]|[3-9][0-9]{{2}}|2[6-9][0-9]|25[6-9]|[0-9]{{4}})'
         when 'email' then length(s.found) between 6 and 120 end"""
     votes = f"""transform(all, s -> named_struct('kind', s.kind, 'start', s.start, 'stop', s.stop, 'strict', s.strict,
         'pattern', if(s.strict, 1, 0), 'gazetteer', if({known}, 1, -1), 'context', if({against}, -1, if({cue}, 1, 0)), 'check', if({check}, 1, -1),
@@ -170,14 +170,15 @@ def _accepted(weights: dict[str, float] | None, threshold: float) -> Column:
         return F.array().cast("array<struct<kind: string, start: int, stop: int>>")
     score = " + ".join([repr(weights["bias"]), *[f"{weights[f]!r} * {_feature(f)}" for f in FEATURES]])
     level = math.log(threshold / (1 - threshold))
-    return F.expr(f"transform(filter(candidates, s -> not s.strict and cast({score} as double) >= {level!r}), s -> named_struct('kind', s.kind, 'start', s.start, 'stop', s.stop))")
+    # no weighing makes up for a failed check: a card of 300,000 digits or with a wrong one, an address part above 255
+    return F.expr(f"transform(filter(candidates, s -> not s.strict and s.check = 1 and cast({score} as double) >= {level!r}), s -> named_struct('kind', s.kind, 'start', s.start, 'stop', s.stop))")
 
 
 def find_personal_data(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, base, added)`` for every row of ``docs``: arrays of (kind, start, stop) in code points.
 
     base are the valid matches of the fixed patterns; added are the spans that the trained classifier accepts with
-    ``threshold``, none of which overlaps a base span. Null and empty texts have neither. Repeated rows get equal
+    ``threshold``, none of which overlaps a base span or fails the check of its kind. Null and empty texts have neither. Repeated rows get equal
     results, null doc_ids stay null, other columns are not used, and an empty table gives an empty one. The texts are
     scanned once; training and the result read the spans found then.
     """

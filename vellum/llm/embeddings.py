@@ -189,7 +189,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, probes: int =
     busy = placed.join(sizes, ["t", "dim", "cell"]).withColumn("tiles", F.ceil(F.col("n") / tile).cast("int"))
     own = busy.withColumn("tile", F.pmod(F.hash("rid"), F.col("tiles"))).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     own = own.select("rid", "t", "cell", "dim", "tile", F.least("tile", "with").alias("first"), F.greatest("tile", "with").alias("second"))
-    members = own.join(keyed, "rid").groupBy("t", "dim", "cell", "first", "second").agg(F.collect_list(F.struct("rid", "copies", "tile", "vector", "keys")).alias("members"))
+    members = own.join(keyed, "rid").groupBy("t", "dim", "cell", "first", "second").agg(F.collect_list(F.struct("rid", "copies", "tile", "vector", F.slice("keys", 1, (F.col("t") + 1) * per_table).alias("keys"))).alias("members"))
     found = members.select("t", "cell", "first", "second", "members").mapInArrow(_verify(cosine, per_table), "rid long, other long, gained long")
     found = stage(found, "vector-links")
 

@@ -12,7 +12,7 @@ RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow
 SIZES = (3, 4, 5)
 DIMENSIONS = 1 << 14
 #: Without a rule, a url is blocked from this probability on. Set by hand, near what ``choose_threshold`` finds by
-#: cross-validation over hosts (0.85 at PRECISION, 0.5 at a precision of 0.95); see the README.
+#: cross-validation over hosts (0.85 at PRECISION, 0.5 at a precision of 0.95); over words, none reaches PRECISION; see the README.
 THRESHOLD = 0.8
 PRECISION = 0.99
 FOLDS = 5
@@ -38,7 +38,8 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def labelled_urls(spark) -> DataFrame:
-    """The small built-in table ``(host, path, label)``, 1 to be blocked: HOSTS_EACH invented hosts of each kind and a path for each.
+    """The small built-in table ``(host, path, label, word, words)``, 1 to be blocked: HOSTS_EACH invented hosts of each kind and a
+    path for each; ``word`` is the host's own, ``words`` all that host and path are made of.
 
     Names are put together from the words above and nonsense syllables by a seeded generator, so the table is the same always.
     """
@@ -54,25 +55,30 @@ def labelled_urls(spark) -> DataFrame:
             name = rng.choice((noise(), noise() + noise(), f"{noise()}-{noise()}"))
         words = BAD if bad and rng.random() < 0.5 else [*GOOD, noise()]
         path = rng.choice(PATHS).format(n=rng.randint(1, 99_999), w=rng.choice(words), v=rng.choice(words))
-        rows.append((rng.choice(LABELS_OF_HOSTS) + name + rng.choice(ENDINGS), path, float(bad)))
-    return spark.createDataFrame(rows, "host string, path string, label double").coalesce(1)
+        used = [w for w in (*BAD, *GOOD) if w in name or w in path]
+        rows.append((rng.choice(LABELS_OF_HOSTS) + name + rng.choice(ENDINGS), path, float(bad), word if word in name else name, used))
+    return spark.createDataFrame(rows, "host string, path string, label double, word string, words array<string>").coalesce(1)
 
 
-def choose_threshold(labelled: DataFrame, precision: float = PRECISION, folds: int = FOLDS) -> tuple[float, float, float]:
+def choose_threshold(labelled: DataFrame, precision: float = PRECISION, folds: int = FOLDS, by: str = "host") -> tuple[float, float, float]:
     """``(threshold, precision, recall)``: the least probability that reaches ``precision`` when every host is scored by a model that hasn't
     seen it, or the one of best precision where none does: blocking a good site costs more than letting a bad one through.
 
-    Hosts are dealt to folds by hash. Only counts by steps of a twentieth leave the executors.
+    Hosts are dealt to folds by hash. With ``by="word"``, words are, and a fold's model is fitted on the rows that hold none of
+    its words: that tells how it does on words the table doesn't have. Only counts by steps of a twentieth leave the executors.
     """
     from pyspark.ml.functions import vector_to_array
 
-    rows = labelled.withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(folds)))
+    fold = lambda word: F.pmod(F.xxhash64(word), F.lit(folds))
+    rows = labelled.withColumn("fold", fold(F.col(by))).withColumn("seen", F.transform(F.col("words") if by == "word" else F.array(by), fold)).cache()
     scored = None
     for k in range(folds):
-        part = train(rows.where(F.col("fold") != k)).transform(_grams(rows.where(F.col("fold") == k)))
+        apart = rows.where((F.col("fold") != k) & ~F.array_contains("seen", F.lit(k).cast("long")))
+        part = train(apart).transform(_grams(rows.where(F.col("fold") == k)))
         part = part.select("label", F.floor(vector_to_array("probability")[1] * 20).cast("int").alias("step"))
         scored = part if scored is None else scored.union(part)
     counts = {(r["step"], r["label"]): r["count"] for r in scored.groupBy("step", "label").count().collect()}
+    rows.unpersist()
     found = []
     for step in range(1, 20):
         hit = sum(n for (s, y), n in counts.items() if s >= step and y == 1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
@@ -100,7 +100,7 @@ def classify_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register()
-def event_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+def suggested_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A suggested name for each text."""
     return agenda.event_name(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -138,7 +138,7 @@ def time_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _KIND = "CASE l_returnflag WHEN 'A' THEN 'Hands-on training' WHEN 'R' THEN 'Live surgery' ELSE 'Plenary lecture' END"
 _PROGRAMME = f"""WITH i AS (
-    SELECT l_orderkey AS doc_id, l_linenumber AS k, l_partkey AS p, {_KIND} AS name, CASE l_returnflag WHEN 'A' THEN 'Hands-on' WHEN 'R' THEN 'Streaming' ELSE 'General Educational' END AS type FROM lineitem WHERE l_linenumber <= 7
+    SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_returnflag, l_linenumber) AS k, l_partkey AS p, {_KIND} AS name, CASE l_returnflag WHEN 'A' THEN 'Hands-on' WHEN 'R' THEN 'Streaming' ELSE 'General Educational' END AS type FROM lineitem QUALIFY k <= 7
 ), t AS (
     SELECT *, row_number() OVER w - 1 AS pos, [480, 530, 580, 760, 800, 840, 885][k] AS start, [480 + 20 + p % 20, 530 + 35, 580 + 20 + p % 20, NULL, NULL, NULL, NULL][k] AS finish FROM i WINDOW w AS (PARTITION BY doc_id ORDER BY k)
 ), n AS (SELECT *, coalesce(finish, lead(start) OVER (PARTITION BY doc_id ORDER BY k)) AS stop FROM t)
@@ -147,10 +147,11 @@ SELECT doc_id, pos::INTEGER AS pos, CASE WHEN k <= 3 THEN '[Workshop Programme]'
 
 
 def programmes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(doc_id, text)``: each order as a programme with days, a section, ranges and single times in several spellings, bullets,
+    """``(doc_id, text)``: each order's first seven lines as a programme with days, a section, ranges and single times in several spellings, bullets,
     continued and hyphenated titles, and lines that name no session."""
-    items = table(spark, sf_dir, "lineitem").where("l_linenumber <= 7")
-    k, clock = F.col("l_linenumber"), lambda m: F.format_string("%d:%02d", F.floor(m / 60).cast("int"), (m % 60).cast("int"))
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_returnflag", "l_linenumber"))
+    items = table(spark, sf_dir, "lineitem").withColumn("k", place).where("k <= 7")
+    k, clock = F.col("k"), lambda m: F.format_string("%d:%02d", F.floor(m / 60).cast("int"), (m % 60).cast("int"))
     stop = lambda start: start + 20 + F.col("l_partkey") % 20
     time = F.when(k == 1, F.concat(F.lit("8:00 - "), clock(stop(F.lit(480))))).when(k == 2, "08:50 am – 9:25am").when(k == 3, F.concat(F.lit("9.40 to "), F.replace(clock(stop(F.lit(580))), F.lit(":"), F.lit("h"))))
     time = time.when(k == 4, "12:40 pm").when(k == 5, "1:20").when(k == 6, "2.00").otherwise("14:45")
@@ -158,7 +159,7 @@ def programmes(spark: SparkSession, sf_dir: str) -> DataFrame:
     way = F.col("l_partkey") % 4
     more = F.when(way == 0, "").when(way == 1, "\nand questions").when(way == 2, "\n• first point\n- second point").otherwise(" at post-\ngraduate level")
     before = F.when(k == 4, "Day 2\n").otherwise("")
-    line = F.struct(k.alias("k"), "l_partkey", F.concat(before, time, F.lit("  "), name, more).alias("line"))
+    line = F.struct("k", F.concat(before, time, F.lit("  "), name, more).alias("line"))
     grouped = items.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
     head = "Venue: main hall\r\n\nDay one\nWORKSHOP PROGRAMME\n8:00 - 18:00 Course day\n"
     return grouped.select("doc_id", F.concat(F.lit(head), F.array_join(F.transform("lines", lambda x: x["line"]), "\n")).alias("text"))

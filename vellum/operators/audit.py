@@ -116,6 +116,12 @@ def histogram(compared: DataFrame) -> DataFrame:
     return counts.withColumn("needs_review", ~F.col("status").isin(*STATUSES[:2]))
 
 
+def verdict(compared: DataFrame) -> DataFrame:
+    """``(fields, exact, reviews, exit_code)``: one row over all fields; the code is 1 if any asks for a review."""
+    counts = histogram(compared).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("fields"), F.coalesce(F.sum(F.when(F.col("needs_review"), F.col("n"))), F.lit(0)).alias("reviews"))
+    return counts.select("fields", (F.col("fields") - F.col("reviews")).alias("exact"), "reviews", (F.col("reviews") > 0).cast("int").alias("exit_code"))
+
+
 def _grams(tokens: str) -> Column:
     """``(at, gram)`` of every stretch of ANCHOR tokens."""
     last = F.size(tokens) - ANCHOR

@@ -256,6 +256,11 @@ def status_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.histogram(_audited(spark, sf_dir)[0])
 
 
+@register(f"WITH {_AUDIT} SELECT count(*) AS fields, count_if(status LIKE 'exact%') AS exact, count_if(status NOT LIKE 'exact%') AS reviews, (count_if(status NOT LIKE 'exact%') > 0)::INTEGER AS exit_code FROM a")
+def audit_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.verdict(_audited(spark, sf_dir)[0])
+
+
 @register()
 def token_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Differences of the fields that no exact test passed against the stretch of their document that stands for them."""

@@ -26,9 +26,10 @@ def table_digest(rows: DataFrame, key: str, text: str, *groups: str) -> DataFram
     """``(*groups, n, digest)``: one digest per group over its rows, in levels, so no task hashes a whole group.
 
     Rows are digested, then the rows of each stretch of 4,096 integer keys in the order of key and digest, then 4,096
-    stretches at a time, then those of a group: each digest is that of the ones below it, joined in order.
+    stretches at a time, then those of a group: each digest is that of the ones below it, joined in order. Null keys are spread by
+    their text.
     """
-    level = rows.select(*groups, F.col(key).cast("long").alias("_key"), F.lit(1).cast("long").alias("_n"), digest(F.concat(F.col(key).cast("string"), F.lit("\u0000"), F.coalesce(text, F.lit("")))).alias("_digest"))
+    level = rows.select(*groups, F.coalesce(F.col(key).cast("long"), -F.abs(F.xxhash64(text)).bitwiseAND((1 << 40) - 1) - 1).alias("_key"), F.lit(1).cast("long").alias("_n"), digest(F.concat(F.col(key).cast("string"), F.lit("\u0000"), F.coalesce(text, F.lit("")))).alias("_digest"))
     for up in (F.shiftright("_key", 12), F.shiftright("_key", 12), F.lit(0).cast("long")):
         below = F.array_sort(F.collect_list(F.struct("_key", "_digest")))
         level = level.groupBy(*groups, up.alias("_up")).agg(F.sum("_n").alias("_n"), digest(F.array_join(F.transform(below, lambda x: x["_digest"]), "")).alias("_digest")).withColumnRenamed("_up", "_key")

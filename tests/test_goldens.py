@@ -179,7 +179,9 @@ def test_runs_to_lines(spark):
 def test_json_slices_and_strings(spark):
     raw = '{ "n": 1, "items" : [ {"a":"}] \\" ["} ,\n {"b": [1, 2]} ], "z": "s" }'
     table = spark.createDataFrame([(1, raw), (2, "{broken"), (3, None)], "key long, raw string")
-    got = integrity.array_slices(table, "items").orderBy("pos").collect()
+    every = integrity.array_slices(table, "items")
+    assert {(r["key"], r["problem"], r["problem_at"]) for r in every.where("problem is not null").collect()} == {(2, "name expected", 1), (3, "object expected", 0)}
+    got = every.where("problem is null").orderBy("pos").collect()
     assert [r["element"] for r in got] == ['{"a":"}] \\" ["}', '{"b": [1, 2]}'] and all(raw[r["begin"] : r["end"]] == r["element"] for r in got)
     assert [(r["path"], r["value"]) for r in integrity.json_strings(table).orderBy("n").collect()] == [("/items/0/a", '}] " ['), ("/z", "s")]
     ids = spark.createDataFrame([("ok-1",), ("../x",), ("d",), ("d",)], "id string")
@@ -263,14 +265,14 @@ def test_word_files(spark, tmp_path):
 
 
 def test_token_diff_reads_whole_documents(spark, tmp_path):
-    """The text of document 2 that its field is cut from lies behind more than 7,000 others."""
+    """The text of document 2 that its sixth field is cut from lies behind more than 20,000 others."""
     from vellum.plans import texts
 
-    text = " ".join(f"word{i}" for i in range(2000))
-    start = 2 * 7919 % (len(text) - 79)
-    assert start > 7000
+    text = " ".join(f"word{i}" for i in range(4000))
+    start = 5 * 4000 + 7 * 7919 % (4000 - 79)
+    assert len(text) > 6 * 4000 and start > 20_000
     spark.createDataFrame([(2, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    row = texts.token_diff(spark, str(tmp_path)).first()
+    row = texts.token_diff(spark, str(tmp_path)).where("path = '2/5'").first()
     whole = text[start : start + 80].split()[1:-1]
     assert all(w in row["expected_excerpt"].split() and w in row["actual_excerpt"].split() for w in whole)
     assert row["similarity"] > 0.7
@@ -290,10 +292,12 @@ def test_table_digest_in_levels(spark):
     assert sum(r["n"] for r in got.collect()) == 500
 
 
-def test_deeply_nested_json_is_left_out(spark):
+def test_deeply_nested_json(spark):
+    """Brackets of any depth are sliced; the decoder behind json_strings can't follow them and leaves the document out."""
     deep = '{"items": [' + "[" * 200_000 + "]" * 200_000 + "]}"
     table = spark.createDataFrame([(1, deep), (2, '{"items": ["a"]}'), (3, None)], "key long, raw string")
-    assert {r["key"] for r in integrity.array_slices(table, "items").collect()} == {2}
+    got = integrity.array_slices(table, "items").collect()
+    assert {(r["key"], r["problem"], len(r["element"] or "")) for r in got} == {(1, None, 400_000), (2, None, 3), (3, "object expected", 0)}
     assert {r["key"] for r in integrity.json_strings(table).collect()} == {2}
 
 

@@ -149,20 +149,26 @@ class Grams:
 def _requests(order: int, slices: int):
     """Each chunk's distinct n-grams and their counts in it, divided by ranges of their keys."""
 
+    schema = pa.schema([("slice", pa.int32()), ("chunk", pa.int64()), ("sizes", pa.list_(pa.int32())), ("keys", pa.binary()), ("counts", pa.binary())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bounds = np.array([(k << 64) // slices for k in range(1, slices)], np.uint64)
         for batch in batches:
             for r in batch.to_pylist():
                 grams = Grams.of(r["blob"], r["raw_size"], r["leads"], r["ended"], r["held"], order)
-                cuts = [np.concatenate(([0], np.searchsorted(keys, bounds), [len(keys)])) for keys in grams.distinct]
+                own = [((keys >> np.uint64(32)) * np.uint64(slices)) >> np.uint64(32) for keys in grams.distinct]
+                # only the slices that the chunk has keys of, however many there are
+                there = np.unique(np.concatenate([x[np.flatnonzero(np.diff(x, prepend=np.uint64(slices)))] for x in own]))
+                cuts = [(np.searchsorted(x, there).tolist(), np.searchsorted(x, there, "right").tolist()) for x in own]
                 rows = []
-                for k in range(slices):
-                    parts = [slice(cuts[n][k], cuts[n][k + 1]) for n in range(order)]
-                    sizes = [p.stop - p.start for p in parts]
-                    if sum(sizes):
-                        steps = [np.diff(grams.distinct[n][p], prepend=np.uint64(0)) for n, p in enumerate(parts)]
-                        rows.append((k, r["chunk"], sizes, _pack(np.concatenate(steps)), _pack(np.concatenate([grams.counts[n][p] for n, p in enumerate(parts)]))))
-                yield pa.RecordBatch.from_pylist([dict(zip(("slice", "chunk", "sizes", "keys", "counts"), x, strict=True)) for x in rows], schema=pa.schema([("slice", pa.int32()), ("chunk", pa.int64()), ("sizes", pa.list_(pa.int32())), ("keys", pa.binary()), ("counts", pa.binary())]))
+                for k, number in enumerate(there.tolist()):
+                    parts = [slice(low[k], high[k]) for low, high in cuts]
+                    steps = [np.diff(keys[p], prepend=np.uint64(0)) for keys, p in zip(grams.distinct, parts, strict=True)]
+                    counts = [c[p] for c, p in zip(grams.counts, parts, strict=True)]
+                    rows.append({"slice": number, "chunk": r["chunk"], "sizes": [p.stop - p.start for p in parts], "keys": _pack(np.concatenate(steps)), "counts": _pack(np.concatenate(counts))})
+                    if len(rows) >= 10_000:
+                        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                        rows = []
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return run
 

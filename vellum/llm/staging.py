@@ -31,17 +31,17 @@ def shared_dir(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, level: int = 3) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, so later steps neither recompute it nor depend on its lineage.
 
-    The shuffles that led to it are of no use any more and go with the query that wrote it.
+    The shuffles that led to it are of no use any more and go with the query that wrote it. ``level`` is that of zstd.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     staged = spark.read.schema(df.schema).parquet(path)

@@ -34,6 +34,8 @@ ROUNDS = 6
 TASKS = 50_000
 #: A text is encoded in pieces of about so many characters, cut before a space.
 CUT = 200_000
+#: Level of zstd for the ids on disk and in the shuffle.
+LEVEL = 6
 #: White space of Unicode in a run that is encoded apart from the pattern.
 LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 
@@ -137,7 +139,7 @@ def stream(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END) ->
     shared = docs.sparkSession.sparkContext.broadcast(load(vocabulary))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = texts.withColumn("_hash", F.xxhash64("text")).repartitionByRange("doc_id", "_hash").sortWithinPartitions("doc_id", "_hash")
-    encoded = stage(ordered.select("doc_id", "text").mapInArrow(_encode_range(shared, end_id), "task int, place long, size long, doc_id long, tokens binary"), "stream")
+    encoded = stage(ordered.select("doc_id", "text").mapInArrow(_encode_range(shared, end_id), "task int, place long, size long, doc_id long, tokens binary"), "stream", LEVEL)
     sums = encoded.groupBy("task").agg(F.sum("size").alias("n"))
     before = sums.select("task", (F.sum("n").over(Window.orderBy("task")) - F.col("n")).alias("before"))
     # one row of two numbers for each task that encoded, whatever the number of documents
@@ -150,7 +152,7 @@ def _cut(total: int, length: int, per_shard: int, key: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        pack = zstandard.ZstdCompressor(level=3)
+        pack = zstandard.ZstdCompressor(level=LEVEL)
         for batch in batches:
             at, size = (batch.column(i).to_numpy() for i in (0, 1))
             first, last = at // length, (at + size - 1) // length

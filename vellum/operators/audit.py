@@ -87,8 +87,12 @@ def compare_fields(fields: DataFrame, scopes: DataFrame, block: int = BLOCK) ->
     rows = rows.join(blocks, "chapter_id").withColumn("_block", F.pmod(F.xxhash64("path"), F.col("_blocks")))
     field = F.struct("path", "kind", "text", F.col("_e").alias("e"))
     grouped = rows.groupBy("chapter_id", "_block").agg(F.collect_list(field).alias("_fields"))
-    state = grouped.join(scopes, "chapter_id", "left").withColumn("_status", F.transform("_fields", lambda f: F.lit(None).cast("string")))
-    state = state.withColumn("_strict", tx.normalize_layout(F.col("scope")))
+    # the strict form goes into three tests, so it is worked out once and kept
+    # by a given number, as fields are small and would else draw their scopes into a few tasks
+    tasks = int(scopes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = scopes.repartition(tasks, "chapter_id")
+    strict = checkpoint(dealt.select("chapter_id", "scope", tx.normalize_layout(F.col("scope")).alias("_strict")))
+    state = grouped.repartition(tasks, "chapter_id").join(strict, "chapter_id", "left").withColumn("_status", F.transform("_fields", lambda f: F.lit(None).cast("string")))
     tests = (
         (F.col("_strict"), lambda f: f["e"]),
         (tx.normalize_layout(F.col("scope"), True), lambda f: tx.normalize_layout(f["text"], True)),

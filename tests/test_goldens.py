@@ -305,3 +305,12 @@ def test_marks_of_titles(spark):
     rows = [("Dry-lab and wet lab", "Hands-on"), ("Steam and tea", "Other"), ("", "Other"), (None, "Hands-on"), ("Plenary", "General Educational")]
     got = [r[0] for r in of(spark, rows, "t string, k string", agenda.mark_keywords(F.col("t"), F.col("k")))]
     assert got == ["<mark>Dry-lab</mark> and <mark>wet lab</mark>", "S<mark>tea</mark>m and <mark>tea</mark>", "Untitled Session", "Untitled Session", "Plenary"]
+
+
+def test_titles_compile_no_pattern_for_each_row(spark):
+    """Gaps were split by a look-around over all white space, which Spark compiles again for every title."""
+    docs = spark.createDataFrame([("a", "PROGRAMME OF THE DAY\n9:00 - 9:30 LIVE SURGERY OF THE EUS/CT\n9h30 Tea| coffee \n10.00 am to 11.00 am end")], "doc_id string, text string")
+    parsed = agenda.parse(docs)
+    assert "(?<=[\\t" not in parsed._jdf.queryExecution().optimizedPlan().toString()
+    rows = [(r["title"], r["start_time"], r["end_time"]) for r in parsed.orderBy("pos").collect()]
+    assert rows == [("[Programme of the Day]\nLive Surgery of the EUS/CT", "09:00", "09:30"), ("[Programme of the Day]\nTea|coffee", "09:30", "10:00"), ("[Programme of the Day]\nend", "10:00", "11:00")]

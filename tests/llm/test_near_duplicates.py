@@ -180,3 +180,17 @@ def test_e8_decoding_finds_the_nearest_point():
 
 def test_empty_embeddings(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_deduplicate_holds_fingerprint_groups_against_each_other(spark, monkeypatch):
+    """A pair at 0.8 that shares no MinHash band: only the groups by fingerprints lead to it."""
+    rng = random.Random(5)
+    while True:
+        own = [f"w{rng.randrange(10**6)}" for _ in range(13)]
+        one, two = " ".join(own), " ".join([*own[:-1], "changed"])
+        if not set(minhash.bands(minhash.shingles(one))) & set(minhash.bands(minhash.shingles(two))):
+            break
+    table = spark.createDataFrame([(1, one), (2, two), (3, "by itself")], "doc_id long, text string")
+    grouped = lambda docs: spark.createDataFrame([(1, 0, 1), (2, 0, 1), (3, 7, 1)], "doc_id long, fp long, component_id long")
+    monkeypatch.setattr(simhash, "near_duplicates", grouped)
+    assert sorted(r["doc_id"] for r in simhash.deduplicate(table).collect()) == [1, 3]

@@ -150,7 +150,7 @@ def _sizes_allow(n: str, m: str) -> F.Column:
     return q * F.least(n, m) >= p * F.greatest(n, m)
 
 
-def groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def groups(docs: DataFrame, width: int = WIDTH, candidates: DataFrame | None = None) -> DataFrame:
     """``(doc_id, component_id)`` for every row of ``docs``; component_id is the smallest doc_id reachable over near duplicates.
 
     Texts of equal sets of shingles count as one. The others are candidates if they share a bucket, which is a band's
@@ -163,7 +163,8 @@ def groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     Null and empty texts have the set of no word and are near duplicates of each other. Rows that repeat a doc_id are judged
     by their own texts; a null doc_id becomes a component_id only where its component has no other. An empty table gives
-    an empty one; other columns are not used.
+    an empty one; other columns are not used. ``candidates``, pairs ``(a, b)`` of doc_ids that another method found, are
+    compared before the buckets, by the same exact test.
     """
     marked = stage(marks(docs, width), "minhash-marks")
     distinct = marked.groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.min("n").alias("n"), F.first("keys").alias("keys"))
@@ -171,11 +172,22 @@ def groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     sizes = stage(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "minhash-sizes")
     members = stage(keyed.join(sizes, "key"), "minhash-buckets")
     central = members.groupBy("set_id").agg(F.sum("size").alias("central"))
-    wanted = members.select("set_id").distinct()
+    wanted = members.select("set_id")
+    given = None
+    if candidates is not None:
+        side = lambda doc, name: marked.select(F.col("doc_id").alias(doc), F.col("set_id").alias(name), F.col("n").alias(f"_{name}"))
+        met = candidates.join(side("a", "s"), "a").join(side("b", "t"), "b").where((F.col("s") != F.col("t")) & _sizes_allow("_s", "_t"))
+        given = stage(met.select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).distinct(), "minhash-given")
+        wanted = wanted.union(given.select("a")).union(given.select("b"))
+    wanted = wanted.distinct()
     first = marked.groupBy("set_id").agg(F.min("doc_id").alias("_first")).join(wanted, "set_id").select("_first").distinct()
     known = stage(sets(docs.join(first, docs["doc_id"].eqNullSafe(first["_first"]), "left_semi"), width), "minhash-sets")
     opened = stage(members.join(central, "set_id").select("key", "set_id", "n", "central", F.col("set_id").alias("component")), "minhash-open")
     links, labels = None, None
+    if given is not None:
+        links = stage(_similar(given, known).distinct(), "minhash-links")
+        start = connected_components(links)
+        opened = stage(opened.drop("component").join(start, opened["set_id"] == start["node"], "left").withColumn("component", F.coalesce("component", "set_id")).drop("node"), "minhash-open")
     for turn in range(PIVOTS):
         rank = F.struct((-F.col("central") if turn == 0 else F.lit(0).cast("long")).alias("c"), F.xxhash64(F.lit(turn), "set_id", "key").alias("h"), F.col("set_id").alias("pivot"), F.col("n").alias("_pn"), F.col("component").alias("_pc"))
         pivots = stage(opened.groupBy("key").agg(F.min(rank).alias("p")).select("key", "p.pivot", "p._pn", "p._pc"), "minhash-pivots")

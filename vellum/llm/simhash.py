@@ -163,11 +163,14 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -
 def deduplicate(docs: DataFrame, width: int = minhash.WIDTH) -> DataFrame:
     """The rows of ``docs`` with all their columns, but of each near-duplicate group only the document of smallest doc_id.
 
-    Near duplicates are texts whose sets of ``width``-word shingles have a Jaccard similarity of 0.8 or more (see minhash);
-    fingerprints of 64 bits don't reach that, so they aren't used here. doc_id is the key: rows that repeat one stay or go
-    together. Rows without a doc_id stay, as they can't be told apart.
+    Near duplicates are texts whose sets of ``width``-word shingles have a Jaccard similarity of 0.8 or more. Fingerprints come
+    first: each text is held against the first of its SimHash group, by that exact test. As 64 bits don't bring most such
+    texts close enough, MinHash bands then seek what is left (see minhash). doc_id is the key: rows that repeat one stay or
+    go together. Rows without a doc_id stay, as they can't be told apart.
     """
-    gone = minhash.groups(docs, width).groupBy("doc_id").agg(F.min("component_id").alias("least")).where("doc_id is not null and doc_id != least").select(F.col("doc_id").alias("_gone"))
+    near = near_duplicates(docs).where("doc_id != component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    found = minhash.groups(docs, width, near)
+    gone = found.groupBy("doc_id").agg(F.min("component_id").alias("least")).where("doc_id is not null and doc_id != least").select(F.col("doc_id").alias("_gone"))
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 

@@ -5,11 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from vellum.functions import text as tx
 from vellum.sources.staging import checkpoint
@@ -17,6 +15,8 @@ from vellum.sources.staging import checkpoint
 #: Words of ASCII letters, digits and ``_``, and any other sign for itself.
 PIECE = "[A-Za-z0-9_]+|[^A-Za-z0-9_]"
 WORD_SIGN = re.compile("[A-Za-z0-9_]")
+#: Python objects are made of so many texts, and kept for so many places, at a time.
+TEXTS, PLACES = 16, 500
 _PLACES = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("node", pa.string()), ("stop", pa.int32()), ("key", pa.string()), ("rest", pa.list_(pa.struct([("piece", pa.string()), ("stop", pa.int32()), ("bounded", pa.bool_())])))])
 
 
@@ -103,12 +103,18 @@ def term_trie(glossary: DataFrame) -> DataFrame:
     return edges.agg(F.max(F.when(F.col("e.depth") == F.col("n"), F.col("key"))).alias("key"), F.max(F.col("n") > F.col("e.depth")).alias("open"))
 
 
+def _slices(batches: Iterator[pa.RecordBatch], size: int = TEXTS) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, size):
+            yield batch.slice(k, size)
+
+
 def _follow(deepest: int):
     """For each place of a text that may begin a term: its node, and the pieces behind it with their ends."""
     tag, piece = re.compile("<[^>]*>|<[^>]*$|[^<]+"), re.compile(PIECE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             for doc_id, text, firsts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 roots = {f["piece"]: f for f in firsts}
                 rows = []
@@ -127,10 +133,11 @@ def _follow(deepest: int):
                         hit = root["key"] is not None and word[n + 1] != word[n + 2]
                         if hit or rest:
                             rows.append({"doc_id": doc_id, "start": a, "node": root["child"], "stop": b if hit else None, "key": root["key"] if hit else None, "rest": rest})
-                    if len(rows) >= 10_000:
-                        yield pa.RecordBatch.from_pylist(rows, schema=_PLACES)
-                        rows = []
-                yield pa.RecordBatch.from_pylist(rows, schema=_PLACES)
+                        if len(rows) >= PLACES:
+                            yield pa.RecordBatch.from_pylist(rows, schema=_PLACES)
+                            rows = []
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=_PLACES)
 
     return run
 
@@ -188,19 +195,20 @@ def term_spans(texts: DataFrame, glossary: DataFrame) -> DataFrame:
     return found.repartition("doc_id").sortWithinPartitions("doc_id", "start").mapInArrow(_select, found.schema)
 
 
-@F.pandas_udf(StringType())
-def _with_links(text: pd.Series, spans: pd.Series) -> pd.Series:
-    out = []
-    for whole, own in zip(text, spans, strict=True):
-        parts, at = [], 0
-        for s in () if own is None else own:
-            parts += [whole[at : s["start"]], f'<span data-term="{s["key"].replace("&", "&amp;").replace(chr(34), "&quot;")}">', whole[s["start"] : s["stop"]], "</span>"]
-            at = s["stop"]
-        out.append(whole if whole is None else "".join(parts) + whole[at:])
-    return pd.Series(out, dtype=object)
+def _with_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _slices(batches):
+        out = []
+        for whole, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            parts, at = [], 0
+            for s in own or ():
+                parts += [whole[at : s["start"]], f'<span data-term="{s["key"].replace("&", "&amp;").replace(chr(34), "&quot;")}">', whole[s["start"] : s["stop"]], "</span>"]
+                at = s["stop"]
+            out.append(whole if whole is None else "".join(parts) + whole[at:])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "linked"])
 
 
 def link_glossary(texts: DataFrame, glossary: DataFrame) -> DataFrame:
     """``(doc_id, linked)``: each text with its terms in ``<span data-term="key">`` (see term_spans)."""
     spans = term_spans(texts, glossary).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "key"))).alias("spans"))
-    return texts.select("doc_id", "text").join(spans, "doc_id", "left").select("doc_id", _with_links("text", "spans").alias("linked"))
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return texts.select("doc_id", F.col("text").cast("string")).join(spans, "doc_id", "left").mapInArrow(_with_links, f"doc_id {kind}, linked string")

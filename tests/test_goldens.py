@@ -314,3 +314,24 @@ def test_titles_compile_no_pattern_for_each_row(spark):
     assert "(?<=[\\t" not in parsed._jdf.queryExecution().optimizedPlan().toString()
     rows = [(r["title"], r["start_time"], r["end_time"]) for r in parsed.orderBy("pos").collect()]
     assert rows == [("[Programme of the Day]\nLive Surgery of the EUS/CT", "09:00", "09:30"), ("[Programme of the Day]\nTea|coffee", "09:30", "10:00"), ("[Programme of the Day]\nend", "10:00", "11:00")]
+
+
+def test_only_references_leave_the_jvm(spark):
+    rows = [(1, "a &amp b &#x41;&#66; &copyx &none; &&lt;&lt; &notin; x&"), (2, "none"), (3, None), (4, "&amp;" * 3 + "🙂&eacute;🙂")]
+    got = spark.createDataFrame(rows, "id int, t string").select("id", tx.decode_references(F.col("t")).alias("d"))
+    assert [r["d"] for r in got.orderBy("id").collect()] == ["a & b AB ©x &none; &<< ∉ x&", "none", None, "&&&🙂é🙂"]
+    call = got._jdf.queryExecution().optimizedPlan().toString().split("_decoded(")[1]
+    assert "regexp_extract_all" in call[:200]
+
+
+def test_python_holds_few_texts_and_places_at_a_time():
+    import pyarrow as pa
+
+    firsts = pa.array([[{"piece": "a", "child": "n", "key": "a", "open": True}]] * 40, pa.list_(pa.struct([("piece", pa.string()), ("child", pa.string()), ("key", pa.string()), ("open", pa.bool_())])))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(["a b " * 1000] * 40), firsts], ["doc_id", "text", "firsts"])
+    sizes = [b.num_rows for b in glossary._follow(30)(iter([batch]))]
+    assert sum(sizes) == 40_000 and max(sizes) <= glossary.PLACES
+    spans = pa.array([[{"start": 2, "stop": 3, "key": "b"}], None] * 20, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("key", pa.string())])))
+    linked = list(glossary._with_links(iter([pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(["a b"] * 40), spans], ["doc_id", "text", "spans"])])))
+    assert [b.num_rows for b in linked] == [16, 16, 8]
+    assert linked[0].column(1).to_pylist()[:2] == ['a <span data-term="b">b</span>', "a b"]

@@ -8,7 +8,7 @@ import pytest
 import twins
 from pyspark.sql import functions as F
 
-from vellum.llm import components, embeddings, minhash, simhash
+from vellum.llm import components, embeddings, minhash, simhash, staging
 
 
 def texts(n=120):
@@ -194,3 +194,28 @@ def test_deduplicate_holds_fingerprint_groups_against_each_other(spark, monkeypa
     grouped = lambda docs: spark.createDataFrame([(1, 0, 1), (2, 0, 1), (3, 7, 1)], "doc_id long, fp long, component_id long")
     monkeypatch.setattr(simhash, "near_duplicates", grouped)
     assert sorted(r["doc_id"] for r in simhash.deduplicate(table).collect()) == [1, 3]
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    """Any broadcast of a table fails, as one does that the driver can't hold."""
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1")
+    yield
+    spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
+@pytest.mark.parametrize("bucket", [256, 2])
+def test_simhash_groups_pass_no_table_through_the_driver(spark, monkeypatch, no_broadcast, bucket):
+    docs = list(enumerate(texts(), 100))
+    monkeypatch.setattr(simhash.links, "__defaults__", (4, bucket))
+    got = simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
+    check_groups(got.select("doc_id", simhash.hex64(F.col("fp")).alias("fingerprint"), "component_id").collect(), docs)
+
+
+def test_components_keep_one_round_on_disk(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("vellum.llm.staging.shared_dir", lambda _: str(tmp_path))
+    labels = components.connected_components(spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long").repartition(7))
+    assert len(list(tmp_path.iterdir())) == 1
+    assert labels.count() == 50
+    staging.release(labels)
+    assert not list(tmp_path.iterdir())

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import checkpoint
+from .staging import reads, release, stage
 
 MAX_ROUNDS = 60
 
@@ -39,12 +39,12 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return both.join(least.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     least = links.groupBy("a").agg(F.min("b").alias("m"))
-    moved = links.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = links.join(least.hint("merge"), "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -53,16 +53,18 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Each partition first contracts its own links, then star steps alternate until the links no longer change. Every
     round aggregates with partial sums and joins on one column, so a hub of any degree is split like any skewed join
-    side, and ends in a reliable checkpoint. Links to null or to itself are ignored. An empty table gives an empty one.
+    side. No table is broadcast, so the driver holds none; a round's links are staged, and deleted once the next has written
+    its own. Links to null or to itself are ignored. An empty table gives an empty one. release() deletes what the result reads.
     """
     links = links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null and a != b")
     links = links.mapInArrow(_contract, "a long, b long")
-    links = checkpoint(links.distinct())
+    links = stage(links.distinct(), "links")
     before = None
     for _ in range(MAX_ROUNDS):
-        links = checkpoint(_small_star(_large_star(links)))
+        last, links = links, stage(_small_star(_large_star(links)), "links")
+        release(last)
         state = links.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if state == before:
-            return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            return reads(links.select(F.col("a").alias("node"), F.col("b").alias("component")), links)
         before = state
     raise RuntimeError(f"links did not settle in {MAX_ROUNDS} rounds")

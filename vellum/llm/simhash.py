@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import minhash
 from .components import connected_components
-from .staging import stage
+from .staging import reads, release, stage
 
 WIDTH = 4
 RADIUS = 4
@@ -127,20 +127,23 @@ def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Da
     Every fingerprint enters one bucket per covering mask. A bucket of at most ``bucket`` different fingerprints is
     compared in place. A larger one isn't compared pair by pair: its members are dealt out again by the words within
     half the radius of them. Members that meet at such a word are within the radius of each other, and any two that
-    are meet at one, so the links stay exact and grow in proportion to the members.
+    are meet at one, so the links stay exact and grow in proportion to the members. The sizes of all buckets are joined by
+    merging, as a broadcast of them would have to fit the driver.
     """
     masks = covering_masks(radius)
     keyed = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("t", "key"))
     sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("size")).where("size > 1")
-    members = stage(keyed.join(sizes, ["t", "key"]), "simhash-buckets")
+    members = stage(keyed.join(sizes.hint("merge"), ["t", "key"]), "simhash-buckets")
     small = members.where(F.col("size") <= bucket).groupBy("t", "key").agg(F.collect_list("fp").alias("fps")).select("fps")
     found = small.mapInArrow(_compare(radius), "a long, b long")
     if radius % 2:
         raise ValueError("an even radius is needed to split large buckets by shared neighbours")
     spread = members.where(F.col("size") > bucket).repartition("t", "key", "fp").select("t", "fp").mapInArrow(_neighbours(masks, radius), "t int, near long, fp long")
     least = spread.groupBy("t", "near").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = spread.join(least, ["t", "near"]).where("fp != b").select(F.col("fp").alias("a"), "b")
-    return found.union(met).distinct()
+    met = spread.join(least.hint("merge"), ["t", "near"]).where("fp != b").select(F.col("fp").alias("a"), "b")
+    every = stage(found.union(met).distinct(), "simhash-links")
+    release(members)
+    return every
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
@@ -153,11 +156,13 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -
     """
     marked = stage(fingerprints(docs, width), "simhash-fp")
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    labels = connected_components(links(distinct, radius)).withColumnRenamed("node", "fp")
-    placed = distinct.join(labels, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    found = links(distinct, radius)
+    labels = connected_components(found)
+    release(found)
+    placed = distinct.join(labels.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    by_fp = placed.join(least, "component").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = placed.join(least.hint("merge"), "component").select("fp", "component_id")
+    return reads(marked.join(by_fp.hint("merge"), "fp").select("doc_id", "fp", "component_id"), marked, labels)
 
 
 def deduplicate(docs: DataFrame, width: int = minhash.WIDTH) -> DataFrame:

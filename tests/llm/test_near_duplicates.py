@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import twins
 from pyspark.sql import functions as F
@@ -219,3 +220,24 @@ def test_components_keep_one_round_on_disk(spark, tmp_path, monkeypatch):
     assert labels.count() == 50
     staging.release(labels)
     assert not list(tmp_path.iterdir())
+
+
+def test_one_block_serves_the_vectors_of_six_gigabytes():
+    assert embeddings.blocks_for(615_384) == 1
+
+
+def test_cells_are_read_whole_from_batches_of_any_size():
+    """Members come as sorted rows, so a task holds one cell, not a batch of gathered cells."""
+    x = vectors()[np.arange(120).reshape(3, 40)[[0, 2, 1]].T.ravel()][:100]  # each of the first vectors by its partner
+    cell = np.iinfo(np.int64).min + np.sort(np.arange(100) % 40 // 13)  # no key is lower, so no pair has met before
+    columns = [np.zeros(100, np.int32), cell, np.full(100, 64, np.int32), *2 * [np.zeros(100, np.int32)], np.arange(100), np.ones(100, np.int64), np.zeros(100, np.int32)]
+    rows = pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(x.tolist(), pa.list_(pa.float32()))], list(embeddings._MEMBER))
+    run = embeddings._verify(0.9, 2, 1.5, 11, 1)
+    found = []
+    for size in (100, 7, 1):
+        out = pa.Table.from_batches(run(rows.slice(k, size) for k in range(0, 100, size)))
+        found.append(sorted(zip(*(c.to_pylist() for c in out.columns), strict=True)))
+    assert found[0] == found[1] == found[2]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.9) & (cell[:, None] == cell[None, :]) & ~np.eye(100, dtype=bool)
+    assert near.any() and {r for r, _, _ in found[0]} == set(np.flatnonzero(near.any(1)).tolist())

@@ -109,8 +109,9 @@ def common(lists: list[np.ndarray]) -> np.ndarray:
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     out = np.zeros((size, size), np.float32)
-    step = max(256, (1 << 22) // size)
-    for low in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+    columns = int(column[-1]) + 1 if len(column) else 0
+    step = min(max(256, (1 << 22) // size), max(columns, 1))
+    for low in range(0, columns, step):
         part = slice(*np.searchsorted(column, (low, low + step)))
         x = np.zeros((size, step), np.float32)
         x[row[part], column[part] - low] = 1

@@ -241,3 +241,14 @@ def test_cells_are_read_whole_from_batches_of_any_size():
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = (unit @ unit.T >= 0.9) & (cell[:, None] == cell[None, :]) & ~np.eye(100, dtype=bool)
     assert near.any() and {r for r, _, _ in found[0]} == set(np.flatnonzero(near.any(1)).tolist())
+
+
+def test_deduplicate_deletes_what_its_steps_have_staged(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("vellum.llm.staging.shared_dir", lambda _: str(tmp_path))
+    own = " ".join(f"w{i}" for i in range(60))
+    table = spark.createDataFrame([(1, own), (2, own + " more"), (3, "by itself")], "doc_id long, text string")
+    kept = simhash.deduplicate(table)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+    assert [p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()] == ["near-duplicates"]
+    staging.release(kept)
+    assert not list(tmp_path.iterdir())

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .staging import stage
+from .staging import reads, release, stage
 
 WIDTH = 5
 #: Two texts are near duplicates from this Jaccard similarity on, as a fraction so that the test is one of whole numbers.
@@ -165,13 +165,15 @@ def groups(docs: DataFrame, width: int = WIDTH, candidates: DataFrame | None = N
     Null and empty texts have the set of no word and are near duplicates of each other. Rows that repeat a doc_id are judged
     by their own texts; a null doc_id becomes a component_id only where its component has no other. An empty table gives
     an empty one; other columns are not used. ``candidates``, pairs ``(a, b)`` of doc_ids that another method found, are
-    compared before the buckets, by the same exact test.
+    compared before the buckets, by the same exact test. Staged tables are deleted as soon as no later step reads them, and
+    release() deletes the two that the result reads.
     """
     marked = stage(marks(docs, width), "minhash-marks")
     distinct = marked.groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.min("n").alias("n"), F.first("keys").alias("keys"))
     keyed = distinct.select("set_id", "n", F.explode("keys").alias("key"))
     sizes = stage(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "minhash-sizes")
     members = stage(keyed.join(sizes, "key"), "minhash-buckets")
+    release(sizes)
     central = members.groupBy("set_id").agg(F.sum("size").alias("central"))
     wanted = members.select("set_id")
     given = None
@@ -184,27 +186,36 @@ def groups(docs: DataFrame, width: int = WIDTH, candidates: DataFrame | None = N
     first = marked.groupBy("set_id").agg(F.min("doc_id").alias("_first")).join(wanted, "set_id").select("_first").distinct()
     known = stage(sets(docs.join(first, docs["doc_id"].eqNullSafe(first["_first"]), "left_semi"), width), "minhash-sets")
     opened = stage(members.join(central, "set_id").select("key", "set_id", "n", "central", F.col("set_id").alias("component")), "minhash-open")
-    links, labels = None, None
+    release(members)
+    links, made = None, []
     if given is not None:
         links = stage(_similar(given, known).distinct(), "minhash-links")
-        start = connected_components(links)
+        made.append(links)
+        start, before = connected_components(links), opened
         opened = stage(opened.drop("component").join(start, opened["set_id"] == start["node"], "left").withColumn("component", F.coalesce("component", "set_id")).drop("node"), "minhash-open")
+        release(given, start, before)
     for turn in range(PIVOTS):
         rank = F.struct((-F.col("central") if turn == 0 else F.lit(0).cast("long")).alias("c"), F.xxhash64(F.lit(turn), "set_id", "key").alias("h"), F.col("set_id").alias("pivot"), F.col("n").alias("_pn"), F.col("component").alias("_pc"))
         pivots = stage(opened.groupBy("key").agg(F.min(rank).alias("p")).select("key", "p.pivot", "p._pn", "p._pc"), "minhash-pivots")
         near = opened.join(pivots, "key").where((F.col("component") != F.col("_pc")) & _sizes_allow("n", "_pn"))
         found = stage(_similar(near.select(F.least("set_id", "pivot").alias("a"), F.greatest("set_id", "pivot").alias("b")).distinct(), known).distinct(), "minhash-links")
+        made.append(found)
         links = found if links is None else links.union(found)
-        labels = connected_components(links)
+        labels, before = connected_components(links), opened
         placed = opened.drop("component").join(labels, opened["set_id"] == labels["node"], "left").withColumn("component", F.coalesce("component", "set_id")).drop("node")
         open_buckets = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-        opened = stage(placed.join(stage(open_buckets, "minhash-open-buckets"), "key").select("key", "set_id", "n", "central", "component"), "minhash-open")
+        open_buckets = stage(open_buckets, "minhash-open-buckets")
+        opened = stage(placed.join(open_buckets, "key").select("key", "set_id", "n", "central", "component"), "minhash-open")
+        release(pivots, labels, open_buckets, before)
     tiles = stage(opened.groupBy("key").agg(F.ceil(F.sum("n") / TILE).cast("int").alias("tiles")), "minhash-tiles")
     own = opened.join(tiles, "key").withColumn("tile", F.pmod(F.hash("set_id"), F.col("tiles"))).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     own = own.select("key", "set_id", "tile", F.least("tile", "with").alias("first"), F.greatest("tile", "with").alias("second"))
     held = own.join(known, "set_id").groupBy("key", "first", "second").agg(F.collect_list(F.struct("set_id", "tile", "hashes")).alias("members"))
     rest = stage(held.select("first", "second", "members").mapInArrow(_compare, "a long, b long").distinct(), "minhash-rest")
-    labels = connected_components(links.union(rest)).withColumnRenamed("node", "set_id")
-    by_set = marked.groupBy("set_id").agg(F.min("doc_id").alias("first_id")).join(labels, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    release(opened, tiles, known)
+    labels = connected_components(links.union(rest))
+    release(rest, *made)
+    by_set = marked.groupBy("set_id").agg(F.min("doc_id").alias("first_id")).join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     least = by_set.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    return marked.select("doc_id", "set_id").join(by_set.join(least, "component").select("set_id", "component_id"), "set_id").select("doc_id", "component_id")
+    placed = marked.select("doc_id", "set_id").join(by_set.join(least, "component").select("set_id", "component_id"), "set_id")
+    return reads(placed.select("doc_id", "component_id"), marked, labels)

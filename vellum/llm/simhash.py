@@ -173,10 +173,15 @@ def deduplicate(docs: DataFrame, width: int = minhash.WIDTH) -> DataFrame:
     texts close enough, MinHash bands then seek what is left (see minhash). doc_id is the key: rows that repeat one stay or
     go together. Rows without a doc_id stay, as they can't be told apart.
     """
-    near = near_duplicates(docs).where("doc_id != component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    grouped = near_duplicates(docs)
+    near = grouped.where("doc_id != component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    near = stage(near, "simhash-near")
+    release(grouped)
     found = minhash.groups(docs, width, near)
     gone = found.groupBy("doc_id").agg(F.min("component_id").alias("least")).where("doc_id is not null and doc_id != least").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    gone = stage(gone, "near-duplicates")
+    release(near, found)
+    return reads(docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti"), gone)
 
 
 def hex64(fp: F.Column) -> F.Column:

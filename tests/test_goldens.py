@@ -2,6 +2,7 @@
 
 import json
 import zipfile
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pytest
@@ -335,3 +336,28 @@ def test_python_holds_few_texts_and_places_at_a_time():
     linked = list(glossary._with_links(iter([pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(["a b"] * 40), spans], ["doc_id", "text", "spans"])])))
     assert [b.num_rows for b in linked] == [16, 16, 8]
     assert linked[0].column(1).to_pylist()[:2] == ['a <span data-term="b">b</span>', "a b"]
+
+
+def test_runs_are_counted_in_their_text_and_only_likely_keys_are_shuffled(spark):
+    docs = spark.createDataFrame([(1, "Red fox, red fox; red"), (2, None), (3, ""), (1, "the red fox red"), (None, "red fox"), (4, "fox")], "doc_id long, text string")
+    keys = spark.createDataFrame([("red",), ("red fox",), ("fox red fox",), ("red",), (None,)], "key string")
+    found = glossary.phrase_hits(docs, keys, 3)
+    assert {(r.doc_id, r.key): r.hits for r in found.collect()} == {(1, "red"): 5, (1, "red fox"): 3, (1, "fox red fox"): 1, (None, "red"): 1, (None, "red fox"): 1}
+    once = docs.where("doc_id > 2")
+    for hits in (glossary.phrase_hits(once, keys, 2), glossary.term_hits(once, keys)):
+        plan = hits._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(doc_id" not in plan and "getbit" in plan
+
+
+def test_runs_are_counted_alike_however_texts_are_cut(monkeypatch):
+    import pyarrow as pa
+
+    texts = [["a", "b", "a", "b"], None, [], ["b"], ["c", "a", "b"], ["a"]]
+    batch = pa.record_batch([pa.array(range(10, 16), pa.int64()), pa.array(texts, pa.list_(pa.string()))], ["doc_id", "words"])
+    expected = Counter((10 + n, " ".join(t[i : i + k])) for n, t in enumerate(texts) if t for k in (1, 2, 3) for i in range(len(t) - k + 1))
+    for words in (1, 3, 5, 100):
+        monkeypatch.setattr(glossary, "WORDS", words)
+        for cut in (batch, batch.slice(3), batch.slice(1, 3)):
+            rows = [tuple(r.values()) for out in glossary._counted(3)([cut]) for r in out.to_pylist()]
+            ids = set(cut.column(0).to_pylist())
+            assert sorted(rows) == sorted((i, k, n) for (i, k), n in expected.items() if i in ids)

@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ PIECE = "[A-Za-z0-9_]+|[^A-Za-z0-9_]"
 WORD_SIGN = re.compile("[A-Za-z0-9_]")
 #: Python objects are made of so many texts, and kept for so many places, at a time.
 TEXTS, PLACES = 16, 500
+#: Words whose runs are counted at a time, unless one text has more, and rows handed on at a time.
+WORDS, ROWS = 100_000, 20_000
 _PLACES = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("node", pa.string()), ("stop", pa.int32()), ("key", pa.string()), ("rest", pa.list_(pa.struct([("piece", pa.string()), ("stop", pa.int32()), ("bounded", pa.bool_())])))])
 
 
@@ -40,14 +44,57 @@ def glossary_map(terms: DataFrame) -> DataFrame:
     return won.select("key", "w.definition", "w.is_exact")
 
 
+def _counted(longest: int):
+    """Runs of 1 to ``longest`` words of each text, joined by blanks, with their counts in it; about WORDS words at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = pc.cumulative_sum(pc.coalesce(pc.list_value_length(batch.column(1)), 0)).to_numpy()
+            at = 0
+            while at < batch.num_rows:
+                stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + WORDS, "right")))
+                words = batch.column(1).slice(at, stop - at)
+                text, words = pc.list_parent_indices(words).to_numpy(), words.flatten()
+                for n in range(1, longest + 1):
+                    last = len(words) - n + 1
+                    if last <= 0:
+                        break
+                    whole = pa.array(text[:last] == text[n - 1 :])
+                    key = words if n == 1 else pc.binary_join_element_wise(*(words.slice(i, last) for i in range(n)), " ")
+                    runs = pa.table({"text": text[:last], "key": key}).filter(whole)
+                    for part in runs.group_by(["text", "key"], use_threads=False).aggregate([([], "count_all")]).to_batches(max_chunksize=ROWS):
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pc.add(part.column("text"), at)), part.column("key"), part.column("count_all")], ["doc_id", "key", "hits"])
+                at = stop
+
+    return run
+
+
+def _hits(docs: DataFrame, glossary: DataFrame, longest: int) -> DataFrame:
+    """``(doc_id, key, hits)`` of the runs of 1 to ``longest`` words that are keys of the glossary.
+
+    Runs are counted text by text without a shuffle. Most that are no keys are dropped before the one shuffle by a table of
+    2^24 bits with one at each key's hash: broadcast, it has at most 262,144 rows, however many keys there are. What passes is
+    joined with the keys. Only where a doc_id stands in several rows their counts are summed.
+    """
+    words = docs.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)).alias("words"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    keys = glossary.select("key").where("key is not null").distinct()
+    bit = F.xxhash64("key").bitwiseAND((1 << 24) - 1)
+    bits = keys.groupBy(F.shiftright(bit, 6).alias("_slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(xxhash64(key) & 63 as int))")).alias("_bits"))
+    found = words.mapInArrow(_counted(longest), f"doc_id {kind}, key string, hits long").withColumn("_slot", F.shiftright(bit, 6))
+    likely = found.join(F.broadcast(bits), "_slot").where(F.getbit("_bits", F.xxhash64("key").bitwiseAND(63).cast("int")) == 1)
+    # keys are distinct; a semi-join would be pushed down before the bits
+    kept = likely.select("doc_id", "key", "hits").join(keys.hint("shuffle_hash"), "key").select("doc_id", "key", "hits")
+    again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    return kept if again.isEmpty() else kept.groupBy("doc_id", "key").agg(F.sum("hits").alias("hits"))
+
+
 def term_hits(docs: DataFrame, glossary: DataFrame) -> DataFrame:
     """``(doc_id, key, hits)``: how often each one-word key stands in each text, by a join on the word.
 
-    The form for glossaries of any size: words are counted before the shuffle. link_terms marks them in the text.
+    The form for glossaries of any size: words are counted inside each text. link_terms marks them in the text.
     """
-    words = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("key"))
-    counted = words.groupBy("doc_id", "key").agg(F.count("*").alias("hits"))
-    return counted.join(glossary.select("key"), "key", "left_semi").select("doc_id", "key", "hits")
+    return _hits(docs, glossary, 1)
 
 
 def definition_lines(lines: DataFrame) -> DataFrame:
@@ -80,13 +127,9 @@ def compare(left: DataFrame, right: DataFrame) -> DataFrame:
 def phrase_hits(docs: DataFrame, glossary: DataFrame, longest: int = 4) -> DataFrame:
     """``(doc_id, key, hits)``: how often each key of up to ``longest`` words, joined by single blanks, stands in each text.
 
-    Every run of so many words is a candidate, counted per text before the join on the key; overlapping occurrences count.
+    Every run of so many words is a candidate, counted inside its text before the join on the key; overlapping occurrences count.
     """
-    words = docs.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)).alias("_w"))
-    runs = lambda n: F.when(F.size("_w") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("_w", i, n), " "))).otherwise(F.array().cast("array<string>"))
-    found = words.select("doc_id", F.explode(F.concat(*[runs(n) for n in range(1, longest + 1)])).alias("key"))
-    counted = found.groupBy("doc_id", "key").agg(F.count("*").alias("hits"))
-    return counted.join(glossary.select("key"), "key", "left_semi").select("doc_id", "key", "hits")
+    return _hits(docs, glossary, longest)
 
 
 def term_trie(glossary: DataFrame) -> DataFrame:

@@ -361,3 +361,10 @@ def test_runs_are_counted_alike_however_texts_are_cut(monkeypatch):
             rows = [tuple(r.values()) for out in glossary._counted(3)([cut]) for r in out.to_pylist()]
             ids = set(cut.column(0).to_pylist())
             assert sorted(rows) == sorted((i, k, n) for (i, k), n in expected.items() if i in ids)
+
+
+def test_event_names_are_read_in_their_row(spark):
+    rows = [(1, "Venue: hall\n12 May 2024\n- Annual course\non imaging\n9:00 Welcome\nlater"), (1, "A B C D\nOther course"), (None, "Dr X\n10 High Street\nFirst\nof\nfour lines\nthat go on\nand on"), (2, None), (3, "abc\n17:30\nDay 2"), (4, "MASTERSTREETS AND THE LAB")]
+    named = agenda.event_name(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id or 0, r.name) for r in named.collect()) == [(0, "First"), (1, "Annual course on imaging"), (1, "Other course"), (2, "My MedTech Event"), (3, "My MedTech Event"), (4, "Masterstreets and the Lab")]
+    assert "Exchange" not in named._jdf.queryExecution().executedPlan().toString()

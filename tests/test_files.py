@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from vellum.sources import files
+from vellum.sources import documents, files
 
 
 def test_files_come_back_as_they_were(spark, tmp_path):
@@ -51,3 +51,19 @@ def test_a_failed_task_leaves_nothing(spark, tmp_path):
 def test_an_empty_table_writes_an_empty_manifest(spark, tmp_path):
     files.write_files(spark.createDataFrame([], "id string, raw string"), str(tmp_path / "out"))
     assert spark.read.schema("id string").json(str(tmp_path / "out" / "manifest")).count() == 0
+
+
+def test_files_are_written_by_tasks_of_few_rows_and_listed_by_folder(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "FILES", 3)
+    folder, tracker = str(tmp_path / "out"), spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("few rows", "few rows")
+    try:
+        files.write_files(spark.range(10).coalesce(1).selectExpr("concat('d', id) AS id", "repeat('x', int(id)) AS raw"), folder, ".txt")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tasks = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup("few rows") for s in tracker.getJobInfo(j).stageIds if tracker.getStageInfo(s)]
+    assert 4 in tasks
+    for found in (files.read_files(spark, folder, ".txt"), documents.read_texts(spark, f"{folder}/*.txt")):
+        assert "InMemoryFileIndex(1 paths)" in found._jdf.queryExecution().executedPlan().toString()
+        assert found.count() == 10
+    assert files.verify_files(spark, folder, ".txt").where("status = 'ok'").count() == 10

@@ -8,7 +8,7 @@ import zlib
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,23 +25,35 @@ def as_array(value: Column) -> Column:
     return F.when(value.isNull() | F.is_variant_null(value), F.array().cast("array<string>")).otherwise(F.coalesce(whole, F.array(one)))
 
 
+def opened(spark: SparkSession, path: str) -> tuple[DataFrameReader, str]:
+    """A reader, and what to load with it. A pattern for the names in one folder becomes a filter, so that the folder is
+    listed once and its files aren't each a path of their own; where none fits there are no rows."""
+    folder, _, name = path.rpartition("/")
+    if folder and any(c in name for c in "*?[{") and not any(c in folder for c in "*?[{"):
+        return spark.read.option("pathGlobFilter", name), folder
+    return spark.read, path
+
+
 def read_chapters(spark: SparkSession, path: str) -> DataFrame:
     """One chapter for each JSON file, with ``file``, its name without folder and ending. Broken files keep their text in ``_corrupt_record``."""
-    files = spark.read.schema(f"{CHAPTER}, _corrupt_record string").json(path, multiLine=True)
+    reader, path = opened(spark, path)
+    files = reader.schema(f"{CHAPTER}, _corrupt_record string").json(path, multiLine=True)
     return files.select("*", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.json)?$", 1).alias("file"))
 
 
 def read_trees(spark: SparkSession, path: str) -> DataFrame:
     """The trees of a file whose root holds them under ``trees``; related ids are lists whatever they were."""
     tree = T.StructType.fromDDL(TREE)
-    roots = spark.read.schema(T.StructType([T.StructField("trees", T.ArrayType(tree))])).json(path, multiLine=True)
+    reader, path = opened(spark, path)
+    roots = reader.schema(T.StructType([T.StructField("trees", T.ArrayType(tree))])).json(path, multiLine=True)
     trees = roots.select(F.posexplode("trees").alias("pos", "t")).select("pos", "t.*")
     return trees.withColumns({"relatedChapter": as_array(F.col("relatedChapter")), "relatedSection": as_array(F.col("relatedSection"))})
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
     """The questions of a file whose root is a list of them."""
-    return spark.read.schema(QUESTION).json(path, multiLine=True)
+    reader, path = opened(spark, path)
+    return reader.schema(QUESTION).json(path, multiLine=True)
 
 
 def against_order(files: DataFrame, order: DataFrame) -> DataFrame:
@@ -54,7 +66,8 @@ def against_order(files: DataFrame, order: DataFrame) -> DataFrame:
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """``(path, text)``: each file as one text."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    reader, path = opened(spark, path)
+    return reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 #: Names of a word-processor file's body: paragraph, run of text, tab, and what holds no text of its own.
@@ -92,7 +105,8 @@ def _word_texts(content: pd.Series) -> pd.Series:
 def read_word_files(spark: SparkSession, path: str) -> DataFrame:
     """``(path, text, problem)`` of each file: a word-processor file's text, or the problem ``unreadable``; files whose
     names don't end as those do are ``unsupported`` and not opened. Files without a byte give no row."""
-    files = spark.read.format("binaryFile").load(path)
+    reader, path = opened(spark, path)
+    files = reader.format("binaryFile").load(path)
     known = F.lower("path").rlike(r"\.docx?$")
     read = files.where(known).select("path", _word_texts("content").alias("text"))
     read = read.select("path", "text", F.when(F.col("text").isNull(), "unreadable").alias("problem"))

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from vellum.operators import integrity
+from vellum.sources.documents import opened
 
 MANIFEST = "manifest"
+#: Files that one task writes.
+FILES = 2_000
 
 
 def _store(place: str):
@@ -77,13 +80,16 @@ def write_files(rows: DataFrame, path: str, suffix: str = ".json", end: str = "\
         raise FileExistsError(f"{path} is not empty")
     store.create_dir(base, recursive=True)
     spark.dataSource.register(OneFileEach)
-    rows.write.format(OneFileEach.name()).mode("append").options(path=path, suffix=suffix, end=end).save()
+    # opening and moving a file costs more than its bytes, so tasks are cut by rows and not by the splits of the input
+    tasks = max(1, -(-rows.count() // FILES))
+    rows.repartition(tasks).write.format(OneFileEach.name()).mode("append").options(path=path, suffix=suffix, end=end).save()
     integrity.manifest(rows).write.json(f"{path}/{MANIFEST}")
 
 
 def read_files(spark: SparkSession, path: str, suffix: str = ".json", end: str = "\n") -> DataFrame:
     """``(id, raw)`` of files that write_files wrote."""
-    found = spark.read.format("binaryFile").load(f"{path}/*{suffix}")
+    reader, path = opened(spark, f"{path}/*{suffix}")
+    found = reader.format("binaryFile").load(path)
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     raw = F.decode("content", "utf-8")
     return found.select(name.substr(F.lit(1), F.length(name) - len(suffix)).alias("id"), F.when(F.endswith(raw, F.lit(end)), F.left(raw, F.length(raw) - len(end))).otherwise(raw).alias("raw"))

@@ -368,3 +368,14 @@ def test_event_names_are_read_in_their_row(spark):
     named = agenda.event_name(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted((r.doc_id or 0, r.name) for r in named.collect()) == [(0, "First"), (1, "Annual course on imaging"), (1, "Other course"), (2, "My MedTech Event"), (3, "My MedTech Event"), (4, "Masterstreets and the Lab")]
     assert "Exchange" not in named._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_grams_of_fields_leave_their_scope(spark):
+    words = [f"w{i}" for i in range(3000)]
+    fields = spark.createDataFrame([("p", "c", words[100:130]), ("short", "c", ["w1"]), ("else", "d", words[:9])], "path string, chapter_id string, a array<string>")
+    scopes = spark.createDataFrame([("c", " ".join(words)), ("d", ""), ("e", "no fields here")], "chapter_id string, scope string")
+    found = audit.locate(fields, scopes, tx.tokens(F.col("scope")))
+    assert [tuple(r) for r in found.collect()] == [("p", "c", 100, 130)]
+    cut = scopes.join(fields.groupBy("chapter_id").agg(F.array_distinct(F.flatten(F.collect_list(audit._grams(F.col("a"))))).alias("own")), "chapter_id")
+    own = cut.select("chapter_id", audit._grams(tx.tokens(F.col("scope"))).alias("g"), "own").mapInArrow(audit._wanted, "chapter_id string, b int, gram long")
+    assert sorted(r["b"] for r in own.collect()) == list(range(100, 128))

@@ -6,6 +6,7 @@ from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -126,24 +127,38 @@ def verdict(compared: DataFrame) -> DataFrame:
     return counts.select("fields", (F.col("fields") - F.col("reviews")).alias("exact"), "reviews", (F.col("reviews") > 0).cast("int").alias("exit_code"))
 
 
-def _grams(tokens: str) -> Column:
-    """``(at, gram)`` of every stretch of ANCHOR tokens."""
+def _grams(tokens: Column) -> Column:
+    """The hash of every stretch of ANCHOR tokens, in order."""
     last = F.size(tokens) - ANCHOR
-    cut = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(tokens, i + 1, ANCHOR)).alias("gram")))
-    return F.explode(F.when(last >= 0, cut))
+    every = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(F.slice(tokens, i + 1, ANCHOR)))
+    return F.when(last >= 0, every).otherwise(F.array().cast("array<long>"))
 
 
-def locate(fields: DataFrame, scopes: DataFrame) -> DataFrame:
+def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(chapter_id, b, gram)``: where those grams of a scope stand that its fields have."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            grams, own = (batch.column(c).slice(k, 1).flatten().to_numpy(zero_copy_only=False) for c in (1, 2))
+            at = np.flatnonzero(np.isin(grams, own))
+            if len(at):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([k] * len(at), pa.int32())), pa.array(at, pa.int32()), pa.array(grams[at], pa.int64())], ["chapter_id", "b", "gram"])
+
+
+def locate(fields: DataFrame, scopes: DataFrame, tokens: Column | str = "b") -> DataFrame:
     """``(path, chapter_id, start, stop)``: the stretch of scope tokens that stands for each field of ``(path, chapter_id, a)``.
+    ``tokens`` are those of a scope, worked out only behind the shuffle.
 
     Stretches of three tokens that occur once in a field are its anchors, matched with those of its chapter's scope by an
-    equi-join. Where an anchor near the field's beginning lies before one near its end, the stretch reaches from one to
+    equi-join; a scope meets the grams of its fields first, and only the places of those go into that join. Where an anchor near the field's beginning lies before one near its end, the stretch reaches from one to
     the other; else it is as long as the field and lies on the diagonal that most anchors agree on. A field without any
     match gets the scope's beginning.
     """
-    keyed = fields.select("path", "chapter_id", F.size("a").alias("n"), _grams("a").alias("g")).select("path", "chapter_id", "n", "g.at", "g.gram")
+    keyed = fields.select("path", "chapter_id", F.size("a").alias("n"), F.posexplode(_grams(F.col("a"))).alias("at", "gram"))
     once = keyed.groupBy("path", "chapter_id", "n", "gram").agg(F.count("*").alias("c"), F.min("at").alias("a")).where("c = 1").drop("c")
-    own = scopes.join(fields.select("chapter_id").distinct(), "chapter_id", "left_semi").select("chapter_id", _grams("b").alias("g")).select("chapter_id", F.col("g.at").alias("b"), "g.gram")
+    asked = once.groupBy("chapter_id").agg(F.collect_set("gram").alias("_own"))
+    met = scopes.join(asked, "chapter_id").withColumn("_b", F.col(tokens) if isinstance(tokens, str) else tokens).select("chapter_id", "_own", F.get(F.transform(F.array("_b"), _grams), F.lit(0)).alias("_grams"))
+    kind = scopes.schema["chapter_id"].dataType.simpleString()
+    own = met.select("chapter_id", "_grams", "_own").mapInArrow(_wanted, f"chapter_id {kind}, b int, gram long")
     slack = F.greatest(F.lit(20), F.expr("n div 5"))
     anchor = F.struct("a", "b")
     matched = once.join(own, ["chapter_id", "gram"]).groupBy("path", "chapter_id", "n", (F.col("b") - F.col("a")).alias("diagonal"))
@@ -234,11 +249,20 @@ def differences(compared: DataFrame, scopes: DataFrame) -> DataFrame:
     is 0 and the excerpts are of the texts.
     """
     left = compared.where(~F.col("status").isin(*STATUSES[:2])).select("path", "chapter_id", "expected", tx.tokens(F.col("expected")).alias("a"))
-    sources = scopes.select("chapter_id", tx.normalize_layout(F.col("scope")).alias("_scope")).withColumn("b", tx.tokens(F.col("_scope")))
-    placed = left.join(locate(left, sources), ["path", "chapter_id"], "left").join(sources, "chapter_id", "left")
-    start = F.coalesce("start", F.lit(0))
-    rows = placed.withColumn("w", F.slice(F.coalesce("b", F.array().cast("array<string>")), start + 1, F.greatest(F.lit(0), F.coalesce("stop", F.size("a")) - start)))
-    rows = rows.withColumn("_none", (F.size("a") == 0) | (F.size("w") == 0)).select("path", "chapter_id", "expected", "a", "w", "_none", F.left("_scope", F.lit(PLAIN)).alias("_begin"))
+    layout = tx.normalize_layout(F.col("scope"))
+    placed = left.join(locate(left, scopes.select("chapter_id", "scope"), tx.tokens(layout)), ["path", "chapter_id"], "left")
+    # a scope travels as its text and once for a block of its fields, and its tokens are cut behind the shuffle
+    blocks = left.groupBy("chapter_id").agg(F.ceil(F.count("*") / BLOCK).alias("_blocks"))
+    placed = placed.join(blocks, "chapter_id").withColumn("_block", F.pmod(F.xxhash64("path"), F.col("_blocks")))
+    grouped = placed.groupBy("chapter_id", "_block").agg(F.collect_list(F.struct("path", "expected", "a", F.coalesce("start", F.lit(0)).alias("start"), F.coalesce("stop", F.size("a")).alias("stop"))).alias("_fields"))
+    whole = grouped.join(scopes.select("chapter_id", "scope"), "chapter_id", "left").select("chapter_id", "_fields", layout.alias("_scope"))
+
+    def windows(b: Column) -> Column:
+        return F.transform("_fields", lambda f: F.struct(f["path"].alias("path"), f["expected"].alias("expected"), f["a"].alias("a"), F.slice(b, f["start"] + 1, F.greatest(F.lit(0), f["stop"] - f["start"])).alias("w")))
+
+    cut = F.get(F.transform(F.array(tx.tokens(F.col("_scope"))), windows), F.lit(0))  # by a variable, so that tokens are cut once
+    rows = whole.select("chapter_id", F.left("_scope", F.lit(PLAIN)).alias("_begin"), F.inline(cut))
+    rows = rows.select("path", "chapter_id", "expected", "a", "w", ((F.size("a") == 0) | (F.size("w") == 0)).alias("_none"), "_begin")
     rows = checkpoint(rows.withColumn("key", F.to_json(F.struct("path", "chapter_id"))))
     aligned = align(rows.where("not _none").select("key", "a", F.col("w").alias("b")))
     matched = aligned.where("side = 'a'").groupBy("key").agg(F.count_if("matched").alias("_matched"))

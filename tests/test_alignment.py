@@ -234,3 +234,15 @@ def test_visible_text_equals_a_parser(spark, small):
     got = {r[0]: r[1] for r in spark.createDataFrame(rows, "i int, t string").select("i", tx.visible_text(F.col("t"))).collect()}
     whole = [i for i, t in rows if "<" not in re.sub(r"<[^<>]*>", "", t)]
     assert [got[i] for i in whole] == [plain_visible(rows[i][1]) for i in whole] and len(whole) >= 0.9 * len(rows)
+
+
+def test_ladder_goes_to_python_twice_however_many_tests(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(audit, "checkpoint", lambda df: kept.append(df) or df)
+    fields = spark.createDataFrame([("p", 1, "body", "a-b"), ("q", 1, "body", "A b"), ("r", 1, "body", "c")], "path string, chapter_id long, kind string, text string")
+    compared = audit.compare_fields(fields, spark.createDataFrame([(1, "x a b y")], "chapter_id long, scope string"))
+    assert {r["path"]: r["status"] for r in compared.collect()} == {"p": audit.STATUSES[2], "q": audit.STATUSES[3], "r": audit.STATUSES[5]}
+    # each pass holds a Python process of its own for every core
+    assert compared._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 2
+    # what is kept are the fields, no scopes
+    assert [df.columns for df in kept] == [["chapter_id", "path", "kind", "e", "status"]]

@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType
+from pyspark.sql.types import ArrayType, IntegerType
 
 from vellum.functions import text as tx
 from vellum.sources.staging import checkpoint
@@ -54,25 +53,39 @@ def collect_fields(chapters: DataFrame) -> DataFrame:
     return every.select("path", "chapter_id", "kind", tx.visible_text(F.col("html")).alias("text")).where(F.length(tx.trim(F.col("text"))) > 0)
 
 
-@F.pandas_udf(ArrayType(BooleanType()))
-def _held(scope: pd.Series, parts: pd.Series) -> pd.Series:
-    """Which of the parts stand in the scope: one automaton of all parts, one scan. Null or empty parts stand nowhere."""
-    out = []
-    for whole, own in zip(scope, parts, strict=True):
-        found: set[str] = set()
-        wanted = {p for p in own if p} if whole else set()
-        if wanted:
+@F.arrow_udf(ArrayType(IntegerType()))
+def _first_held(scopes: pa.Array, fields: pa.Array) -> pa.Array:
+    """For each field of a scope the first of its forms, by number, that stands in the scope's form of that number, or null.
+
+    One automaton of all fields and one scan for each form; what a form has settled isn't sought in the next. Null or empty
+    forms stand nowhere. Rows become Python objects one after the other, so a task holds one scope beside Arrow's batch.
+    """
+    out: list[list[int | None] | None] = []
+    for whole, own in zip(scopes, fields, strict=True):
+        whole, own = whole.as_py(), own.as_py()
+        if whole is None or own is None:
+            out.append(None)
+            continue
+        first: list[int | None] = [None] * len(own)
+        for n, form in enumerate(whole):
+            wanted: dict[str, list[int]] = {}
+            for k, forms in enumerate(own):
+                if form and first[k] is None and forms and forms[n]:
+                    wanted.setdefault(forms[n], []).append(k)
+            if not wanted:
+                continue
             automaton = ahocorasick.Automaton()
-            for p in wanted:
-                automaton.add_word(p, p)
+            for part in wanted:
+                automaton.add_word(part, part)
             automaton.make_automaton()
-            for _, p in automaton.iter(whole):
-                found.add(p)
+            for _, part in automaton.iter(form):
                 # a part that ends where a longer one does is reported with it, so the scan may stop once all are found
-                if len(found) == len(wanted):
+                for k in wanted.pop(part, ()):
+                    first[k] = n
+                if not wanted:
                     break
-        out.append([p in found for p in own])
-    return pd.Series(out, dtype=object)
+        out.append(first)
+    return pa.array(out, pa.list_(pa.int32()))
 
 
 def compare_fields(fields: DataFrame, scopes: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -80,37 +93,29 @@ def compare_fields(fields: DataFrame, scopes: DataFrame, block: int = BLOCK) ->
 
     A scope is one chapter's source text, a field one of its texts. The fields of a chapter travel together to its scope, at
     most about ``block`` of them at once, and are sought with an automaton over all of them: a scope is scanned once for a
-    test, however many fields it has. Tests come from the strictest to the loosest; a looser form of a scope is only worked
-    out where fields are left that no stricter test has settled.
+    test, however many fields it has. Tests come from the strictest to the loosest; the looser forms of a scope are only worked
+    out where fields are left that the strictest has not settled, and go to Python together. What is kept are the judged fields.
     """
     rows = fields.withColumn("_e", tx.normalize_layout(F.col("text")))
     blocks = fields.groupBy("chapter_id").agg(F.ceil(F.count("*") / block).alias("_blocks"))
     rows = rows.join(blocks, "chapter_id").withColumn("_block", F.pmod(F.xxhash64("path"), F.col("_blocks")))
     field = F.struct("path", "kind", "text", F.col("_e").alias("e"))
     grouped = rows.groupBy("chapter_id", "_block").agg(F.collect_list(field).alias("_fields"))
-    # the strict form goes into three tests, so it is worked out once and kept
     # by a given number, as fields are small and would else draw their scopes into a few tasks
     tasks = int(scopes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = scopes.repartition(tasks, "chapter_id")
-    strict = checkpoint(dealt.select("chapter_id", "scope", tx.normalize_layout(F.col("scope")).alias("_strict")))
-    state = grouped.repartition(tasks, "chapter_id").join(strict, "chapter_id", "left").withColumn("_status", F.transform("_fields", lambda f: F.lit(None).cast("string")))
-    tests = (
-        (F.col("_strict"), lambda f: f["e"]),
-        (tx.normalize_layout(F.col("scope"), True), lambda f: tx.normalize_layout(f["text"], True)),
-        (tx.words_only(F.col("_strict")), lambda f: tx.words_only(f["e"])),
-        (tx.words_only(F.col("_strict"), True), lambda f: tx.words_only(f["e"], True)),
-    )
-
-    def tested(state: DataFrame, status: str, whole: Column, part: Callable[[Column], Column]) -> DataFrame:
-        left = F.exists("_status", lambda s: s.isNull())  # else neither the parts nor this form of the scope is needed
-        parts = F.when(left, F.zip_with("_fields", "_status", lambda f, s: F.when(s.isNull(), part(f))))
-        state = state.withColumn("_parts", F.coalesce(parts, F.array().cast("array<string>"))).withColumn("_whole", F.when(left, whole))
-        state = state.withColumn("_hits", _held("_whole", "_parts"))
-        return state.withColumn("_status", F.zip_with("_status", "_hits", lambda s, h: F.coalesce(s, F.when(h, F.lit(status)))))
-
-    for status, (whole, part) in zip(STATUSES, tests, strict=False):
-        state = tested(state, status, whole, part)
-    judged = state.select("chapter_id", F.explode(F.arrays_zip("_fields", "_status")).alias("f")).select("chapter_id", "f._fields.*", F.col("f._status").alias("status"))
+    state = grouped.repartition(tasks, "chapter_id").join(scopes.select("chapter_id", "scope").repartition(tasks, "chapter_id"), "chapter_id", "left")
+    state = state.withColumn("_strict", tx.normalize_layout(F.col("scope")))
+    state = state.withColumn("_exact", _first_held(F.array("_strict"), F.transform("_fields", lambda f: F.array(f["e"]))))
+    left = F.exists("_exact", lambda n: n.isNull())  # else neither the parts nor these forms of the scope are needed
+    # a column of its own, so that the words of a scope are cut once
+    state = state.withColumn("_words", F.when(left, tx.words_only(F.col("_strict"))))
+    whole = F.array(tx.normalize_layout(F.col("scope"), True), F.col("_words"), F.lower("_words"))
+    forms = lambda f: F.array(tx.normalize_layout(f["text"], True), tx.words_only(f["e"]), tx.words_only(f["e"], True))
+    parts = F.zip_with("_fields", "_exact", lambda f, n: F.when(n.isNull(), forms(f)))
+    state = state.withColumn("_looser", _first_held(F.when(left, whole), F.when(left, parts)))
+    numbers = F.transform("_fields", lambda f, k: F.coalesce(F.get("_exact", k), F.get("_looser", k) + 1))
+    judged = state.select("chapter_id", F.explode(F.arrays_zip(F.col("_fields"), numbers.alias("_n"))).alias("f"))
+    judged = checkpoint(judged.select("chapter_id", "f._fields.path", "f._fields.kind", "f._fields.e", F.get(F.array(*map(F.lit, STATUSES[:4])), F.col("f._n")).alias("status")))
     last = F.when(F.col("kind") == "footnote", STATUSES[4]).otherwise(STATUSES[5])
     return judged.select("path", "chapter_id", "kind", F.upper(F.sha2("e", 256)).alias("sha256"), F.length("e").alias("characters"), F.coalesce("status", last).alias("status"), F.col("e").alias("expected"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 import zlib
 from xml.etree import ElementTree
@@ -64,10 +65,20 @@ def against_order(files: DataFrame, order: DataFrame) -> DataFrame:
     return extra.union(missing).union(unlike)
 
 
+#: Names that no compressed file has.
+PLAIN = re.compile(r"\.(?:txt|text|md|html?|xml|csv|json)$", re.IGNORECASE)
+
+
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, text)``: each file as one text."""
+    """``(path, text)``: each file as one text.
+
+    The text source makes a Hadoop configuration for each file, which costs more than most texts, so files whose pattern ends
+    in a plain name's ending are read as bytes. What may be compressed is left to the text source, which unpacks it.
+    """
+    plain = PLAIN.search(path)
     reader, path = opened(spark, path)
-    return reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    files = reader.format("binaryFile").load(path) if plain else reader.text(path, wholetext=True)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("content").cast("string").alias("text") if plain else F.col("value").alias("text"))
 
 
 #: Names of a word-processor file's body: paragraph, run of text, tab, and what holds no text of its own.

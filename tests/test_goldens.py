@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from vellum.functions import text as tx
 from vellum.functions import times as tm
 from vellum.operators import activity, agenda, audit, glossary, graph, integrity, quiz, routes, runs, search, validate
+from vellum.plans import agendas
 from vellum.sources import documents
 from vellum.streaming import activity as streams
 
@@ -379,3 +380,8 @@ def test_only_grams_of_fields_leave_their_scope(spark):
     cut = scopes.join(fields.groupBy("chapter_id").agg(F.array_distinct(F.flatten(F.collect_list(audit._grams(F.col("a"))))).alias("own")), "chapter_id")
     own = cut.select("chapter_id", audit._grams(tx.tokens(F.col("scope"))).alias("g"), "own").mapInArrow(audit._wanted, "chapter_id string, b int, gram long")
     assert sorted(r["b"] for r in own.collect()) == list(range(100, 128))
+
+
+def test_reports_keep_the_names_that_were_read(spark, small):
+    found = {r["name"] for r in agendas.batch_report(spark, small).select("name").distinct().collect()}
+    assert found >= {None, "No times here", "and questions", "first point second point", "graduate level"}

@@ -385,3 +385,14 @@ def test_only_grams_of_fields_leave_their_scope(spark):
 def test_reports_keep_the_names_that_were_read(spark, small):
     found = {r["name"] for r in agendas.batch_report(spark, small).select("name").distinct().collect()}
     assert found >= {None, "No times here", "and questions", "first point second point", "graduate level"}
+
+
+def test_agendas_are_parsed_once_and_without_windows(spark):
+    docs = spark.createDataFrame([(1, "Course\n  9:00  - 9.30  \t Tea \r\n\n\n\nx-\nray\n- point\nDay 2\nlost\n1:00 pm | end"), (2, None), (3, "DAY PROGRAMME\n8:00 - 18:00 Course\n11:30\n1:15\n- only")], "doc_id long, text string")
+    parsed = agenda.parse(docs)
+    rows = [tuple(r)[1:6] for r in parsed.orderBy("doc_id", "pos").collect()]
+    assert rows == [(0, "Tea xray\npoint", "09:00", "09:30", 30), (1, "end", "13:00", "", 0), (0, "[Day Programme]\n", "11:30", "13:15", 105), (1, "[Day Programme]\nonly", "13:15", "", 0)]
+    plan = parsed._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange") == 1
+    report = agenda.batch_report(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert report.count("posexplode") == 1

@@ -236,6 +236,20 @@ def test_visible_text_equals_a_parser(spark, small):
     assert [got[i] for i in whole] == [plain_visible(rows[i][1]) for i in whole] and len(whole) >= 0.9 * len(rows)
 
 
+def test_levels_of_the_trie_are_deleted_once_read(spark):
+    import glob
+
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    before = set(glob.glob(f"{folder}/*/rdd-*"))
+    table = spark.createDataFrame([(1, "a b c d e, a b c x")], "doc_id long, text string")
+    known = spark.createDataFrame([("a b c d e",), ("a b",), ("c",)], "key string")
+    found = glossary.term_spans(table, known)
+    # the trie and the last level; a place carries one short text, not a list of pieces
+    assert len(set(glob.glob(f"{folder}/*/rdd-*")) - before) == 2
+    assert [tuple(r) for r in found.orderBy("start").collect()] == [(1, 0, 9, "a b c d e"), (1, 11, 14, "a b"), (1, 15, 16, "c")]
+    assert glossary._PLACES.field("rest").type == "string"
+
+
 def test_visible_text_of_cut_references_equals_its_sql(spark, tmp_path):
     import duckdb
 

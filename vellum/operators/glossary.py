@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
-from vellum.sources.staging import checkpoint
+from vellum.sources.staging import checkpoint, release
 
 #: Words of ASCII letters, digits and ``_``, and any other sign for itself.
 PIECE = "[A-Za-z0-9_]+|[^A-Za-z0-9_]"
@@ -21,7 +21,7 @@ WORD_SIGN = re.compile("[A-Za-z0-9_]")
 TEXTS, PLACES = 16, 500
 #: Words whose runs are counted at a time, unless one text has more, and rows handed on at a time.
 WORDS, ROWS = 100_000, 20_000
-_PLACES = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("node", pa.string()), ("stop", pa.int32()), ("key", pa.string()), ("rest", pa.list_(pa.struct([("piece", pa.string()), ("stop", pa.int32()), ("bounded", pa.bool_())])))])
+_PLACES = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("node", pa.string()), ("at", pa.int32()), ("stop", pa.int32()), ("key", pa.string()), ("rest", pa.string())])
 
 
 def clean_term(term: Column) -> Column:
@@ -153,7 +153,8 @@ def _slices(batches: Iterator[pa.RecordBatch], size: int = TEXTS) -> Iterator[pa
 
 
 def _follow(deepest: int):
-    """For each place of a text that may begin a term: its node, and the pieces behind it with their ends."""
+    """For each place of a text that may begin a term: its node, where its first piece ends, and the text behind that: as many pieces
+    as the deepest term has, and one sign more."""
     tag, piece = re.compile("<[^>]*>|<[^>]*$|[^<]+"), re.compile(PIECE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,10 +173,10 @@ def _follow(deepest: int):
                         root = roots.get(low[n])
                         if root is None or word[n] == word[n + 1]:
                             continue
-                        rest = [{"piece": low[k], "stop": cut[k][1], "bounded": word[k + 1] != word[k + 2]} for k in range(n + 1, min(n + deepest, len(cut)))] if root["open"] else []
+                        rest = text[b : min(cut[min(n + deepest, len(cut)) - 1][1] + 1, part.end())] if root["open"] else ""
                         hit = root["key"] is not None and word[n + 1] != word[n + 2]
                         if hit or rest:
-                            rows.append({"doc_id": doc_id, "start": a, "node": root["child"], "stop": b if hit else None, "key": root["key"] if hit else None, "rest": rest})
+                            rows.append({"doc_id": doc_id, "start": a, "node": root["child"] if rest else None, "at": b, "stop": b if hit else None, "key": root["key"] if hit else None, "rest": rest})
                         if len(rows) >= PLACES:
                             yield pa.RecordBatch.from_pylist(rows, schema=_PLACES)
                             rows = []
@@ -207,34 +208,32 @@ def term_spans(texts: DataFrame, glossary: DataFrame) -> DataFrame:
     null texts have no spans.
 
     The keys form a trie. The different pieces of each text join its first level; places that may begin a term then carry
-    the pieces behind them and join one level after the other. A place's node has one child at most for a piece, so the
-    candidates only get fewer, and each keeps its longest term alone. The greedy choice reads a text's matches in their order
-    and remembers one end.
+    the text behind them, as long as the deepest term, and join one level after the other by its next piece. A place's node
+    has one child at most for a piece, so the candidates only get fewer, and each keeps its longest term alone. A level
+    holds the places that are settled too, so the one before is deleted. The greedy choice reads a text's matches in their
+    order and remembers one end.
     """
     trie = checkpoint(term_trie(glossary))
     deepest = trie.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0]
     own = texts.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     pieces = own.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(PIECE), F.lit(0)))).alias("piece"))
     firsts = pieces.join(trie.where("depth = 1").select("piece", "child", "key", "open"), "piece").groupBy("doc_id").agg(F.collect_list(F.struct("piece", "child", "key", "open")).alias("firsts"))
-    places = own.join(firsts, "doc_id").mapInArrow(_follow(deepest), "doc_id long, start int, node string, stop int, key string, rest array<struct<piece: string, stop: int, bounded: boolean>>")
-    level, done = checkpoint(places), []
+    level = checkpoint(own.join(firsts, "doc_id").mapInArrow(_follow(deepest), "doc_id long, start int, node string, at int, stop int, key string, rest string"))
     for depth in range(2, deepest + 1):
-        done.append(level.where(F.size("rest") == 0))
-        alive = level.where(F.size("rest") > 0).withColumn("_next", F.get("rest", F.lit(0)))
-        if alive.isEmpty():
+        if level.where("rest != ''").isEmpty():
             break
-        edges = trie.where(F.col("depth") == depth).select(F.col("node").alias("_node"), F.col("piece").alias("_piece"), "child", F.col("key").alias("_key"), "open")
-        joined = alive.join(edges, (F.col("node") == F.col("_node")) & (F.col("_next.piece") == F.col("_piece")), "left")
-        longer = F.col("_key").isNotNull() & F.col("_next.bounded")
-        rest = F.when(F.coalesce("open", F.lit(False)), F.slice("rest", 2, F.greatest(F.size("rest") - 1, F.lit(0)))).otherwise(F.slice("rest", 1, 0))
-        moved = joined.select("doc_id", "start", F.col("child").alias("node"), F.when(longer, F.col("_next.stop")).otherwise(F.col("stop")).alias("stop"), F.when(longer, F.col("_key")).otherwise(F.col("key")).alias("key"), rest.alias("rest"))
-        level = checkpoint(moved.where(F.col("key").isNotNull() | (F.size("rest") > 0)))
-    else:
-        done.append(level)
-    every = done[0]
-    for more in done[1:]:
-        every = every.union(more)
-    found = every.where("key is not null").select("doc_id", "start", "stop", "key")
+        edges = trie.where(F.col("depth") == depth).select("node", F.col("piece").alias("_piece"), "child", F.col("key").alias("_key"), F.col("open").alias("_open"))
+        # settled places go on in the same join, each with a node of its own that no edge has, so that they meet in no one task
+        node = F.when(F.col("rest") != "", F.col("node")).otherwise(F.concat_ws("-", F.lit("settled"), "doc_id", "start"))
+        # the pieces of a text are the longest runs, so behind a word there is always a boundary, behind another sign only before a word
+        found = level.withColumns({"node": node, "_next": F.regexp_extract("rest", PIECE, 0)}).withColumns({"_piece": F.lower("_next"), "_behind": F.expr("substring(rest, length(_next) + 1)")})
+        found = found.join(edges, ["node", "_piece"], "left").withColumn("_end", F.col("at") + F.length("_next"))
+        longer = F.col("_key").isNotNull() & (F.col("_next").rlike("^[A-Za-z0-9_]") | F.col("_behind").rlike("^[A-Za-z0-9_]"))
+        rest = F.when(F.coalesce("_open", F.lit(False)), F.col("_behind")).otherwise("")
+        moved = found.select("doc_id", "start", F.when(rest != "", F.col("child")).alias("node"), F.col("_end").alias("at"), F.when(longer, F.col("_end")).otherwise(F.col("stop")).alias("stop"), F.when(longer, F.col("_key")).otherwise(F.col("key")).alias("key"), rest.alias("rest"))
+        before, level = level, checkpoint(moved.where("key is not null or rest != ''"))
+        release(before)
+    found = level.where("key is not null").select("doc_id", "start", "stop", "key")
     return found.repartition("doc_id").sortWithinPartitions("doc_id", "start").mapInArrow(_select, found.schema)
 
 

@@ -22,3 +22,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder, so that a lost executor costs no more than the current step."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a checkpoint that nothing reads any more."""
+    named = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if named.isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(named.get())
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
